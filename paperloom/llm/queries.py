@@ -1,8 +1,8 @@
 """All queries of the subpackage and their SQL."""
 
-from paperloom.llm import tokenize
+from paperloom.llm import leaks, tokenize
 
-_PARTS = [tokenize]
+_PARTS = [tokenize, leaks]
 
 QUERIES: dict = {}
 SQL: dict = {}
