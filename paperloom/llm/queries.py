@@ -1,8 +1,8 @@
 """All queries of the subpackage and their SQL."""
 
-from paperloom.llm import leaks, tokenize
+from paperloom.llm import leaks, reading, tokenize
 
-_PARTS = [tokenize, leaks]
+_PARTS = [tokenize, leaks, reading]
 
 QUERIES: dict = {}
 SQL: dict = {}
