@@ -1,8 +1,8 @@
 """All queries of the subpackage and their SQL."""
 
-from paperloom.llm import leaks, reading, tokenize
+from paperloom.llm import leaks, reading, repetition, tokenize
 
-_PARTS = [tokenize, leaks, reading]
+_PARTS = [tokenize, leaks, reading, repetition]
 
 QUERIES: dict = {}
 SQL: dict = {}
