@@ -1,8 +1,8 @@
 """All queries of the subpackage and their SQL."""
 
-from paperloom.llm import leaks, reading, repetition, tokenize
+from paperloom.llm import leaks, reading, repetition, scans, tokenize
 
-_PARTS = [tokenize, leaks, reading, repetition]
+_PARTS = [tokenize, leaks, reading, repetition, scans]
 
 QUERIES: dict = {}
 SQL: dict = {}
