@@ -1,8 +1,8 @@
 """All queries of the subpackage and their SQL."""
 
-from paperloom.llm import leaks, personal, reading, repetition, scans, tokenize
+from paperloom.llm import leaks, personal, reading, repetition, scans, splits, tokenize
 
-_PARTS = [tokenize, leaks, reading, repetition, scans, personal]
+_PARTS = [splits, tokenize, leaks, reading, repetition, scans, personal]
 
 QUERIES: dict = {}
 SQL: dict = {}
