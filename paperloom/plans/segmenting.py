@@ -115,7 +115,7 @@ def a10_block_boxes(spark, d):
     return O.block_boxes(_blocked(spark, d), ["page_id"])
 
 
-@R.add(f"WITH {PAGE_LINES} SELECT page_id, count(DISTINCT block_id) AS n_blocks, count(*) AS n_lines, sum(parts) AS n_parts FROM page_lines GROUP BY 1")
+@R.add(f"WITH {PAGE_LINES} SELECT page_id, count(DISTINCT block_id) AS n_blocks, count(*) AS n_lines, CAST(sum(parts) AS BIGINT) AS n_parts FROM page_lines GROUP BY 1")
 def a04_per_page_counts(spark, d):
     return page_lines(spark, d).groupBy("page_id").agg(F.countDistinct("block_id").alias("n_blocks"), F.count(F.lit(1)).alias("n_lines"), F.sum("parts").alias("n_parts"))
 
