@@ -60,12 +60,12 @@ def sequence_confidence(log_probs: Column, mask: Column) -> Column:
     kept = F.filter(F.arrays_zip(log_probs.alias("p"), mask.alias("m")), lambda x: x["m"])
     total = F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + x["p"])
     mean = total / F.nullif(F.size(kept), F.lit(0))
-    return F.coalesce(F.bround(F.greatest(F.least(F.exp(mean), F.lit(1.0)), F.lit(0.0)), 3), F.lit(0.0))
+    return F.when(F.size(kept) > 0, F.bround(F.greatest(F.least(F.exp(mean), F.lit(1.0)), F.lit(0.0)), 3)).otherwise(F.lit(0.0))
 
 
 def upper_median(values: Column) -> Column:
     """sorted[n // 2] of a collected array; null for an empty one."""
-    return F.get(F.array_sort(values), F.expr("0") + F.floor(F.size(values) / 2).cast("int"))
+    return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
 
 
 def line_violations(lines: DataFrame) -> DataFrame:
