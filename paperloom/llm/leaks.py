@@ -156,21 +156,32 @@ def _extend(a: list[int], b: list[int], i: int, j: int, step: int, lo: int, hi:
     return end_i, end_j, marks
 
 
-def best_stretch(a: list[int], b: list[int], i: int, j: int, lo: int, hi: int, one_in: float = 8.0, slack: float = 1.0) -> tuple[int, int, int]:
-    """Longest stretch of item a through (i, j) in text b[lo:hi] with about one edit in so many words: (words of a, edits, last j)."""
+def best_stretch(a: list[int], b: list[int], i: int, j: int, lo: int, hi: int, one_in: float = 8.0, slack: float = 1.0) -> tuple[int, int, int, int, int]:
+    """Longest stretch of item a through (i, j) in text b[lo:hi] with about one edit in so many words.
+
+    (words of a, edits, first and last word of a, end in b of the unbroken run at (i, j)).
+    """
     _, _, right = _extend(a, b, i, j, 1, lo, hi)
     _, _, left = _extend(a, b, i - 1, j - 1, -1, lo, hi)
-    best = (0, 0, j)
+    best = (0, 0, i, i)
     ls = [(0, i, j)] + left
     for el, il, _ in ls[::-1]:
-        for er, ir, jr in right[::-1]:
+        for er, ir, _ in right[::-1]:
             span = ir - il + 1
             if span <= best[0]:
                 break
             if (el + er) * one_in <= span + slack:
-                best = (span, el + er, jr)
+                best = (span, el + er, il, ir)
                 break
-    return best
+    return *best, max((jr for er, _, jr in right if er == 0), default=j)
+
+
+def _interrupted(parts: list[tuple[int, int]], n: int) -> int:
+    """Words of a whole item of n that two stretches, one after the other, make up but for one in eight; else 0."""
+    head = max((r + 1 for f, r in parts if f <= n // 8), default=0)
+    tail = min((f for f, r in parts if r >= n - 1 - n // 8), default=n)
+    got = n - max(0, tail - head)
+    return got if head and tail < n and (n - got) * 8 <= n else 0
 
 
 def search(terms: TestTerms, ids: list, texts: list[str | None], least: int) -> list[tuple]:
@@ -201,21 +212,29 @@ def search(terms: TestTerms, ids: list, texts: list[str | None], least: int) ->
     lists = {}
     order = np.lexsort((pos, item, doc))
     state = (-1, -1)
-    found, done = False, -1
+    found, done, parts = False, {}, []
+
+    def close() -> None:
+        if not found and len(parts) > 1 and (span := _interrupted(parts, len(lists[state[1]]))):
+            out.append((ids[state[0]], terms.items[state[1]][0], span, 0))
+
     for d, k, i, j in zip(doc[order].tolist(), item[order].tolist(), off[order].tolist(), pos[order].tolist(), strict=True):
         if (d, k) != state:
-            state, found, done = (d, k), False, set()
-        if found or j - i in done:
+            close()
+            state, found, done, parts = (d, k), False, {}, []
+        # another term of an unbroken run already followed
+        if found or j <= done.get(j - i, -1):
             continue
         a = lists.get(k)
         if a is None:
             a = lists[k] = terms.items[k][1].tolist()
-        span, edits, _ = best_stretch(a, text, i, j, int(starts[d]), int(starts[d + 1]) - TERM)
+        span, edits, il, ir, end = best_stretch(a, text, i, j, int(starts[d]), int(starts[d + 1]) - TERM)
+        done[j - i] = end
+        parts.append((il, ir))
         if span >= min(least, len(a)):
             out.append((ids[d], terms.items[k][0], span, edits))
             found = True
-        elif edits == 0:
-            done.add(j - i)
+    close()
     return out
 
 

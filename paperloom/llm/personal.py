@@ -112,33 +112,39 @@ class Finder:
             at.setdefault(kind, []).append(end)
         out: list[tuple[int, int, str]] = []
 
+        taken = bytearray(len(text))
+
         def free(a: int, b: int) -> bool:
-            return all(b <= x or a >= y for x, y, _ in out)
+            return not any(taken[a:b])
+
+        def take(a: int, b: int, kind: str) -> None:
+            taken[a:b] = b"\1" * (b - a)
+            out.append((a, b, kind))
 
         for pos in at.get("at", ()):
             lo = max(0, pos - 90)
             for m in _EMAIL.finditer(text, lo, min(len(text), pos + 120), overlapped=True):
                 if m.start() <= pos < m.end() and free(*m.span()) and self._email(m.group()):
-                    out.append((*m.span(), "email"))
+                    take(*m.span(), "email")
         if "digit" in at:
             for pattern, kind in ((_SEAT, "id_number"), (_ADDRESS, "address"), (_BOX, "address")):
                 if kind == "id_number" or "street" in at:
                     for m in pattern.finditer(text):
                         if free(*m.span()) and (kind != "address" or self._address(m.group())):
-                            out.append((*m.span(), kind))
+                            take(*m.span(), kind)
             if len(at["digit"]) >= 10:
                 for m in _NATIONAL.finditer(text):
                     if free(*m.span()) and self._not_technical(low, m.start()):
-                        out.append((*m.span(), "id_number"))
+                        take(*m.span(), "id_number")
                 for m in _PHONE.finditer(text):
                     if free(*m.span()) and self._phone(m.group(), low, m.start()):
-                        out.append((*m.span(), "phone"))
+                        take(*m.span(), "phone")
         if len(_CAPITALS.findall(text)) >= 2:
             cued = "cue" in at
             pos = 0
             while (m := _NAME.search(text, pos)) is not None:
                 if free(*m.span()) and self._name(m.group(), text, low, *m.span(), cued):
-                    out.append((*m.span(), "name"))
+                    take(*m.span(), "name")
                     pos = m.end()
                 else:
                     nxt = _GAP.search(text, m.start())
