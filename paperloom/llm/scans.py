@@ -40,6 +40,10 @@ _NUMBER = regex.compile(r"\d")
 _LETTERS = regex.compile(r"\p{L}")
 _ROMAN = regex.compile(r"(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 _PAGE_LINE = regex.compile(r"^[\W_]*(?:p[\W_]*[ao0][\W_]*[g9][\W_]*[ecé]|p[g9]|p|no)?[\W_]*([\dilo!]+|[ivxlc]+)[\W_]*(?:(?:[o0][ft]|/)[\W_]*\d+)?[\W_]*$")
+_ENDS = regex.compile(r"[.?!:]['\")]?\s*$")
+_UID_PAGE = regex.compile(r"_p0*(\d{1,9})_b\d+_l\d+$")
+_PAGE_MISREAD = regex.compile(r"(?i)\bp[o0][g9][ecé]\b")
+_SEPARATE = regex.compile(r"[\s/,()]+")
 _MARKER = regex.compile(r"^\s*(?:[-*•]|->|\(?[ivx]+\)|\(?[a-z0-9]{1,2}[.)])\s|^\s*Q\d")
 
 
@@ -91,6 +95,7 @@ class Lexicon:
                 node[""] = w
         self.kept: dict[str, tuple[float, str, int]] = {}
         self.splits: dict[str, float] = {}
+        self.tokens: dict[str, tuple] = {}
 
     def own(self, w: str) -> float:
         """Cost of the token as it stands; a token too rare to be trusted costs what an unknown one does."""
@@ -142,6 +147,29 @@ class Lexicon:
                             stack.append((sub, i + size, k + 1))
         return best
 
+    def token(self, t: str) -> tuple[float, str, int, str, bool]:
+        """(cost, word, confusions, core, whether it may be half a word) of a token as it is written."""
+        got = self.tokens.get(t)
+        if got is None:
+            if len(self.tokens) >= 300_000:
+                self.tokens.clear()
+            got = self.tokens[t] = self._token(t)
+        return got
+
+    def _token(self, t: str) -> tuple[float, str, int, str, bool]:
+        w = core(t)
+        if not _LETTERS.search(w):
+            return 2.0, w, 0, w, False
+        if self.known(w):
+            plain = self.reading(w) if self.count[w] < self.total * 3e-4 else (self.own(w), w, 0)
+            return *plain, w, False
+        low = t.lower()
+        forms = dict.fromkeys((w, low.strip(".,;:?\"'"), low.rstrip(BREAKS), low.strip(".,;:?\"'!" + BREAKS)))
+        plain = min((self.reading(x) for x in forms if x), default=(2.0, w, 0))
+        if w.isalpha() and len(w) > 5 and (two := self.split(w)) < plain[0]:
+            plain = (two, w, 0)
+        return *plain, w, w.isalpha()
+
     def split(self, w: str) -> float:
         """Cost of the token as two words run together."""
         got = self.splits.get(w)
@@ -153,7 +181,7 @@ class Lexicon:
 
 
 def page_of(uid: str) -> int | None:
-    m = regex.search(r"_p0*(\d{1,9})_b\d+_l\d+$", uid)
+    m = _UID_PAGE.search(uid)
     return int(m.group(1)) if m else None
 
 
@@ -180,25 +208,19 @@ def read_page(lines: list[tuple[str, str]], lex: Lexicon, first_part: bool = Tru
     for i, (_, text) in enumerate(lines):
         toks = text.split()
         stream += [(i, t, k == len(toks) - 1) for k, t in enumerate(toks)]
-    cores = [core(t) for _, t, _ in stream]
+    read = [lex.token(t) for _, t, _ in stream]
     m = len(stream)
     cost = [0.0] + [1e18] * m
     back: list[tuple] = [()] * (m + 1)
     for k in range(m):
         i, t, last = stream[k]
-        w, so_far = cores[k], cost[k]
-        if w in lex.count and lex.known(w) or not _LETTERS.search(w):
-            plain = (lex.own(w) if _LETTERS.search(w) else 2.0, w, 0)
-            if _LETTERS.search(w) and lex.count.get(w, 0) < lex.total * 3e-4:
-                plain = lex.reading(w)
-        else:
-            low = t.lower()
-            plain = min((lex.reading(x) for x in dict.fromkeys((w, low.strip(".,;:?\"'"), low.rstrip(BREAKS), low.strip(".,;:?\"'!" + BREAKS))) if x), default=(2.0, w, 0))
-            if w.isalpha() and len(w) > 5 and (two := lex.split(w)) < plain[0]:
-                plain = (two, w, 0)
-        if so_far + plain[0] < cost[k + 1]:
-            cost[k + 1] = so_far + plain[0]
-            back[k + 1] = ("word", k, plain[1], plain[2])
+        so_far = cost[k]
+        price, word, wrong, w, half = read[k]
+        if so_far + price < cost[k + 1]:
+            cost[k + 1] = so_far + price
+            back[k + 1] = ("word", k, word, wrong)
+        if not last and not half:
+            continue
         if k + 1 < m and i not in off:
             j, t2, _ = stream[k + 1]
             if j in off:
@@ -213,8 +235,8 @@ def read_page(lines: list[tuple[str, str]], lex: Lexicon, first_part: bool = Tru
                     if so_far + whole[0] + 1 < cost[min(k + 2, m)]:
                         cost[k + 2] = so_far + whole[0] + 1
                         back[k + 2] = ("broken", k, whole[1], whole[2])
-            elif (last and j == i + 1 or j == i) and w.isalpha() and cores[k + 1].isalpha() and not lex.known(w) and not lex.known(cores[k + 1]):
-                whole = lex.reading(w + cores[k + 1])
+            elif (last and j == i + 1 or j == i) and half and read[k + 1][4]:
+                whole = lex.reading(w + read[k + 1][3])
                 if lex.known(whole[1]) and so_far + whole[0] + 6 < cost[k + 2]:
                     cost[k + 2] = so_far + whole[0] + 6
                     back[k + 2] = ("broken" if last else "merged", k, whole[1], whole[2])
@@ -251,7 +273,7 @@ def read_page(lines: list[tuple[str, str]], lex: Lexicon, first_part: bool = Tru
                 hyphen.add(i)
         if i in hyphen:
             kinds.append((uid, "hyphen"))
-        if i in misread or i in off and (uid, "page_number") in kinds and regex.search(r"(?i)\bp[o0][g9][ecé]\b", text):
+        if i in misread or i in off and (uid, "page_number") in kinds and _PAGE_MISREAD.search(text):
             kinds.append((uid, "misread"))
     return kinds, paragraphs(words, [x for k, (_, x) in enumerate(lines)], off)
 
@@ -285,7 +307,7 @@ def _dress(shown: str, meant: str) -> str:
 
 def _is_header(text: str, lex: Lexicon) -> bool:
     """A line of words that the corpus has at page edges far more than elsewhere."""
-    ws = [w for t in regex.split(r"[\s/,()]+", text) if len(w := core(t)) > 1 and _LETTERS.search(w)]
+    ws = [w for t in _SEPARATE.split(text) if len(w := core(t)) > 1 and _LETTERS.search(w)]
     if len(ws) < 2:
         return False
     lifts = []
@@ -307,18 +329,26 @@ def paragraphs(words: list[tuple[int, str]], lines: list[str], off: set[int]) ->
     widths = sorted(len(lines[i].strip()) for i in order)
     usual = widths[len(widths) * 3 // 4] or 1
     # states: the line begins a paragraph (1) or goes on (0)
-    best = [(1e9, [0]), (0.0, [1])]
+    best = [(1e9, (0, ())), (0.0, (1, ()))]
+    marker = {i: bool(_MARKER.match(lines[i])) for i in order}
     for a, b in zip(order, order[1:], strict=False):
-        ends = bool(regex.search(r"[.?!:]['\")]?\s*$", lines[a]))
-        short = len(lines[a].strip()) < 0.7 * usual
-        starts = lines[b].lstrip()[:1].isupper() or bool(_MARKER.match(lines[b]))
-        new = 3.0 - 1.5 * ends - 2.0 * short - 0.5 * starts - 3.0 * bool(_MARKER.match(lines[b])) + 2.0 * bool(_HYPHEN_END.search(lines[a]) and not starts)
-        on = 1.0 * (ends and short) + 1.0 * bool(_MARKER.match(lines[b]))
-        least = min(best, key=lambda x: x[0])
+        line = lines[a].rstrip()
+        ends = bool(_ENDS.search(line[-3:]))
+        short = len(line.lstrip()) < 0.7 * usual
+        starts = lines[b].lstrip()[:1].isupper() or marker[b]
+        broken = line[-1:] in BREAKS and not starts and bool(_HYPHEN_END.search(line))
+        new = 3.0 - 1.5 * ends - 2.0 * short - 0.5 * starts - 3.0 * marker[b] + 2.0 * broken
+        on = 1.0 * (ends and short) + 1.0 * marker[b]
+        (on_cost, going), (new_cost, begun) = best
         # a paragraph of a single line costs a little
-        fresh = min((best[0][0] + new, best[0][1]), (best[1][0] + new + 0.3, best[1][1]), key=lambda x: x[0])
-        best = [(least[0] + on, least[1] + [0]), (fresh[0], fresh[1] + [1])]
-    marks = min(best, key=lambda x: x[0])[1]
+        fresh = (on_cost + new, going) if on_cost <= new_cost + 0.3 else (new_cost + new + 0.3, begun)
+        least = (on_cost, going) if on_cost <= new_cost else (new_cost, begun)
+        best = [(least[0] + on, (0, least[1])), (fresh[0], (1, fresh[1]))]
+    marks, link = [], min(best, key=lambda x: x[0])[1]
+    while link:
+        marks.append(link[0])
+        link = link[1]
+    marks.reverse()
     out: list[list[str]] = []
     for i, mark in zip(order, marks, strict=True):
         if mark:
@@ -355,8 +385,19 @@ def count_words(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         edge: Counter = Counter()
+        merged: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
+            # tokens were counted as written; words are told once per different token
+            for raw in (n, edge):
+                for t in list(raw):
+                    c = raw.pop(t)
+                    w = core(t)
+                    if len(w) < 60 and _LETTERS.search(w):
+                        merged[w, raw is edge] += c
+            for (w, at_edge), c in merged.items():
+                (edge if at_edge else n)[w] = c
+            merged.clear()
             words = list(n)
             out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([n[w] for w in words], pa.int64()), pa.array([edge[w] for w in words], pa.int64())], names=["word", "n", "n_edge"])
             n.clear()
@@ -369,7 +410,7 @@ def count_words(pages: DataFrame) -> DataFrame:
                 for k, row in enumerate(rows):
                     toks = row["text"].split()
                     skip, broken = broken, bool(_HYPHEN_END.search(row["text"]))
-                    ws = [w for t in toks[int(skip) : len(toks) - broken] if len(w := core(t)) < 60 and _LETTERS.search(w)]
+                    ws = toks[int(skip) : len(toks) - broken]
                     n.update(ws)
                     if k == 0 or k == len(rows) - 1:
                         edge.update(ws)
