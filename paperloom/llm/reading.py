@@ -141,7 +141,7 @@ def _descend(x_forward, x_backward, size: int, target: np.ndarray, l2: float, st
     return w
 
 
-def _fit_sentences(docs: list[list[list[str]]], target: np.ndarray, l2: float = 2e-5, steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
+def _fit_sentences(docs: list[list[list[str]]], target: np.ndarray, l2: float = 2e-5, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
     flat = [(s, k) for k, d in enumerate(docs) for s in d]
     place: dict[str, int] = {}
     ids = np.array([place.setdefault(w, len(place)) for s, _ in flat for w in s])
