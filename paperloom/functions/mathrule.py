@@ -38,8 +38,10 @@ def _parts(text: Column) -> tuple[Column, Column, Column]:
 
 def math_word(text: Column) -> Column:
     """First of the fixed words, in their fixed order, that stands in the text as a whole token; null if none."""
-    found = F.array_intersect(F.array(*[F.lit(w) for w in S.MATH_WORDS]), F.split(F.lower(text), SPACE + "+"))
-    return F.get(found, F.lit(0))
+    low = F.lower(text)
+    found = F.array_intersect(F.array(*[F.lit(w) for w in S.MATH_WORDS]), F.split(low, SPACE + "+"))
+    # most lines hold none of the words, so they are not split
+    return F.when(low.rlike("|".join(S.MATH_WORDS)), F.get(found, F.lit(0)))
 
 
 def math_ratio(text: Column) -> Column:

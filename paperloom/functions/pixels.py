@@ -288,6 +288,17 @@ def fixed_crop(gray: np.ndarray, anchor: tuple[int, int], size: tuple[int, int]
     return out
 
 
+def padded_crop(gray: np.ndarray, box: tuple[int, int, int, int], pad: int) -> np.ndarray:
+    """The box with a margin on every side, white where the margin leaves the page."""
+    h, w = gray.shape
+    x1, y1, x2, y2 = box[0] - pad, box[1] - pad, box[2] + pad, box[3] + pad
+    out = np.full((max(0, y2 - y1), max(0, x2 - x1)), 255, dtype=np.uint8)
+    part = gray[max(0, y1) : min(h, y2), max(0, x1) : min(w, x2)]
+    top, left = max(0, -y1), max(0, -x1)
+    out[top : top + part.shape[0], left : left + part.shape[1]] = part
+    return out
+
+
 def table_lines(mask: np.ndarray, probe: int = 40, least: float = 0.15) -> list[tuple[str, float, float, float]]:
     """(axis, pos, start, end) of straight lines of at least a share of the page in either direction."""
     out = []

@@ -73,11 +73,12 @@ def admit_predictions(boxes: DataFrame, predictions: DataFrame, most: float = S.
             if share(b) < most:
                 kept.append(o)
                 put(b)
-        return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]] * len(kept), "ord": kept})
+        page = pdf["page_id"].iloc[0]
+        return pd.DataFrame([(page, o) for o in kept], columns=["page_id", "ord"])
 
     cols = ["page_id", "x1", "y1", "x2", "y2"]
     both = boxes.select(*cols).withColumns({"ord": F.lit(0).cast("bigint"), "predicted": F.lit(False)}).unionByName(predictions.select(*cols, F.col("ord").cast("bigint").alias("ord"), F.lit(True).alias("predicted")))
-    return both.dropna(subset=cols).groupBy("page_id").applyInPandas(fold, "page_id string, ord bigint")
+    return both.dropna(subset=[*cols, "ord"]).groupBy("page_id").applyInPandas(fold, "page_id string, ord bigint")
 
 
 def explode_assignments(assignments: DataFrame) -> tuple[DataFrame, DataFrame]:

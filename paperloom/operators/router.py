@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom import schemas as S
+from paperloom.common import spread
 from paperloom.functions import mathrule as M
 from paperloom.functions.identity import line_uid
 
@@ -50,7 +51,7 @@ def reroute(routed: DataFrame, text: DataFrame, least_ratio: float = S.MATH_RATI
 
 def route_documents(docs: DataFrame) -> DataFrame:
     """Lines of documents by route and deciding test."""
-    rows = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(M.math_reason(F.col("line")).alias("why"))
+    rows = spread(docs.select("text")).select(F.explode(F.split("text", "\n")).alias("line")).select(M.math_reason(F.col("line")).alias("why"))
     route = F.when(M.is_math(F.col("why")), "math_ocr").otherwise("text_ocr")
     return rows.groupBy(route.alias("route"), "why").agg(F.count(F.lit(1)).alias("n"))
 

@@ -66,8 +66,8 @@ def simulate(regions: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [_draw(u, bool(t), int(w)) for u, t, w in zip(pdf["line_uid"], pdf["tall"], pdf["width"], strict=True)]
-            yield pd.DataFrame({"line_uid": pdf["line_uid"], "status": [g[0] for g in got], "text": [g[1] for g in got], "confidence": [g[2] for g in got]})
+            got = [(u, *_draw(u, bool(t), int(w))) for u, t, w in zip(pdf["line_uid"], pdf["tall"], pdf["width"], strict=True)]
+            yield pd.DataFrame(got, columns=["line_uid", "status", "text", "confidence"])
 
     rows = regions.filter(F.col("line_uid").isNotNull()).select("line_uid", F.coalesce("tall", F.lit(False)).alias("tall"), F.coalesce("width", F.lit(0)).alias("width"))
     return rows.mapInPandas(run, schema).withColumn("simulated", F.lit(True))

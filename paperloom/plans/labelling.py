@@ -104,6 +104,22 @@ def f03_admit_predictions(spark, d):
     return A.admit_predictions(blk, predictions(spark, d))
 
 
+@R.add()
+def u06_hybrid_boxes(spark, d):
+    """Blocks with transferred labels and, after them, predictions that none of the boxes so far covers."""
+    pred = predictions(spark, d)
+    blk = boxes(spark, d).filter("box_id % 1000 = 0").select("page_id", F.expr("box_id div 1000").cast("int").alias("block_id"), "x1", "y1", "x2", "y2")
+    named = A.transfer_labels(blk, pred, "block_id", "ord")
+    new = A.admit_predictions(blk, pred).join(pred, ["page_id", "ord"])
+    cols = ["page_id", "category", "score", "x1", "y1", "x2", "y2"]
+    return named.select(*cols, F.lit("block").alias("origin")).unionByName(new.select(*cols, F.lit("prediction").alias("origin")))
+
+
+@R.add(f"WITH {_BOXES} SELECT page_id, box_id FROM sized WHERE category <> 'table' AND y2 - y1 >= 20 AND x2 - x1 >= 0.02::DOUBLE * page_w")
+def pk_block_floor(spark, d):
+    return sized(spark, d).filter((F.col("category") != "table") & (F.col("y2") - F.col("y1") >= 20) & (F.col("x2") - F.col("x1") >= F.lit(0.02) * F.col("page_w"))).select("page_id", "box_id")
+
+
 _STAR = f"{_BOXES}, kept AS (SELECT s.*, list_position(['paragraph','math','figure','table','code','crossed_out'], category) AS category_id, row_number() OVER (PARTITION BY page_id ORDER BY box_id) AS ordinal FROM sized s)"
 
 

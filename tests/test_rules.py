@@ -169,8 +169,9 @@ def test_assignments_of_all_forms(spark):
 
 def test_admitted_predictions_see_each_other(spark):
     boxes = spark.createDataFrame([("p", 0, 0, 100, 100)], "page_id string, x1 int, y1 int, x2 int, y2 int")
-    pred = spark.createDataFrame([("p", 200, 0, 300, 100, 0), ("p", 205, 0, 300, 100, 1), ("p", 10, 10, 50, 50, 2), ("q", 0, 0, 9, 9, 3), ("q", None, 0, 9, 9, 4)], "page_id string, x1 int, y1 int, x2 int, y2 int, ord int")
+    pred = spark.createDataFrame([("p", 200, 0, 300, 100, 0), ("p", 205, 0, 300, 100, 1), ("p", 10, 10, 50, 50, 2), ("q", 0, 0, 9, 9, 3), ("q", None, 0, 9, 9, 4), ("p", 400, 0, 500, 9, None)], "page_id string, x1 int, y1 int, x2 int, y2 int, ord int")
     assert sorted((r.page_id, r.ord) for r in A.admit_predictions(boxes, pred).collect()) == [("p", 0), ("q", 3)]
+    assert A.admit_predictions(boxes, pred.filter("ord = 2")).count() == 0
 
 
 def test_running_mean_clusters(spark):
