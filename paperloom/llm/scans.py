@@ -25,6 +25,8 @@ from paperloom.common import checkpoint, latest_lines, norm_key, table
 PART = 2000  # lines of a page gathered in one row; longer pages are read in parts that share a line
 # A word is in the lexicon from this share of all words on, so the lexicon has at most 1 / share entries.
 LEAST_SHARE = 2e-6
+# Words of at least this share of all words say nothing about headers.
+COMMON = 3e-3
 
 # fixed values: how recognisers confuse printed and handwritten characters (seen -> meant)
 CONFUSED = {
@@ -39,11 +41,12 @@ _HYPHEN_END = regex.compile(rf"(\p{{L}})[{BREAKS}]\s*$")
 _NUMBER = regex.compile(r"\d")
 _LETTERS = regex.compile(r"\p{L}")
 _ROMAN = regex.compile(r"(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
-_PAGE_LINE = regex.compile(r"^[\W_]*(?:p[\W_]*[ao0][\W_]*[g9][\W_]*[ecé]|p[g9]|p|no)?[\W_]*([\dilo!]+|[ivxlc]+)[\W_]*(?:(?:[o0][ft]|/)[\W_]*\d+)?[\W_]*$")
+_PAGE_LINE = regex.compile(r"^[\W_]*(p[\W_]*[ao0][\W_]*[g9][\W_]*[ecé]|p[g9]|p|no)?[\W_]*([\dilo!]+|[ivxlc]+)[\W_]*(?:(?:[o0][ft]|/)[\W_]*\d+)?[\W_]*$")
 _ENDS = regex.compile(r"[.?!:]['\")]?\s*$")
 _UID_PAGE = regex.compile(r"_p0*(\d{1,9})_b\d+_l\d+$")
 _PAGE_MISREAD = regex.compile(r"(?i)\bp[o0][g9][ecé]\b")
-_SEPARATE = regex.compile(r"[\s/,()]+")
+_NOT_LETTERS = regex.compile(r"[^\p{L}]+")
+_SEPARATE = regex.compile(r"[\s/,]+")
 _MARKER = regex.compile(r"^\s*(?:[-*•]|->|\(?[ivx]+\)|\(?[a-z0-9]{1,2}[.)])\s|^\s*Q\d")
 
 
@@ -66,25 +69,28 @@ def is_page_number(text: str, page: int | None) -> bool:
     m = _PAGE_LINE.match(text.lower())
     if not m or page is None:
         return False
-    shown = m.group(1)
+    shown = m.group(2)
     if shown.isdigit():
         return int(shown) == page
     if roman(shown) == page:
         return True
     digits = shown.translate(str.maketrans("ilo!", "1101"))
-    return digits.isdigit() and _NUMBER.search(shown) is not None and int(digits) == page
+    return digits.isdigit() and bool(m.group(1) or _NUMBER.search(shown)) and int(digits) == page
 
 
 class Lexicon:
     """Word counts with the search for the likeliest reading of a token; readings are kept up to a fixed number."""
 
-    def __init__(self, words: dict[str, tuple[int, int]], total: int, edge_total: int):
+    def __init__(self, words: dict[str, tuple[int, int]], total: int, edge_total: int, templates: list[str] = ()):
+        self.templates: dict[str, list[str]] = {}
+        for t in templates:
+            self.templates.setdefault(t.split(" ", 1)[0], []).append(t)
         self.total = max(total, 1)
         self.count = {w: n for w, (n, _) in words.items()}
         base = (edge_total + 1) / (self.total + 2)
         self.lift = {}
         for w, (n, e) in words.items():
-            r = (e + 2 * base) / (n + 2)
+            r = (e + 20 * base) / (n + 20)
             self.lift[w] = math.log(r / base * (1 - base) / (1 - r)) if r < 1 else 8.0
         self.trie: dict = {}
         for w, (n, _) in words.items():
@@ -306,15 +312,20 @@ def _dress(shown: str, meant: str) -> str:
 
 
 def _is_header(text: str, lex: Lexicon) -> bool:
-    """A line of words that the corpus has at page edges far more than elsewhere."""
+    """A line like a template of running headers, perhaps cut off, or of words of which three in four and the mean stand at page edges far more than elsewhere in the corpus; very common words, of which there may be as many again, aside."""
     ws = [w for t in _SEPARATE.split(text) if len(w := core(t)) > 1 and _LETTERS.search(w)]
     if len(ws) < 2:
         return False
-    lifts = []
+    lifts, key = [], []
     for w in ws:
-        meant = w if lex.known(w) else lex.reading(w)[1]
-        lifts.append(lex.lift.get(meant, 0.0) if lex.known(meant) else 0.5)
-    return sum(lifts) / len(lifts) >= 1.6
+        meant = lex.reading(w)[1]
+        key.append(_NOT_LETTERS.sub(" ", meant).strip())
+        if lex.count.get(meant, 0) < COMMON * lex.total:
+            lifts.append(lex.lift.get(meant, 0.0) if lex.known(meant) else 0.5)
+    if 2 * len(lifts) >= len(ws) and sum(lifts) >= 2.3 * len(lifts) and sum(x >= 1.8 for x in lifts) >= 0.75 * len(lifts):
+        return True
+    line = " ".join(k for k in key if k)
+    return len(line) >= 10 and any(len(line) <= len(t) and sum(a != b for a, b in zip(line, t, strict=False)) <= 2 for t in lex.templates.get(key[0], ()))
 
 
 def paragraphs(words: list[tuple[int, str]], lines: list[str], off: set[int]) -> list[str]:
@@ -421,13 +432,27 @@ def count_words(pages: DataFrame) -> DataFrame:
     return pages.select("page", "lines").mapInArrow(run, "word string, n long, n_edge long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_edge").alias("n_edge"))
 
 
-def lexicon_rows(pages: DataFrame, least_share: float = LEAST_SHARE) -> tuple[dict, int, int]:
+def header_templates(pages: DataFrame, least_share: float = 1.2e-3, at_edges: float = 0.8) -> list[str]:
+    """Letters of lines that stand in the first or last two lines of at least this share of pages (so under 4 / share of them) and hardly elsewhere."""
+    key = lambda t: F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}]+", " "))
+    n = pages.count()
+    near = F.array_distinct(F.array(F.lit(0), F.lit(1), F.size("lines") - 2, F.size("lines") - 1))
+    edges = pages.select(F.explode(F.transform(near, lambda i: F.get("lines", i)["text"])).alias("t")).select(key(F.col("t")).alias("k"))
+    often = edges.filter((F.length("k") >= 10) & F.col("k").contains(" ")).groupBy("k").agg(F.count(F.lit(1)).alias("e")).filter(F.col("e") >= max(3.0, least_share * n))
+    often = checkpoint(often)
+    every = pages.select(F.explode("lines.text").alias("t")).select(key(F.col("t")).alias("k"))
+    # `often` has fewer than 4 / least_share rows
+    all_of = every.join(F.broadcast(often), "k").groupBy("k", "e").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r.k for r in all_of.filter(F.col("e") >= at_edges * F.col("n")).toLocalIterator())
+
+
+def lexicon_rows(pages: DataFrame, least_share: float = LEAST_SHARE) -> tuple[dict, int, int, list[str]]:
     """Lexicon for the executors: words of at least `least_share` of all words, so at most 1 / least_share of them."""
     counts = checkpoint(count_words(pages))
     total = counts.agg(F.sum("n").alias("n"), F.sum("n_edge").alias("e")).first()
     n, e = total.n or 0, total.e or 0
     rows = counts.filter((F.col("n") >= max(1.0, least_share * n)) & (F.col("n") > 1)).toLocalIterator()
-    return {r.word: (r.n, r.n_edge) for r in rows}, n, e
+    return {r.word: (r.n, r.n_edge) for r in rows}, n, e, header_templates(pages)
 
 
 def repair(lines: DataFrame) -> DataFrame:
