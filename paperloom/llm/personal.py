@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.common import latest_lines, spread, table
+from paperloom.common import checkpoint, latest_lines, spread, table
 
 PLACE = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 # fixed values: cues of the anchors
@@ -206,6 +206,7 @@ def ordinary_words(lines: DataFrame, least_share: float = 1e-5) -> dict[str, int
         .groupBy("w").agg(F.count(F.lit(1)).alias("n"))
         .groupBy(F.lower("w").alias("w")).agg(F.sum(F.when(F.col("w") == F.lower("w"), F.col("n")).otherwise(0)).alias("low"), F.sum("n").alias("n"))
     )
+    counts = checkpoint(counts)  # used twice
     total = counts.agg(F.sum("n")).first()[0] or 0
     kept = counts.filter((F.col("low") >= max(3.0, least_share * total)) & (F.col("low") >= 0.2 * F.col("n")))
     return {r.w: r.low for r in kept.select("w", "low").toLocalIterator()}
