@@ -12,17 +12,18 @@ chosen by dynamic programming over the lines that stay.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.common import checkpoint, latest_lines, norm_key, table
 
-PART = 2000  # lines of a page gathered in one row; longer pages are read in parts that share a line
+PART = 2000  # lines of a page gathered in one row; longer pages have several rows, which are read together
 # A word is in the lexicon from this share of all words on, so the lexicon has at most 1 / share entries.
 LEAST_SHARE = 2e-6
 # Words of at least this share of all words say nothing about headers.
@@ -191,13 +192,13 @@ def page_of(uid: str) -> int | None:
     return int(m.group(1)) if m else None
 
 
-def read_page(lines: list[tuple[str, str]], lex: Lexicon, first_part: bool = True) -> tuple[list[tuple[str, str]], list[str]]:
-    """((line_uid, kind) found, paragraphs) of a page whose lines with text are given in order."""
+def read_page(lines: list[tuple[str, str]], lex: Lexicon) -> tuple[list[tuple[str, str]], list[tuple[int, str]]]:
+    """((line_uid, kind) found, (first line, text) of each paragraph) of a page whose lines with text are given in order."""
     kinds: list[tuple[str, str]] = []
     n = len(lines)
     off = set()
     # page numbers and headers stand at the edges, at most two lines deep
-    order = [i for pair in zip(range(2), range(n - 1, n - 3, -1), strict=True) for i in pair if 0 <= i < n] if first_part else []
+    order = [i for pair in zip(range(2), range(n - 1, n - 3, -1), strict=True) for i in pair if 0 <= i < n]
     for i in dict.fromkeys(order):
         uid, text = lines[i]
         inner = i not in (0, n - 1)
@@ -209,10 +210,45 @@ def read_page(lines: list[tuple[str, str]], lex: Lexicon, first_part: bool = Tru
         elif _is_header(text, lex):
             kinds.append((uid, "header"))
             off.add(i)
-    # one stream of tokens: (line, token, core, last of its line)
+    misread, hyphen = set(), set()
+    words: list[tuple[int, str]] = []
+    begin = 0
+    while begin < n:
+        end = min(begin + PART, n)
+        while end < n and _may_join(lines[end - 1][1], lines[end][1], lex):
+            end += 1
+        for i, shown in _read_stream(lines, begin, end, off, lex, misread, hyphen):
+            if words and words[-1][0] == i:
+                words[-1] = (i, f"{words[-1][1]} {shown}")
+            else:
+                words.append((i, shown))
+        begin = end
+    numbers = {uid for uid, kind in kinds if kind == "page_number"}
+    for i in range(n):
+        uid, text = lines[i]
+        if i not in hyphen and i not in off and i + 1 < n and _HYPHEN_END.search(text):
+            stem = text.split()[-1].rstrip(BREAKS).lower().lstrip(_EDGE)
+            if not lex.known(stem) and _odd_next(lines[i + 1][1]) and len(stem) > 1 and not stem.endswith(":") and _prefix(lex, stem):
+                hyphen.add(i)
+        if i in hyphen:
+            kinds.append((uid, "hyphen"))
+        if i in misread or i in off and uid in numbers and _PAGE_MISREAD.search(text):
+            kinds.append((uid, "misread"))
+    return kinds, paragraphs(words, [x for _, x in lines], off)
+
+
+def _may_join(a: str, b: str, lex: Lexicon) -> bool:
+    """Whether a word may go on from line a to line b; where none can, the cheapest paths before and after are independent."""
+    a, b = a.split(), b.split()
+    return bool(a and b) and (a[-1].rstrip(".,")[-1:] in BREAKS or lex.token(a[-1])[4] and lex.token(b[0])[4])
+
+
+def _read_stream(lines: list[tuple[str, str]], begin: int, end: int, off: set[int], lex: Lexicon, misread: set[int], hyphen: set[int]) -> list[tuple[int, str]]:
+    """(line, token) of the cheapest path through lines begin to end; adds to the lines misread and broken."""
+    # one stream of tokens: (line, token, last of its line)
     stream = []
-    for i, (_, text) in enumerate(lines):
-        toks = text.split()
+    for i in range(begin, end):
+        toks = lines[i][1].split()
         stream += [(i, t, k == len(toks) - 1) for k, t in enumerate(toks)]
     read = [lex.token(t) for _, t, _ in stream]
     m = len(stream)
@@ -246,7 +282,6 @@ def read_page(lines: list[tuple[str, str]], lex: Lexicon, first_part: bool = Tru
                 if lex.known(whole[1]) and so_far + whole[0] + 6 < cost[k + 2]:
                     cost[k + 2] = so_far + whole[0] + 6
                     back[k + 2] = ("broken" if last else "merged", k, whole[1], whole[2])
-    misread, hyphen = set(), set()
     words: list[tuple[int, str]] = []
     k = m
     while k:
@@ -271,17 +306,7 @@ def read_page(lines: list[tuple[str, str]], lex: Lexicon, first_part: bool = Tru
             words.append((i, _dress(t, meant) if wrong else t))
         k = prev
     words.reverse()
-    for i in range(n):
-        uid, text = lines[i]
-        if i not in hyphen and i not in off and i + 1 < n and _HYPHEN_END.search(text):
-            stem = text.split()[-1].rstrip(BREAKS).lower().lstrip(_EDGE)
-            if not lex.known(stem) and _odd_next(lines[i + 1][1]) and len(stem) > 1 and not stem.endswith(":") and _prefix(lex, stem):
-                hyphen.add(i)
-        if i in hyphen:
-            kinds.append((uid, "hyphen"))
-        if i in misread or i in off and (uid, "page_number") in kinds and _PAGE_MISREAD.search(text):
-            kinds.append((uid, "misread"))
-    return kinds, paragraphs(words, [x for k, (_, x) in enumerate(lines)], off)
+    return words
 
 
 def _odd_next(text: str) -> bool:
@@ -328,8 +353,8 @@ def _is_header(text: str, lex: Lexicon) -> bool:
     return len(line) >= 10 and any(len(line) <= len(t) and sum(a != b for a, b in zip(line, t, strict=False)) <= 2 for t in lex.templates.get(key[0], ()))
 
 
-def paragraphs(words: list[tuple[int, str]], lines: list[str], off: set[int]) -> list[str]:
-    """Text cut where the sum of the costs of breaking or going on between lines is least, by dynamic programming."""
+def paragraphs(words: list[tuple[int, str]], lines: list[str], off: set[int]) -> list[tuple[int, str]]:
+    """(first line, text): text cut where the sum of the costs of breaking or going on between lines is least, by dynamic programming."""
     kept: dict[int, list[str]] = {}
     for i, w in words:
         if i not in off:
@@ -360,31 +385,41 @@ def paragraphs(words: list[tuple[int, str]], lines: list[str], off: set[int]) ->
         marks.append(link[0])
         link = link[1]
     marks.reverse()
-    out: list[list[str]] = []
+    out: list[tuple[int, list[str]]] = []
     for i, mark in zip(order, marks, strict=True):
         if mark:
-            out.append([])
-        out[-1] += kept[i]
-    return [" ".join(p) for p in out]
+            out.append((i, []))
+        out[-1][1].extend(kept[i])
+    return [(i, " ".join(p)) for i, p in out]
 
 
 def gather_pages(lines: DataFrame) -> DataFrame:
-    """(page, part, lines): the latest reading of each line with text, in reading order.
+    """(page, part, lines, own, start, total): the latest reading of each line with text, in reading order.
 
     The page is the one in the line's uid, which is right where page_id is
     null or wrong. Ties in reading_order go by block, line and uid. A part
-    has the lines of 2000 places and the first line of the next part.
+    has the lines of 2000 places and the first line of the next part; the
+    first `own` lines are its own and stand from line `start` on in a page of
+    `total` lines. The parts of a page follow each other in one partition.
     """
     rows = latest_lines(lines, "page_id", "reading_order", "block_id", "line_id", "text").filter(F.trim("text") != "")
     of_uid = F.regexp_extract("line_uid", r"^(.+)_b\d+_l\d+$", 1)
-    part = F.floor(F.coalesce(F.col("reading_order"), F.lit(0)) / PART).cast("int")
+    place = lambda o: F.floor(F.coalesce(o, F.lit(0)) / PART).cast("int")
+    part = place(F.col("reading_order"))
     parts = F.when((part > 0) & (F.col("reading_order") % PART == 0), F.array(part, part - 1)).otherwise(F.array(part))
     keyed = rows.select(
         F.when(of_uid != "", of_uid).otherwise(F.coalesce(norm_key(F.col("page_id")), F.lit(""))).alias("page"),
         F.explode(parts).alias("part"),
         F.struct("reading_order", "block_id", "line_id", "line_uid", "text").alias("x"),
     )
-    return keyed.groupBy("page", "part").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.struct(x["line_uid"].alias("uid"), x["text"].alias("text"))).alias("lines"))
+    # one shuffle by page serves the parts, the counts over a page's parts and their order
+    gathered = keyed.repartition("page").groupBy("page", "part").agg(
+        F.transform(F.array_sort(F.collect_list("x")), lambda x: F.struct(x["line_uid"].alias("uid"), x["text"].alias("text"))).alias("lines"),
+        F.sum((place(F.col("x.reading_order")) == F.col("part")).cast("int")).cast("int").alias("own"),
+    )
+    of_page = Window.partitionBy("page").orderBy("part")
+    before, through = (of_page.rowsBetween(Window.unboundedPreceding, x) for x in (-1, Window.unboundedFollowing))
+    return gathered.select("*", F.coalesce(F.sum("own").over(before), F.lit(0)).cast("int").alias("start"), F.sum("own").over(through).cast("int").alias("total"))
 
 
 def count_words(pages: DataFrame) -> DataFrame:
@@ -415,32 +450,35 @@ def count_words(pages: DataFrame) -> DataFrame:
             edge.clear()
             return out
 
+        broken = False
         for batch in batches:
-            for rows in batch.column(1).to_pylist():
-                broken = False
-                for k, row in enumerate(rows):
+            for rows, own, start, total in zip(*batch.columns, strict=True):
+                own, start, total = own.as_py(), start.as_py(), total.as_py()
+                broken = start > 0 and broken
+                for k, row in enumerate(rows.as_py()[:own], start):
                     toks = row["text"].split()
                     skip, broken = broken, bool(_HYPHEN_END.search(row["text"]))
                     ws = toks[int(skip) : len(toks) - broken]
                     n.update(ws)
-                    if k == 0 or k == len(rows) - 1:
+                    if k in (0, total - 1):
                         edge.update(ws)
             if len(n) > 200_000:
                 yield flush()
         yield flush()
 
-    return pages.select("page", "lines").mapInArrow(run, "word string, n long, n_edge long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_edge").alias("n_edge"))
+    return pages.select("lines", "own", "start", "total").mapInArrow(run, "word string, n long, n_edge long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_edge").alias("n_edge"))
 
 
 def header_templates(pages: DataFrame, least_share: float = 1.2e-3, at_edges: float = 0.8) -> list[str]:
     """Letters of lines that stand in the first or last two lines of at least this share of pages (so under 4 / share of them) and hardly elsewhere."""
     key = lambda t: F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}]+", " "))
-    n = pages.count()
-    near = F.array_distinct(F.array(F.lit(0), F.lit(1), F.size("lines") - 2, F.size("lines") - 1))
-    edges = pages.select(F.explode(F.transform(near, lambda i: F.get("lines", i)["text"])).alias("t")).select(key(F.col("t")).alias("k"))
+    n = pages.filter("start = 0 and own > 0").count()
+    near = F.array_distinct(F.array(F.lit(0), F.lit(1), F.col("total") - 2, F.col("total") - 1))
+    here = F.filter(F.transform(near, lambda i: i - F.col("start")), lambda i: (i >= 0) & (i < F.col("own")))
+    edges = pages.select(F.explode(F.transform(here, lambda i: F.get("lines", i)["text"])).alias("t")).select(key(F.col("t")).alias("k"))
     often = edges.filter((F.length("k") >= 10) & F.col("k").contains(" ")).groupBy("k").agg(F.count(F.lit(1)).alias("e")).filter(F.col("e") >= max(3.0, least_share * n))
     often = checkpoint(often)
-    every = pages.select(F.explode("lines.text").alias("t")).select(key(F.col("t")).alias("k"))
+    every = pages.select(F.explode(F.slice("lines.text", F.lit(1), F.col("own"))).alias("t")).select(key(F.col("t")).alias("k"))
     # `often` has fewer than 4 / least_share rows
     all_of = every.join(F.broadcast(often), "k").groupBy("k", "e").agg(F.count(F.lit(1)).alias("n"))
     return sorted(r.k for r in all_of.filter(F.col("e") >= at_edges * F.col("n")).toLocalIterator())
@@ -455,9 +493,27 @@ def lexicon_rows(pages: DataFrame, least_share: float = LEAST_SHARE) -> tuple[di
     return {r.word: (r.n, r.n_edge) for r in rows}, n, e, header_templates(pages)
 
 
+def _by_part(parts: list[tuple[str, int, int]], lines: list[tuple[str, str]], found: list[tuple[str, str]], texts: list[tuple[int, str]]) -> list[tuple]:
+    """Rows (page, part, uids, kinds, paragraphs) of a page."""
+    if len(parts) == 1:
+        return [(*parts[0][:2], [u for u, _ in found], [k for _, k in found], [t for _, t in texts])]
+    starts = [start for _, _, start in parts]
+    line = {uid: i for i, (uid, _) in enumerate(lines)}
+    rows = [(page, part, [], [], []) for page, part, _ in parts]
+    for uid, kind in found:
+        row = rows[bisect_right(starts, line[uid]) - 1]
+        row[2].append(uid)
+        row[3].append(kind)
+    for i, text in texts:
+        rows[bisect_right(starts, i) - 1][4].append(text)
+    return rows
+
+
 def repair(lines: DataFrame) -> DataFrame:
     """(page, part, uids, kinds, paragraphs): what was found in each page and its readable text.
 
+    All parts of a page are read as one; what was found and the paragraphs
+    are given with the part in which the line stands or the paragraph begins.
     Null and blank texts are no lines; null line_uids are left out; repeated
     and older readings count once; an empty table gives no rows; very long
     lines are read whole.
@@ -466,19 +522,28 @@ def repair(lines: DataFrame) -> DataFrame:
     words = lexicon_rows(pages)
     shared = pages.sparkSession.sparkContext.broadcast(words)
 
+    strings = pa.list_(pa.string())
+    kinds_out, names_out = [pa.string(), pa.int32(), strings, strings, strings], ["page", "part", "uids", "kinds", "paragraphs"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon(*shared.value)
+        lines: list[tuple[str, str]] = []
+        parts: list[tuple[str, int, int]] = []  # (page, part, its first line) of the page being gathered
         for batch in batches:
-            uids, kinds, texts = [], [], []
-            for part, rows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found, text = read_page([(r["uid"], r["text"]) for r in rows], lex, part == 0)
-                uids.append([u for u, _ in found])
-                kinds.append([k for _, k in found])
-                texts.append(text)
-            lists = [pa.array(x, pa.list_(pa.string())) for x in (uids, kinds, texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["page", "part", "uids", "kinds", "paragraphs"])
-
-    return pages.mapInArrow(run, "page string, part int, uids array<string>, kinds array<string>, paragraphs array<string>")
+            out: list[tuple] = []
+            for page, part, rows, own, start, total in zip(*batch.columns, strict=True):
+                own, start, total = own.as_py(), start.as_py(), total.as_py()
+                if not own:
+                    continue
+                if start == 0:
+                    lines, parts = [], []
+                parts.append((page.as_py(), part.as_py(), start))
+                lines += [(r["uid"], r["text"]) for r in rows.as_py()[:own]]
+                if len(lines) == total:
+                    out += _by_part(parts, lines, *read_page(lines, lex))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(list(zip(*out, strict=True)) or [[]] * len(kinds_out), kinds_out, strict=True)], names=names_out)
+
+    return pages.select("page", "part", "lines", "own", "start", "total").mapInArrow(run, "page string, part int, uids array<string>, kinds array<string>, paragraphs array<string>")
 
 
 def p2_found(spark, d):

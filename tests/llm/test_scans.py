@@ -78,3 +78,38 @@ def test_page_numbers(text, page, is_number):
 
 def test_roman():
     assert [S.roman(x) for x in ("iv", "ix", "xii", "xl", "iiii", "")] == [4, 9, 12, 40, None, None]
+
+
+def long_page(n=47):
+    """A page with a header, a number at its end, broken words throughout and words of page edges in its middle."""
+    rng = random.Random(8)
+    page = [f"Velmora Institute of Technology   {300}"] + [" ".join(rng.choice(WORDS) for _ in range(7)) for _ in range(n)]
+    for i in range(3, n - 3, 3):
+        page[i], page[i + 1] = page[i] + " wire-", "less " + page[i + 1]
+    page[19], page[20] = "Velmora Institute of Technology", "300"
+    return [*page, "- 300 -"]
+
+
+def results(rows):
+    pages, found = {}, []
+    for r in sorted(rows, key=lambda r: r.part):
+        pages.setdefault(r.page, []).extend(r.paragraphs)
+        found += zip(r.uids, r.kinds, strict=True)
+    return pages, sorted(found)
+
+
+def test_parts_read_as_one_page(spark, lines, monkeypatch):
+    t = D(2024, 1, 1)
+    page = long_page()
+    more = spark.createDataFrame([(f"s01_c1_p300_b00_l{i:02d}", None, i, 0, i, x, t, t, "k", 300) for i, x in enumerate(page)], COLS)
+    whole = results(S.repair(lines.unionByName(more)).collect())
+    words = sorted(map(tuple, S.count_words(S.gather_pages(lines.unionByName(more))).collect()))
+    of = lambda kind: [int(u[-2:]) for u, k in whole[1] if k == kind and "_p300_" in u]
+    assert of("header") == [0] and of("page_number") == [len(page) - 1]
+    # parts of 20 places: the lines at 19 and 20, like those of page edges, stand at the end of the first part and the second begins at a shared line; parts of 12 and 16 end in the last lines
+    for size in (10, 12, 16, 20, len(page) - 1):
+        monkeypatch.setattr(S, "PART", size)
+        rows = S.repair(lines.unionByName(more)).collect()
+        assert {r.part for r in rows if r.page == "s01_c1_p300"} == set(range((len(page) - 1) // size + 1))
+        assert results(rows) == whole
+        assert sorted(map(tuple, S.count_words(S.gather_pages(lines.unionByName(more))).collect())) == words
