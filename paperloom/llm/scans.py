@@ -36,6 +36,7 @@ CONFUSED = {
     "ri": "n", "cl": "d", "rn": "m", "vv": "w", "lc": "k", "vi": "n", "c1": "d", "ii": "n", "li": "h", "m": ("rn",), "d": ("cl",),
 }
 FIRST, NEXT = 4.0, 1.5  # cost of the first confusion of a word and of each further one
+RUN_TOGETHER = 7.0  # cost of a missing blank
 BREAKS = "-‐‑–—¬=­"
 _EDGE = " .,;:?!\"'()[]{}*•>|/\\" + "“”‘’"
 _HYPHEN_END = regex.compile(rf"(\p{{L}})[{BREAKS}]\s*$")
@@ -101,7 +102,7 @@ class Lexicon:
                     node = node.setdefault(ch, {})
                 node[""] = w
         self.kept: dict[str, tuple[float, str, int]] = {}
-        self.splits: dict[str, float] = {}
+        self.splits: dict[str, tuple[float, int]] = {}
         self.tokens: dict[str, tuple] = {}
 
     def own(self, w: str) -> float:
@@ -173,17 +174,22 @@ class Lexicon:
         low = t.lower()
         forms = dict.fromkeys((w, low.strip(".,;:?\"'"), low.rstrip(BREAKS), low.strip(".,;:?\"'!" + BREAKS)))
         plain = min((self.reading(x) for x in forms if x), default=(2.0, w, 0))
-        if w.isalpha() and len(w) > 5 and (two := self.split(w)) < plain[0]:
-            plain = (two, w, 0)
+        if w.isalpha() and len(w) > 3 and w in low and len(low) == len(t) and t[-1] not in BREAKS:
+            two, k = self.split(w)
+            if two < plain[0]:
+                plain = (two, f"{w[:k]} {w[k:]}", 0)
         return *plain, w, w.isalpha()
 
-    def split(self, w: str) -> float:
-        """Cost of the token as two words run together."""
+    def split(self, w: str) -> tuple[float, int]:
+        """(cost, place of the cut) of the token as two words run together; one seen far more often than its words run together by chance is a word."""
         got = self.splits.get(w)
         if got is None:
             if len(self.splits) >= 300_000:
                 self.splits.clear()
-            got = self.splits[w] = min((self.own(w[:k]) + self.own(w[k:]) + 7.0 for k in range(2, len(w) - 1) if self.known(w[:k]) and self.known(w[k:])), default=1e9)
+            got = min(((self.own(w[:k]) + self.own(w[k:]) + RUN_TOGETHER, k) for k in range(2, len(w) - 1) if self.known(w[:k]) and self.known(w[k:])), default=(1e9, 0))
+            if w in self.count and got[0] > 3 - math.log(self.count[w] / self.total):
+                got = (1e9, 0)
+            self.splits[w] = got
         return got
 
 
@@ -301,7 +307,13 @@ def _read_stream(lines: list[tuple[str, str]], begin: int, end: int, off: set[in
             hyphen.add(i)
             words.append((i, _dress(t.rstrip(".,").rstrip(BREAKS) + stream[prev + 1][1], meant)))
         elif what == "merged":
-            words.append((i, t + stream[prev + 1][1]))
+            shown = t + stream[prev + 1][1]
+            words.append((i, _dress(shown, meant) if wrong or meant != core(shown) else shown))
+        elif " " in meant:
+            # two words run together, in the case and with the punctuation shown
+            first, second = meant.split(" ")
+            cut = t.lower().index(first + second) + len(first)
+            words += [(i, t[cut:]), (i, t[:cut])]
         else:
             words.append((i, _dress(t, meant) if wrong else t))
         k = prev

@@ -113,3 +113,21 @@ def test_parts_read_as_one_page(spark, lines, monkeypatch):
         assert {r.part for r in rows if r.page == "s01_c1_p300"} == set(range((len(page) - 1) // size + 1))
         assert results(rows) == whole
         assert sorted(map(tuple, S.count_words(S.gather_pages(lines.unionByName(more))).collect())) == words
+
+
+def text_of(line, words=None):
+    counts = dict.fromkeys(WORDS, 400) | {"of": 3000, "the": 6000} | (words or {})
+    lex = S.Lexicon({w: (n, 0) for w, n in counts.items()}, 100_000, 1000)
+    kinds, texts = S.read_page([("s01_c1_p02_b00_l00", line)], lex)
+    return " ".join(t for _, t in texts), [k for _, k in kinds]
+
+
+def test_words_run_together():
+    assert text_of("some frame (Ofthe network, everypacket") == ("some frame (Of the network, every packet", [])
+    # seen too often to be two words without their blank
+    assert text_of("some invalid frame", {"in": 9000, "valid": 9000})[0] == "some in valid frame"
+    assert text_of("some invalid frame", {"in": 9000, "valid": 9000, "invalid": 200}) == ("some invalid frame", [])
+
+
+def test_cut_and_misread():
+    assert text_of("some chan nel, Net wark.") == ("some channel, Network.", ["misread"])
