@@ -31,8 +31,8 @@ COMMON = 3e-3
 
 # fixed values: how recognisers confuse printed and handwritten characters (seen -> meant)
 CONFUSED = {
-    "c": "e", "é": "e", "v": "ruy", "0": "o", "o": "a", "l": "i", "!": "i", "f": "t", "+": "t", "5": "s",
-    "1": "l", "6": "b", "(": "ce", "9": "g", "b": "h", "a": "o", "i": "l", "e": "c", "u": "v", "n": ("u", "ri"), "8": "b", "3": "e", "$": "s", "@": "a", "q": "g",
+    "c": "e", "é": "e", "v": "ruy", "0": "oa", "o": "a", "l": "i", "!": "i", "f": "t", "+": "t", "5": "s",
+    "1": "li", "6": "b", "(": "ce", "9": "g", "b": "h", "a": "o", "i": "l", "e": "c", "u": "v", "n": ("u", "ri"), "8": "b", "3": "e", "$": "s", "@": "a", "q": "g",
     "ri": "n", "cl": "d", "rn": "m", "vv": "w", "lc": "k", "vi": "n", "c1": "d", "ii": "n", "li": "h", "m": ("rn",), "d": ("cl",),
 }
 FIRST, NEXT = 4.0, 1.5  # cost of the first confusion of a word and of each further one

@@ -131,3 +131,7 @@ def test_words_run_together():
 
 def test_cut_and_misread():
     assert text_of("some chan nel, Net wark.") == ("some channel, Network.", ["misread"])
+
+
+def test_digits_for_letters_confused_twice():
+    assert text_of("w1ndow conf1rms p0cket sm0ll cha11enge", dict.fromkeys(("window", "small", "challenge"), 400)) == ("window confirms packet small challenge", ["misread"])
