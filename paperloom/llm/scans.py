@@ -36,6 +36,8 @@ CONFUSED = {
     "ri": "n", "cl": "d", "rn": "m", "vv": "w", "lc": "k", "vi": "n", "c1": "d", "ii": "n", "li": "h", "m": ("rn",), "d": ("cl",),
 }
 FIRST, NEXT = 4.0, 1.5  # cost of the first confusion of a word and of each further one
+# A confusion costs this share of its cost plus this share times the line's confidence: full cost at 0.8, the usual confidence, or without a valid one.
+DOUBT = (0.6, 0.5)
 RUN_TOGETHER = 7.0  # cost of a missing blank
 BREAKS = "-‐‑–—¬=­"
 _EDGE = " .,;:?!\"'()[]{}*•>|/\\" + "“”‘’"
@@ -80,6 +82,16 @@ def is_page_number(text: str, page: int | None) -> bool:
     return digits.isdigit() and bool(m.group(1) or _NUMBER.search(shown)) and int(digits) == page
 
 
+def confusions(k: int) -> float:
+    """Cost of k confusions in a word."""
+    return FIRST + NEXT * (k - 1) if k else 0.0
+
+
+def doubt(confidence: float | None) -> float:
+    """What the cost of a confusion is multiplied by, in steps of a tenth of confidence; null, NaN and values out of range say nothing."""
+    return DOUBT[0] + DOUBT[1] * round(10 * confidence) / 10 if confidence is not None and 0 <= confidence <= 1 else 1.0
+
+
 class Lexicon:
     """Word counts with the search for the likeliest reading of a token; readings are kept up to a fixed number."""
 
@@ -101,7 +113,7 @@ class Lexicon:
                 for ch in w:
                     node = node.setdefault(ch, {})
                 node[""] = w
-        self.kept: dict[str, tuple[float, str, int]] = {}
+        self.kept: dict[str, tuple[float, str, int]] = {}  # cheapest confused reading, without the cost of its confusions
         self.splits: dict[str, tuple[float, int]] = {}
         self.tokens: dict[str, tuple] = {}
 
@@ -116,17 +128,19 @@ class Lexicon:
         n = self.count.get(w, 0)
         return n >= 3 and n / self.total >= 1e-5
 
-    def reading(self, w: str) -> tuple[float, str, int]:
-        """(cost, word, confusions) of the cheapest reading."""
+    def reading(self, w: str, scale: float = 1.0) -> tuple[float, str, int]:
+        """(cost, word, confusions) of the cheapest reading, where a confusion costs `scale` times its usual cost."""
         got = self.kept.get(w)
         if got is None:
             if len(self.kept) >= 300_000:
                 self.kept.clear()
             got = self.kept[w] = self._search(w)
-        return got
+        own = self.own(w)
+        cost = got[0] + scale * confusions(got[2])
+        return (cost, got[1], got[2]) if cost < own else (own, w, 0)
 
     def _search(self, w: str) -> tuple[float, str, int]:
-        best = (self.own(w), w, 0)
+        best, least = (1e9, w, 0), 1e9
         if len(w) < 2 or len(w) > 40 or "@" in w[1:-1] or _NUMBER.search(w) and sum(map(str.isalpha, w)) < 2:
             return best
         most = 1 + len(w) // 2
@@ -136,9 +150,9 @@ class Lexicon:
             if i == len(w):
                 word = node.get("")
                 if word is not None and k:
-                    cost = -math.log(self.count[word] / self.total) + FIRST + NEXT * (k - 1)
-                    if cost < best[0]:
-                        best = (cost, word, k)
+                    cost = -math.log(self.count[word] / self.total)
+                    if cost + confusions(k) < least:
+                        best, least = (cost, word, k), cost + confusions(k)
                 continue
             ch = w[i]
             if (nxt := node.get(ch)) is not None:
@@ -155,30 +169,38 @@ class Lexicon:
                             stack.append((sub, i + size, k + 1))
         return best
 
-    def token(self, t: str) -> tuple[float, str, int, str, bool]:
+    def token(self, t: str, scale: float = 1.0) -> tuple[float, str, int, str, bool]:
         """(cost, word, confusions, core, whether it may be half a word) of a token as it is written."""
         got = self.tokens.get(t)
         if got is None:
             if len(self.tokens) >= 300_000:
                 self.tokens.clear()
-            got = self.tokens[t] = self._token(t)
-        return got
-
-    def _token(self, t: str) -> tuple[float, str, int, str, bool]:
+            got = self.tokens[t] = (self._token(t, 1.0), {})
+        usual, scaled = got
+        if scale == 1.0 or usual[5]:
+            return usual
+        if scale not in scaled:
+            scaled[scale] = self._token(t, scale)
+        return scaled[scale]
+
+    def _token(self, t: str, scale: float) -> tuple[float, str, int, str, bool, bool]:
+        """As token() with, last, whether no confusion is ever thought of, so the scale doesn't matter."""
         w = core(t)
         if not _LETTERS.search(w):
-            return 2.0, w, 0, w, False
+            return 2.0, w, 0, w, False, True
         if self.known(w):
-            plain = self.reading(w) if self.count[w] < self.total * 3e-4 else (self.own(w), w, 0)
-            return *plain, w, False
+            common = self.count[w] >= self.total * 3e-4
+            plain = (self.own(w), w, 0) if common else self.reading(w, scale)
+            return *plain, w, False, common or not self.kept[w][2]
         low = t.lower()
         forms = dict.fromkeys((w, low.strip(".,;:?\"'"), low.rstrip(BREAKS), low.strip(".,;:?\"'!" + BREAKS)))
-        plain = min((self.reading(x) for x in forms if x), default=(2.0, w, 0))
+        plain = min((self.reading(x, scale) for x in forms if x), default=(2.0, w, 0))
+        sure = not any(self.kept.get(x, (0, x, 1))[2] for x in forms if x)  # kept may just have been cleared
         if w.isalpha() and len(w) > 3 and w in low and len(low) == len(t) and t[-1] not in BREAKS:
             two, k = self.split(w)
             if two < plain[0]:
                 plain = (two, f"{w[:k]} {w[k:]}", 0)
-        return *plain, w, w.isalpha()
+        return *plain, w, w.isalpha(), sure
 
     def split(self, w: str) -> tuple[float, int]:
         """(cost, place of the cut) of the token as two words run together; one seen far more often than its words run together by chance is a word."""
@@ -198,8 +220,8 @@ def page_of(uid: str) -> int | None:
     return int(m.group(1)) if m else None
 
 
-def read_page(lines: list[tuple[str, str]], lex: Lexicon) -> tuple[list[tuple[str, str]], list[tuple[int, str]]]:
-    """((line_uid, kind) found, (first line, text) of each paragraph) of a page whose lines with text are given in order."""
+def read_page(lines: list[tuple[str, str]], lex: Lexicon, scales: list[float] | None = None) -> tuple[list[tuple[str, str]], list[tuple[int, str]]]:
+    """((line_uid, kind) found, (first line, text) of each paragraph) of a page whose lines with text are given in order, perhaps with what a confusion's cost is multiplied by."""
     kinds: list[tuple[str, str]] = []
     n = len(lines)
     off = set()
@@ -223,7 +245,7 @@ def read_page(lines: list[tuple[str, str]], lex: Lexicon) -> tuple[list[tuple[st
         end = min(begin + PART, n)
         while end < n and _may_join(lines[end - 1][1], lines[end][1], lex):
             end += 1
-        for i, shown in _read_stream(lines, begin, end, off, lex, misread, hyphen):
+        for i, shown in _read_stream(lines, begin, end, off, lex, misread, hyphen, scales or [1.0] * n):
             if words and words[-1][0] == i:
                 words[-1] = (i, f"{words[-1][1]} {shown}")
             else:
@@ -249,21 +271,21 @@ def _may_join(a: str, b: str, lex: Lexicon) -> bool:
     return bool(a and b) and (a[-1].rstrip(".,")[-1:] in BREAKS or lex.token(a[-1])[4] and lex.token(b[0])[4])
 
 
-def _read_stream(lines: list[tuple[str, str]], begin: int, end: int, off: set[int], lex: Lexicon, misread: set[int], hyphen: set[int]) -> list[tuple[int, str]]:
+def _read_stream(lines: list[tuple[str, str]], begin: int, end: int, off: set[int], lex: Lexicon, misread: set[int], hyphen: set[int], scales: list[float]) -> list[tuple[int, str]]:
     """(line, token) of the cheapest path through lines begin to end; adds to the lines misread and broken."""
     # one stream of tokens: (line, token, last of its line)
     stream = []
     for i in range(begin, end):
         toks = lines[i][1].split()
         stream += [(i, t, k == len(toks) - 1) for k, t in enumerate(toks)]
-    read = [lex.token(t) for _, t, _ in stream]
+    read = [lex.token(t, scales[i]) for i, t, _ in stream]
     m = len(stream)
     cost = [0.0] + [1e18] * m
     back: list[tuple] = [()] * (m + 1)
     for k in range(m):
         i, t, last = stream[k]
         so_far = cost[k]
-        price, word, wrong, w, half = read[k]
+        price, word, wrong, w, half, _ = read[k]
         if so_far + price < cost[k + 1]:
             cost[k + 1] = so_far + price
             back[k + 1] = ("word", k, word, wrong)
@@ -277,14 +299,15 @@ def _read_stream(lines: list[tuple[str, str]], begin: int, end: int, off: set[in
             broken = last and j == i + 1 and len(end) > 1 and end[-1] in BREAKS and end[-2].isalpha()
             if broken:
                 stem, rest = end.rstrip(BREAKS).lower().lstrip(_EDGE), t2.lower().rstrip(".,;:?!\"')" + BREAKS)
-                a, b = lex.reading(stem + rest), lex.reading(stem + "-" + rest)
+                least = min(scales[i], scales[j])
+                a, b = lex.reading(stem + rest, least), lex.reading(stem + "-" + rest, least)
                 whole = min(a, b)
                 if whole[1] in lex.count and lex.known(whole[1]):
                     if so_far + whole[0] + 1 < cost[min(k + 2, m)]:
                         cost[k + 2] = so_far + whole[0] + 1
                         back[k + 2] = ("broken", k, whole[1], whole[2])
             elif (last and j == i + 1 or j == i) and half and read[k + 1][4]:
-                whole = lex.reading(w + read[k + 1][3])
+                whole = lex.reading(w + read[k + 1][3], min(scales[i], scales[j]))
                 if lex.known(whole[1]) and so_far + whole[0] + 6 < cost[k + 2]:
                     cost[k + 2] = so_far + whole[0] + 6
                     back[k + 2] = ("broken" if last else "merged", k, whole[1], whole[2])
@@ -414,7 +437,9 @@ def gather_pages(lines: DataFrame) -> DataFrame:
     first `own` lines are its own and stand from line `start` on in a page of
     `total` lines. The parts of a page follow each other in one partition.
     """
-    rows = latest_lines(lines, "page_id", "reading_order", "block_id", "line_id", "text").filter(F.trim("text") != "")
+    if "confidence" not in lines.columns:
+        lines = lines.withColumn("confidence", F.lit(None).cast("double"))
+    rows = latest_lines(lines, "page_id", "reading_order", "block_id", "line_id", "text", "confidence").filter(F.trim("text") != "")
     of_uid = F.regexp_extract("line_uid", r"^(.+)_b\d+_l\d+$", 1)
     place = lambda o: F.floor(F.coalesce(o, F.lit(0)) / PART).cast("int")
     part = place(F.col("reading_order"))
@@ -422,11 +447,11 @@ def gather_pages(lines: DataFrame) -> DataFrame:
     keyed = rows.select(
         F.when(of_uid != "", of_uid).otherwise(F.coalesce(norm_key(F.col("page_id")), F.lit(""))).alias("page"),
         F.explode(parts).alias("part"),
-        F.struct("reading_order", "block_id", "line_id", "line_uid", "text").alias("x"),
+        F.struct("reading_order", "block_id", "line_id", "line_uid", "text", "confidence").alias("x"),
     )
     # one shuffle by page serves the parts, the counts over a page's parts and their order
     gathered = keyed.repartition("page").groupBy("page", "part").agg(
-        F.transform(F.array_sort(F.collect_list("x")), lambda x: F.struct(x["line_uid"].alias("uid"), x["text"].alias("text"))).alias("lines"),
+        F.transform(F.array_sort(F.collect_list("x")), lambda x: F.struct(x["line_uid"].alias("uid"), x["text"].alias("text"), x["confidence"].alias("confidence"))).alias("lines"),
         F.sum((place(F.col("x.reading_order")) == F.col("part")).cast("int")).cast("int").alias("own"),
     )
     of_page = Window.partitionBy("page").orderBy("part")
@@ -464,12 +489,12 @@ def count_words(pages: DataFrame) -> DataFrame:
 
         broken = False
         for batch in batches:
-            for rows, own, start, total in zip(*batch.columns, strict=True):
+            for texts, own, start, total in zip(*batch.columns, strict=True):
                 own, start, total = own.as_py(), start.as_py(), total.as_py()
                 broken = start > 0 and broken
-                for k, row in enumerate(rows.as_py()[:own], start):
-                    toks = row["text"].split()
-                    skip, broken = broken, bool(_HYPHEN_END.search(row["text"]))
+                for k, text in enumerate(texts.as_py()[:own], start):
+                    toks = text.split()
+                    skip, broken = broken, bool(_HYPHEN_END.search(text))
                     ws = toks[int(skip) : len(toks) - broken]
                     n.update(ws)
                     if k in (0, total - 1):
@@ -478,7 +503,7 @@ def count_words(pages: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return pages.select("lines", "own", "start", "total").mapInArrow(run, "word string, n long, n_edge long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_edge").alias("n_edge"))
+    return pages.select("lines.text", "own", "start", "total").mapInArrow(run, "word string, n long, n_edge long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_edge").alias("n_edge"))
 
 
 def header_templates(pages: DataFrame, least_share: float = 1.2e-3, at_edges: float = 0.8) -> list[str]:
@@ -540,22 +565,24 @@ def repair(lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon(*shared.value)
         lines: list[tuple[str, str]] = []
+        scales: list[float] = []
         parts: list[tuple[str, int, int]] = []  # (page, part, its first line) of the page being gathered
         for batch in batches:
             out: list[tuple] = []
-            for page, part, rows, own, start, total in zip(*batch.columns, strict=True):
+            for page, part, uids, texts, sure, own, start, total in zip(*batch.columns, strict=True):
                 own, start, total = own.as_py(), start.as_py(), total.as_py()
                 if not own:
                     continue
                 if start == 0:
-                    lines, parts = [], []
+                    lines, parts, scales = [], [], []
                 parts.append((page.as_py(), part.as_py(), start))
-                lines += [(r["uid"], r["text"]) for r in rows.as_py()[:own]]
+                lines += zip(uids.as_py()[:own], texts.as_py()[:own], strict=True)
+                scales += map(doubt, sure.as_py()[:own])
                 if len(lines) == total:
-                    out += _by_part(parts, lines, *read_page(lines, lex))
+                    out += _by_part(parts, lines, *read_page(lines, lex, scales))
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(list(zip(*out, strict=True)) or [[]] * len(kinds_out), kinds_out, strict=True)], names=names_out)
 
-    return pages.select("page", "part", "lines", "own", "start", "total").mapInArrow(run, "page string, part int, uids array<string>, kinds array<string>, paragraphs array<string>")
+    return pages.select("page", "part", "lines.uid", "lines.text", "lines.confidence", "own", "start", "total").mapInArrow(run, "page string, part int, uids array<string>, kinds array<string>, paragraphs array<string>")
 
 
 def p2_found(spark, d):

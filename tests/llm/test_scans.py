@@ -135,3 +135,17 @@ def test_cut_and_misread():
 
 def test_digits_for_letters_confused_twice():
     assert text_of("w1ndow conf1rms p0cket sm0ll cha11enge", dict.fromkeys(("window", "small", "challenge"), 400)) == ("window confirms packet small challenge", ["misread"])
+
+
+def test_confidence_scales_confusions(spark):
+    assert [S.doubt(c) for c in (None, float("nan"), -0.01, 1.01)] == [1.0] * 4 and S.doubt(0.1) < S.doubt(0.8) == 1.0 < S.doubt(1.0)
+    t = D(2024, 1, 1)
+    filler = [("network " * 40 + "timer packet", 0.8)] * 60 + [("theory timer packet", 0.8)] * 6
+    # rare words read in place of an unknown one: worth it only where the reading is doubtful
+    probe = [("some 7heo3y theorv", c) for c in (0.1, 0.8, None, 1.01)]
+    rows = [(f"s01_c1_p{i:03d}_b00_l00", None, 0, 0, 0, x, t, t, "k", i, c) for i, (x, c) in enumerate(filler + probe)]
+    pages = S.gather_pages(spark.createDataFrame(rows, COLS + ", confidence double"))
+    assert {r.lines[0].confidence for r in pages.collect()} == {0.1, 0.8, None, 1.01}
+    lex = S.Lexicon({"theory": (150, 0)}, 10_000_000, 0)
+    assert [lex.reading("thcorv", S.doubt(c))[2] for c in (0.1, 0.8, None, 1.01)] == [2, 0, 0, 0]
+    assert S.read_page([("u", "thcorv")], lex, [S.doubt(0.1)])[0] == [("u", "misread")] and S.read_page([("u", "thcorv")], lex)[0] == []
