@@ -32,6 +32,8 @@ NOT_PHONE = frozenset("wraps at sequence frame frames port bits bytes offset win
 _EMAIL = regex.compile(
     r"(?<![\w.+-])[a-z0-9](?:[\w.+-]*[a-z0-9])?(?:\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?|\s+at\s+)[a-z0-9-]+(?:(?:\s?\.\s?|\s?[\[({]\s?dot\s?[\])}]\s?|\s+dot\s+)[a-z0-9-]+)+(?![\w@])", regex.I
 )
+_BRACKETED = regex.compile(r"[\[({]\s?at\s?[\])}]", regex.I)
+_SENTENCE_END = regex.compile(r"\.\s(?=\p{Lu})")
 _PHONE = regex.compile(
     r"(?<![\w.:/^-])(?:"
     r"(?:\+|00)\d{1,3}[ .-]?\(?\d{2,5}\)?(?:[ .-]?\d){6,8}"
@@ -124,8 +126,12 @@ class Finder:
         for pos in at.get("at", ()):
             lo = max(0, pos - 90)
             for m in _EMAIL.finditer(text, lo, min(len(text), pos + 120), overlapped=True):
-                if m.start() <= pos < m.end() and free(*m.span()) and self._email(m.group()):
-                    take(*m.span(), "email")
+                found = m.group()
+                if _BRACKETED.search(found):
+                    found = _SENTENCE_END.split(found)[0]  # an ordinary dot may be the line's
+                a, b = m.start(), m.start() + len(found)
+                if a <= pos < b and free(a, b) and self._email(found):
+                    take(a, b, "email")
         if "digit" in at:
             for pattern, kind in ((_SEAT, "id_number"), (_ADDRESS, "address"), (_BOX, "address")):
                 if kind == "id_number" or "street" in at:
@@ -156,7 +162,7 @@ class Finder:
         plain = "@" in found
         domain = regex.split(r"@|[\[({]\s?at\s?[\])}]|\s+at\s+", found, flags=regex.I)[-1]
         parts = [p.strip() for p in regex.split(r"\.|[\[({]\s?dot\s?[\])}]|\s+dot\s+", domain, flags=regex.I)]
-        if not plain and "." in domain:
+        if not plain and not _BRACKETED.search(found) and "." in domain:
             return False
         return len(parts) >= 2 and all(parts) and parts[-1].isalpha() and len(parts[-1]) >= 2
 

@@ -71,3 +71,14 @@ def test_rest_is_unchanged(spark):
 def test_very_long_text(finder):
     text = "mail a.b@c.test or call 555-242-2247 now. " * 3000
     assert Counter(k for _, _, k in finder.spans(text)) == {"email": 3000, "phone": 3000}
+
+
+@pytest.mark.parametrize("text", ["write a.b [at] college.edu soon", "write a.b(at)college.edu", "write x{at}y.z[dot]test today", "write x[at]y[dot]test. Then rest"])
+def test_ordinary_dot_after_bracketed_at(finder, text):
+    (a, b, kind), *more = finder.spans(text)
+    assert kind == "email" and not more and text[a:b] == text.removeprefix("write ").removesuffix(" soon").removesuffix(" today").removesuffix(". Then rest")
+
+
+@pytest.mark.parametrize("text", ["the frame waits (at) node. Then it goes on", "look at layer.two of it", "the frame (at) node"])
+def test_no_email(finder, text):
+    assert all(kind != "email" for _, _, kind in finder.spans(text))
