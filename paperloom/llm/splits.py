@@ -153,8 +153,10 @@ def new_splits(grouped: DataFrame, targets: DataFrame, label: str = "page_kind",
     share = np.array([x for _, x in wanted])
     share = share / share.sum()
     kind = F.coalesce(F.lower(F.trim(label)), F.lit(""))
-    top = [r[0] for r in grouped.groupBy(kind.alias("k")).count().orderBy(F.desc("count"), "k").limit(LABELS).collect()]
-    counts = [F.lit(1)] + [(kind == x).cast("int") for x in top]
+    top = [r[0] for r in grouped.groupBy(kind.alias("k")).count().orderBy(F.desc("count"), "k").limit(LABELS + 1).collect()]
+    counts = [F.lit(1)] + [(kind == x).cast("int") for x in top[:LABELS]]
+    if len(top) > LABELS:
+        counts.append((~kind.isin(top[:LABELS])).cast("int"))  # all further labels together
     sums = grouped.groupBy("component").agg(*[F.sum(c).alias(f"c{i}") for i, c in enumerate(counts)])
     sums = checkpoint(sums)
     cols = [f"c{i}" for i in range(len(counts))]

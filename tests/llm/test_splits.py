@@ -77,3 +77,13 @@ def test_empty(spark):
     none = spark.createDataFrame([], "split string, share double")
     assert grouped.isEmpty() and S.parted(grouped).isEmpty() and S.new_splits(grouped, none).isEmpty()
     assert S.new_splits(grouped, spark.createDataFrame([("train", 1.0)], "split string, share double")).isEmpty()
+
+
+def test_labels_beyond_the_most_frequent(spark):
+    grouped = spark.range(4200).select(
+        F.concat(F.lit("g"), F.col("id")).alias("component"), F.when(F.col("id") < 3600, F.concat(F.lit("often"), F.col("id") % 6)).otherwise(F.concat(F.lit("seldom"), F.col("id") % 20)).alias("page_kind")
+    )
+    targets = spark.createDataFrame([("train", 0.5), ("val", 0.25), ("test", 0.25)], "split string, share double")
+    placed = grouped.join(S.new_splits(grouped, targets), "component").filter(F.col("page_kind").startswith("seldom"))
+    got = {r.new_split: r["count"] for r in placed.groupBy("new_split").count().collect()}
+    assert sum(abs(got[k] - 600 * v) for k, v in {"train": 0.5, "val": 0.25, "test": 0.25}.items()) <= 5, got
