@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.common import norm_path, table
-from paperloom.operators import folds, sampling
+from paperloom.operators import folds, sampling, simulate
 from paperloom.plans.base import LINES, PAGE_LINES, PAGES, REGIONS, Registry, lines, page_lines, pages, regions
+from paperloom.plans.routing import _ROUTED, routed
 
 R = Registry()
 _NUM = r"CAST(regexp_extract(student_id, '(\d+)') AS INT)"
@@ -164,12 +165,21 @@ def f02_cover_template(spark, d):
     return folds.line_template(rows, tolerance=60.0, least=0.3)
 
 
-@R.add()
-def f05_simulated_lines(spark, d):
-    from paperloom.operators.simulate import simulate
-    from paperloom.plans.routing import routed
+_HEX = "CAST(CAST('0x' || substr(sha256(line_uid), {0}, {1}) AS UBIGINT) AS INT)"
+_WORDS = "[" + ", ".join(f"'{w}'" for w in simulate.WORDS) + "]"
+
 
-    return simulate(routed(spark, d).select("line_uid", "tall", (F.col("x2") - F.col("x1")).alias("width")))
+@R.add(
+    f"""{_ROUTED}, r AS (SELECT line_uid, coalesce(tall, false) AS tall, greatest(coalesce(x2 - x1, 0), 0) AS w FROM routed WHERE line_uid IS NOT NULL),
+    u AS (SELECT *, CAST(CAST('0x' || substr(sha256(line_uid), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0 AS u, list_sort([{", ".join(_HEX.format(9 + 4 * k, 4) for k in range(10))}]) AS draws,
+      {_HEX.format(49, 4)} % 20 AS a, {_HEX.format(53, 4)} % 20 AS b, {_HEX.format(57, 4)} % 20 AS c, greatest(1, CAST(floor(w / 25.0) AS INT)) AS n FROM r),
+    s AS (SELECT *, CASE WHEN tall THEN 'diagram' WHEN u < 0.003 THEN 'failed' WHEN u < 0.023 THEN 'empty' ELSE 'ok' END AS status,
+      array_to_string(list_transform(range(CAST(floor(n / 3.0) AS INT) + 2), lambda i: {_WORDS}[(a * i * i + b * i + c) % 20 + 1]), ' ') AS t FROM u)
+    SELECT line_uid, status, CASE WHEN status <> 'ok' THEN '' ELSE coalesce(nullif(regexp_extract(substr(t || ' ', 1, n + 1), '^(.*) ', 1), ''), substr(t, 1, n)) END AS text,
+      CASE status WHEN 'ok' THEN round(draws[9] / 65536.0::DOUBLE * (1 - 20 / (2.0::DOUBLE * greatest(w, 20))), 3) WHEN 'empty' THEN round(draws[1] / 65536.0::DOUBLE, 3) ELSE 0.0::DOUBLE END AS confidence, true AS simulated FROM s"""
+)
+def f05_simulated_lines(spark, d):
+    return simulate.simulate(routed(spark, d).select("line_uid", "tall", (F.col("x2") - F.col("x1")).alias("width")))
 
 
 @R.add("SELECT vec_id, CAST(len(list_filter(embedding, lambda v: v * 128 + 128 < 180)) AS INT) AS ink FROM embeddings")

@@ -229,3 +229,37 @@ def test_confidence_and_medians(spark):
     assert got == [0.861, 0.0]
     m = spark.createDataFrame([([4, 1, 3, 2],), ([],)], "v array<int>").select(assembly.upper_median(F.col("v"))).collect()
     assert [r[0] for r in m] == [3, None]
+
+
+def test_batches_of_images():
+    class Reader:
+        def read_batch(self, keys, images):
+            if any(x is None for x in images):
+                raise ValueError("bad image")
+            calls.append(len(keys))
+            return [{"latex": k, "confidence": 1.0} for k in keys]
+
+    calls = []
+    assert [x["latex"] for x in engines.read_batch(Reader(), ["a", "b"], [1, 2])] == ["a", "b"] and calls == [2]
+    got = engines.read_batch(Reader(), ["a", "b", "c"], [1, None, KeyError("k")])
+    assert got[0]["latex"] == "a" and [type(x) for x in got[1:]] == [ValueError, KeyError]
+
+
+def test_shared_folder_is_named_on_a_cluster():
+    from unittest.mock import MagicMock
+
+    from paperloom.common import shared_folder
+
+    spark = MagicMock()
+    spark.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
+    spark.sparkContext.getConf().get.return_value = ""
+    spark.sparkContext.master = "yarn"
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(spark)
+
+
+def test_simulated_sentences_fit_the_width(spark):
+    df = spark.createDataFrame([(f"s01_c1_p02_b00_l{i:02d}", False, 25 * (i % 40)) for i in range(200)], "line_uid string, tall boolean, width int")
+    for r in simulate(df).collect():
+        most = max(1, int(r.line_uid[-2:].lstrip("l") or 0) % 40) if len(r.line_uid) == 19 else 40
+        assert r.status != "ok" or 1 <= len(r.text) <= max(most, 1)
