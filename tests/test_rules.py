@@ -259,7 +259,7 @@ def test_shared_folder_is_named_on_a_cluster():
 
 
 def test_simulated_sentences_fit_the_width(spark):
-    df = spark.createDataFrame([(f"s01_c1_p02_b00_l{i:02d}", False, 25 * (i % 40)) for i in range(200)], "line_uid string, tall boolean, width int")
+    width = {f"s01_c1_p02_b00_l{i:03d}": 25 * (i % 40) for i in range(200)}
+    df = spark.createDataFrame([(u, False, w) for u, w in width.items()], "line_uid string, tall boolean, width int")
     for r in simulate(df).collect():
-        most = max(1, int(r.line_uid[-2:].lstrip("l") or 0) % 40) if len(r.line_uid) == 19 else 40
-        assert r.status != "ok" or 1 <= len(r.text) <= max(most, 1)
+        assert r.status != "ok" or 1 <= len(r.text) <= max(1, width[r.line_uid] // 25)
