@@ -2,164 +2,197 @@
 
 Six rules look at a page and vote repetitive (1), fine (-1) or abstain (0).
 Expectation-maximisation over the counts of vote patterns estimates how often
-each rule votes what on either kind of page, and the posterior probability of
-a pattern takes the place of a filter that all rules must pass. Pages that
-are likely enough repetitive are then held against the exact share.
+each rule is right when it votes; an abstention says nothing. The posterior
+of a page's pattern takes the place of a filter that all rules must pass:
+pages likely enough repetitive are held against the exact share of words that
+stand in a run of four that stood before. No rule looks at that share.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.common import checkpoint, latest_lines, norm_key, table
 
 RUN = 4
-RULES = ("run_share", "triples", "distinct", "lines", "top_run", "packed")
-# A page is usually under 50 lines. Pages over this many take the path of windows, exact as well.
-LARGE_PAGE = 20_000
+RULES = ("pairs", "triples", "distinct", "lines", "fives", "top_pair")
+# Share of repetitive pages before any vote, fixed: a page without votes keeps it.
+BALANCE = 0.05
+# Every rule is taken to be better than chance: its accuracy is kept in these bounds.
+LEAST_RIGHT, MOST_RIGHT = 0.6, 0.97
+# From this posterior on a page is held against the exact share. Two votes for and none against reach it at the least accuracy.
+LIKELY = 0.1
+CHUNK = 50_000  # words measured together, whole pages; the results don't depend on it
 WORD = r"[\p{L}\p{M}\p{N}]+"
 _FIND = regex.compile(WORD).findall
 
 
-def repeated_share(words: list, run: int = RUN) -> float | None:
-    """Share of words that stand in a run of `run` or more words that already stood earlier; null without words."""
-    if not words:
-        return None
-    marks = np.zeros(len(words) + 1, dtype=np.int64)
-    seen: set = set()
-    for i, gram in enumerate(zip(*[words[k:] for k in range(run)], strict=False)):
-        if gram in seen:
-            marks[i] += 1
-            marks[min(i + run, len(words))] -= 1
-        seen.add(gram)
-    return float((np.cumsum(marks[:-1]) > 0).mean())
-
-
-def measures(lines: list[str]) -> tuple[int, float | None, list[int]]:
-    """(number of words, exact share, votes of the rules) of a page.
-
-    A rule votes fine only where a third of the words cannot be repeated, so
-    a page at or over a third never gets such a vote.
-    """
-    low = [t.lower() for t in lines]
-    split = [_FIND(t) for t in low]
-    words = [w for s in split for w in s]
-    n = len(words)
-    if n < RUN:
-        return n, (0.0 if n else None), [0] * len(RULES)
-    share = repeated_share(words)
-    triples = Counter(zip(words, words[1:], words[2:], strict=False))
-    triple_share = (n - 2 - len(triples)) / (n - 2)
-    distinct = len(set(words)) / n
-    seen: set = set()
-    again = 0
-    for s in split:
-        key = tuple(s)
-        if len(s) >= 3:
-            again += len(s) * (key in seen)
-            seen.add(key)
-    top = max(Counter(zip(words, words[1:], words[2:], words[3:], strict=False)).values())
-    raw = " ".join(words).encode()
-    packed = len(zlib.compress(raw, 6)) / len(raw)
-
-    def vote(x: float, bad: float, fine: float) -> int:
-        return 1 if x >= bad else -1 if x < fine else 0
-
-    votes = [
-        vote(share, 1 / 3, 0.15),
-        vote(triple_share, 0.3, 0.1),
-        -1 if distinct > 0.75 else 1 if distinct < 0.35 else 0,
-        1 if again >= 0.2 * n else 0,
-        1 if top >= 4 else -1 if top == 1 else 0,
-        1 if packed < 0.3 else 0,
-    ]
-    return n, share, votes
-
-
-def weigh(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> dict[tuple[int, ...], float]:
+class Pages:
+    """Words of successive pages, numbered, and what is measured of them all at once."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.words, self.lines, self.ends = array("q"), array("q"), array("q")  # word numbers, words of each line, lines up to the end of each page
+
+    def line(self, text: str) -> None:
+        found = _FIND(text.lower())
+        number = self.number
+        self.words.extend([number.setdefault(w, len(number)) for w in found])
+        self.lines.append(len(found))
+
+    def end(self) -> None:
+        self.ends.append(len(self.lines))
+
+    def measures(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words, exact share or NaN without words, votes of the rules) of each page.
+
+        With at least a third of the words in repeated runs of four, at least
+        a quarter of the pairs and a sixth of the triples have stood before
+        and at most two thirds of the words are different. So such a page has
+        the votes of the first two rules and none against.
+        """
+        word, per_line, ends = np.array(self.words, dtype=np.int64), np.array(self.lines, dtype=np.int64), np.array(self.ends, dtype=np.int64)
+        k = len(ends)
+        page_of_line = np.repeat(np.arange(k), np.diff(ends, prepend=0))
+        page = np.repeat(page_of_line, per_line)
+        n = np.bincount(page, minlength=k)
+        of_page = lambda mask, where: np.bincount(where[mask], minlength=k)
+        # the number of each run of one to five words, told by page
+        _, first, code = np.unique(page * (len(self.number) + 1) + word, return_index=True, return_inverse=True)
+        distinct = np.bincount(page[first], minlength=k)
+        one, size = code, len(first)
+        again, most = {}, {}
+        for run in range(2, 6):
+            m = len(word) - run + 1
+            if m <= 0:
+                again[run], most[run] = np.zeros(0, dtype=bool), np.zeros(k, dtype=np.int64)
+                code = np.zeros(0, dtype=np.int64)
+                continue
+            _, first, code = np.unique(code[:m] * size + one[run - 1 :], return_index=True, return_inverse=True)
+            whole = page[:m] == page[run - 1 :]
+            again[run] = whole & (first[code] != np.arange(m))
+            most[run] = np.zeros(k, dtype=np.int64)
+            np.maximum.at(most[run], page[first[whole[first]]], np.bincount(code)[whole[first]])
+        marks = np.zeros(len(word) + 1, dtype=np.int64)
+        at = np.flatnonzero(again[RUN])
+        marks[at] += 1
+        np.add.at(marks, at + RUN, -1)
+        covered = of_page(np.cumsum(marks[:-1]) > 0, page)
+        share = np.where(n > 0, covered / np.maximum(n, 1), np.nan)
+        pairs, triples = of_page(again[2], page[: len(again[2])]), of_page(again[3], page[: len(again[3])])
+        repeated = of_page(self._lines_again(one, per_line, page_of_line), page)
+
+        def vote(yes: np.ndarray, no: np.ndarray | bool = False) -> np.ndarray:
+            return np.where(n < RUN, 0, np.where(yes, 1, np.where(no, -1, 0)))
+
+        votes = np.stack([
+            vote(4 * pairs >= n, 8 * pairs < n),
+            vote(6 * triples >= n, 12 * triples < n),
+            vote(5 * distinct <= 2 * n, 4 * distinct > 3 * n),
+            vote(5 * repeated >= n),
+            vote(most[5] >= 3),
+            vote(most[2] >= np.maximum(4, n / 20)),
+        ], axis=1)
+        return n, share, votes
+
+    @staticmethod
+    def _lines_again(one: np.ndarray, per_line: np.ndarray, page_of_line: np.ndarray) -> np.ndarray:
+        """Of each word, whether its line, of three words or more, stood before on the page."""
+        ids: dict[tuple, int] = {}
+        out = np.zeros(len(one), dtype=bool)
+        end = np.cumsum(per_line)
+        for hi, size, page in zip(end.tolist(), per_line.tolist(), page_of_line.tolist(), strict=True):
+            if size >= 3:
+                key = (page, one[hi - size : hi].tobytes())
+                if key in ids:
+                    out[hi - size : hi] = True
+                ids[key] = 1
+        return out
+
+
+def weigh(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> dict[tuple[int, ...], float]:
     """Posterior of repetitive for each vote pattern, from pattern counts, by expectation-maximisation.
 
-    Started from majority votes; pseudo-counts in proportion to the number of
-    pages keep a rule's estimate near 0.9 right where the data say little.
+    A rule is right with a probability that does not depend on the kind of
+    page; that is estimated, with pseudo-counts for 0.8 that keep it sensible
+    where a rule seldom votes. The share of repetitive pages is fixed, and
+    abstentions are no evidence, so a page without votes has that share as
+    posterior.
     """
     if not patterns:
         return {}
-    keys = list(patterns)
-    votes = np.array(keys)
-    count = np.array([patterns[k] for k in keys], dtype=float)
-    strength = 20 + 0.01 * count.sum()
-    post = np.clip(0.5 + 0.15 * votes.sum(axis=1), 0.02, 0.98)
-    anchor = {1: np.array([0.05, 0.25, 0.7]), 0: np.array([0.6, 0.38, 0.02])}  # P(vote -1, 0, 1) before the data
+    votes = np.array(list(patterns))
+    count = np.array(list(patterns.values()), dtype=float)
+    right = np.full(votes.shape[1], 0.8)
+    base = np.log(BALANCE / (1 - BALANCE))
+    cast = (votes != 0) * count[:, None]
     for _ in range(rounds):
-        prior = (post @ count + 0.05 * strength) / (count.sum() + strength)
-        score = np.log([1 - prior, prior])[None, :].repeat(len(keys), axis=0)
-        for j in range(votes.shape[1]):
-            for y in (0, 1):
-                w = count * (post if y else 1 - post)
-                seen = np.array([w[votes[:, j] == v].sum() for v in (-1, 0, 1)]) + strength * anchor[y]
-                score[:, y] += np.log(seen / seen.sum())[votes[:, j] + 1]
-        post = 1 / (1 + np.exp(np.clip(score[:, 0] - score[:, 1], -500, 500)))
-    return dict(zip(keys, post.tolist(), strict=True))
-
-
-def _words_of_large(lines: DataFrame) -> DataFrame:
-    """(page_id, n_words, share, votes) of pages too large for one row, by windows that spill."""
-    at = Window.partitionBy("page_id").orderBy("reading_order", "block_id", "line_id", "line_uid", "k")
-    words = lines.select("page_id", "reading_order", "block_id", "line_id", "line_uid", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("k", "w"))
-    grams = words.select("page_id", F.row_number().over(at).alias("pos"), F.concat_ws(" ", "w", *[F.lead("w", k).over(at) for k in range(1, RUN)]).alias("gram"), F.lead("w", RUN - 1).over(at).isNotNull().alias("whole"))
-    first = grams.filter("whole").groupBy("page_id", "gram").agg(F.min("pos").alias("first"))
-    marked = grams.join(first, ["page_id", "gram"], "left").withColumn("again", F.coalesce(F.col("whole") & (F.col("pos") > F.col("first")), F.lit(False)).cast("int"))
-    covered = F.max("again").over(Window.partitionBy("page_id").orderBy("pos").rowsBetween(1 - RUN, 0))
-    share = marked.select("page_id", covered.alias("c")).groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("n_words"), F.avg("c").alias("share"))
-    own = F.when(F.col("share") >= 1 / 3, 1).when(F.col("share") < 0.15, -1).otherwise(0)
-    return share.select("page_id", "n_words", "share", F.array(own, *[F.lit(0)] * (len(RULES) - 1)).alias("votes"))
-
-
-def page_measures(lines: DataFrame, large: int = LARGE_PAGE) -> DataFrame:
+        post = 1 / (1 + np.exp(-base - votes @ np.log(right / (1 - right))))
+        agrees = np.where(votes > 0, post[:, None], 1 - post[:, None])
+        right = np.clip(((cast * agrees).sum(axis=0) + 20 * 0.8) / (cast.sum(axis=0) + 20), LEAST_RIGHT, MOST_RIGHT)
+    post = 1 / (1 + np.exp(-base - votes @ np.log(right / (1 - right))))
+    return dict(zip(patterns, post.tolist(), strict=True))
+
+
+def page_measures(lines: DataFrame) -> DataFrame:
     """(page_id, n_words, share, votes) per page from the latest reading of each line.
 
     Lines without text count nothing; lines with a null page_id belong to no
     page; ties in reading_order go by block, line and uid; a page whose lines
-    hold no word has a null share and only abstentions. A page of more than
-    `large` lines is never gathered: it takes the path of windows, with the
-    same share and the vote of the first rule. An empty table gives no rows.
+    hold no word has a null share and only abstentions. An empty table gives
+    no rows. Pages come as a sorted stream of lines, so a page of any length
+    takes the same path and only its word numbers are held.
     """
-    keys = ["reading_order", "block_id", "line_id", "line_uid", "text"]
+    keys = ["reading_order", "block_id", "line_id", "line_uid"]
     rows = (
         latest_lines(lines, "page_id", "reading_order", "block_id", "line_id", "text")
         .withColumn("page_id", norm_key(F.col("page_id")))
         .filter(F.col("page_id").isNotNull() & (F.length("text") > 0))
-        .select("page_id", *keys)
     )
-    over = rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).select("page_id")
-    texts = F.transform(F.array_sort(F.collect_list(F.struct(*keys))), lambda x: x["text"])
-    gathered = rows.join(over, "page_id", "left_anti").groupBy("page_id").agg(texts.alias("lines"))
+    ordered = rows.select("page_id", *keys, "text").repartition("page_id").sortWithinPartitions("page_id", *keys).select("page_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [measures(x) for x in batch.column(1).to_pylist()]
-            columns = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int32(), pa.float64(), pa.list_(pa.int32())))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["page_id", "n_words", "share", "votes"])
+        pages, names = Pages(), []
 
-    small = gathered.mapInArrow(run, "page_id string, n_words int, share double, votes array<int>")
-    return small.unionByName(_words_of_large(rows.join(over, "page_id", "left_semi")))
+        def flush() -> pa.RecordBatch:
+            n, share, votes = pages.measures()
+            columns = [pa.array(names, pa.string()), pa.array(n, pa.int32()), pa.array(share, pa.float64(), from_pandas=True), pa.array(votes.tolist(), pa.list_(pa.int32()))]
+            pages.clear()
+            names.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["page_id", "n_words", "share", "votes"])
 
-
-def repeated_pages(lines: DataFrame, least: float = 1 / 3, likely: float = 0.1) -> DataFrame:
+        for batch in batches:
+            for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if names and page != names[-1]:
+                    pages.end()
+                    if len(pages.words) >= CHUNK:
+                        yield flush()
+                if not names or page != names[-1]:
+                    names.append(page)
+                pages.line(text)
+        if names:
+            pages.end()
+            yield flush()
+
+    return ordered.mapInArrow(run, "page_id string, n_words int, share double, votes array<int>")
+
+
+def repeated_pages(lines: DataFrame, least: float = 1 / 3, likely: float = LIKELY) -> DataFrame:
     """(page_id, n_words, share, posterior, repetitive) of each page with lines.
 
     Only the counts of vote patterns (at most 3 to the power of the number of
     rules) reach the driver. repetitive: the posterior is at least `likely`
-    and the exact share at least `least`; such a page never has a vote for
-    fine, so the first condition drops none of them.
+    and then the exact share at least `least`.
     """
     pages = checkpoint(page_measures(lines))
     patterns = {tuple(r.votes): r.n for r in pages.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -176,7 +209,7 @@ def p4_found(spark, d):
 
 def p4_shares(spark, d):
     """Share of repeated text of every page with a word."""
-    return repeated_pages(table(spark, d, "ocr_lines")).filter("n_words > 0").select("page_id", "n_words", "share")
+    return page_measures(table(spark, d, "ocr_lines")).filter("n_words > 0").select("page_id", "n_words", "share")
 
 
 QUERIES = {"p4_found": p4_found, "p4_shares": p4_shares}

@@ -1,4 +1,4 @@
-"""Shares against brute force, both paths alike, posterior in order, nulls and empty tables."""
+"""Shares against brute force, one path for all lengths, a posterior that decides, nulls and empty tables."""
 
 from datetime import datetime as D
 
@@ -19,18 +19,30 @@ def _brute(words):
     return len(hit) / len(words) if words else None
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from("abc"), max_size=40))
-def test_share(words):
-    assert R.repeated_share(words) == _brute(words)
+def _measure(*pages):
+    p = R.Pages()
+    for lines in pages:
+        for x in lines:
+            p.line(x)
+        p.end()
+    n, share, votes = p.measures()
+    return [(int(a), None if b != b else float(b), c.tolist()) for a, b, c in zip(n, share, votes, strict=True)]
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["a", "b", "c d", "e f g", "a b c d e"]), max_size=30))
-def test_a_repeated_page_never_has_a_vote_for_fine(lines):
-    n, share, votes = R.measures(lines)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=40), min_size=1, max_size=4))
+def test_share(pages):
+    for (n, share, _), words in zip(_measure(*[[" ".join(x)] for x in pages]), pages, strict=True):
+        assert n == len(words) and (share is None) == (not words)
+        assert not words or abs(share - _brute(words)) < 1e-12
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "c d", "e f g", "a b c d e", "h i j k l m n o", "p q r s"]), max_size=30), st.lists(st.sampled_from(["a", "q r s t u"]), max_size=3))
+def test_a_repeated_page_has_the_votes_it_needs(lines, before):
+    n, share, votes = _measure(before, lines)[1]
     if share is not None and share >= 1 / 3:
-        assert min(votes) >= 0 and votes[0] == 1
+        assert min(votes) >= 0 and votes[:2] == [1, 1]
 
 
 def _table(spark, lines):
@@ -38,14 +50,19 @@ def _table(spark, lines):
     return spark.createDataFrame([(f"{p}_b00_l{i:02d}", p, i, 0, i, x, t, t, 0.5, "v") for p, i, x in lines], COLS)
 
 
-def test_both_paths_alike(spark):
+def test_pages_of_any_length(spark, monkeypatch):
     lines = [("p", i, "the old gate copies the frame" if i % 2 else f"line {i} is new") for i in range(30)] + [("q", 0, "one two"), ("q", 1, None), ("r", 0, "—"), ("r", 1, "")]
+    lines += [("s", i, f"number {i} of many other lines that differ a{i} b{i} c{i}") for i in range(40_000)]
     df = _table(spark, lines)
-    small = {r.page_id: (r.n_words, round(r.share, 9)) for r in R.page_measures(df).collect() if r.n_words}
-    large = {r.page_id: (r.n_words, round(r.share, 9)) for r in R.page_measures(df, large=0).collect() if r.n_words}
-    assert small == large and small["p"][0] == 30 // 2 * 6 + 15 * 4
-    got = {r.page_id: r.repetitive for r in R.repeated_pages(df).collect()}
-    assert got == {"p": True, "q": False, "r": False}
+    got = {r.page_id: (r.n_words, r.share and round(r.share, 9), r.votes) for r in R.page_measures(df).collect()}
+    assert got["p"][0] == 30 // 2 * 6 + 15 * 4 and got["s"][0] == 40_000 * 11 and got["r"] == (0, None, [0] * 6)
+    monkeypatch.setattr(R, "CHUNK", 1)
+    assert {r.page_id: (r.n_words, r.share and round(r.share, 9), r.votes) for r in R.page_measures(df).collect()} == got
+    # a page's votes are those of its text, whatever its length
+    twice = _measure([x for _, _, x in lines[:30]], [x for _, _, x in lines[:30]] * 1000)
+    assert twice[0][2][:2] == [1, 1] and twice[1][2] == [1] * 6
+    found = {r.page_id: r.repetitive for r in R.repeated_pages(df).collect()}
+    assert found == {"p": True, "q": False, "r": False, "s": True}
 
 
 def test_latest_reading_counts(spark):
@@ -63,10 +80,21 @@ def test_queries_equal_sql(spark, sf):
 
 
 def test_posterior():
-    bad, fine, odd = (1, 1, 1, 0, 1, 1), (-1, -1, -1, 0, -1, 0), (1, 0, 0, 0, 0, 0)
-    post = R.weigh({bad: 40, fine: 900, odd: 3})
-    assert post[bad] > 0.95 and post[fine] < 0.01 and post[odd] > 0.1
-    assert R.weigh({}) == {} and R.weigh({fine: 5})[fine] < 0.5
+    bad, fine, mixed, least, none = (1, 1, 1, 0, 1, 1), (-1, -1, -1, 0, 0, 0), (1, -1, -1, 0, 0, 0), (1, 1, 0, 0, 0, 0), (0,) * 6
+    post = R.weigh({bad: 40, fine: 900, mixed: 3, least: 2, none: 50})
+    assert post[bad] > 0.9 and post[fine] < 0.01 and post[mixed] < R.LIKELY <= post[least] and abs(post[none] - R.BALANCE) < 1e-9
+    # whatever the mix, abstentions are no evidence, votes for fine speak against, two votes for are enough
+    for counts in ({none: 100_000}, {fine: 60_000, none: 40_000}, {least: 99_000, none: 1000}, {mixed: 50_000, least: 10, none: 5}, {(-1, 0, 0, 0, 0, 0): 70_000, none: 30_000}):
+        for pattern, p in R.weigh(counts).items():
+            assert p >= R.LIKELY if pattern == least else p < R.LIKELY
+    assert R.weigh({}) == {}
+
+
+def test_posterior_decides(spark):
+    # the exact share alone would keep it: two thirds repeated, but the posterior is asked first
+    df = _table(spark, [("p", i, "the old gate copies the frame") for i in range(3)])
+    assert [r.repetitive for r in R.repeated_pages(df).collect()] == [True]
+    assert [r.repetitive for r in R.repeated_pages(df, likely=0.9999).collect()] == [False]
 
 
 def test_empty(spark):
