@@ -1,30 +1,40 @@
 """Evaluation texts leaking into training text.
 
-The training documents are indexed in segments (one per Arrow batch, so the
-index is distributed and never shuffled): a segment stores, for every term,
-the sorted positions at which it stands. A term is four successive words. A
-stretch of a test item that has at most one changed word in eight contains
-five unbroken words, hence two neighbouring terms; of each such pair the one
-that is rarer in the whole corpus is looked up, its positions are moved by
-the term's offset in the item and intersected with the neighbour's. What is
+A positional inverted index of the training documents is built once and kept
+as a table: for every segment (about a million words of whole documents) and
+every word the sorted positions at which it stands. A set of test items is
+searched in the index alone. A stretch of a test item that has at most one
+changed word in eight contains five unbroken words, so of every five words of
+an item one has to be looked up: the cover with the fewest postings in the
+whole corpus is taken. The postings of these rarest words, moved by their
+offsets in the item, are intersected with those of their neighbours; what is
 left is extended over changed, added and missing words (proximity match).
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
+import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from paperloom.common import spread, table
+from paperloom.common import checkpoint, shared_folder, spread, table
 
-TERM = 4
+SEED = 5  # unbroken words that every stretch has
+SEGMENT_WORDS = 1_000_000
+# Words of test items searched together in one segment. More items are further blocks.
+BLOCK_WORDS = 200_000
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
 _BROKEN = regex.compile(r"(?<=\p{L})[-­‐¬]\s*\n\s*(?=\p{Ll})")
 _INVISIBLE = regex.compile(r"\p{Cf}")
@@ -41,89 +51,131 @@ def words(text: str | None) -> list[str]:
     return _WORD(text.lower())
 
 
-class TestTerms:
-    """Terms of a block of test items, coded by word numbers; small and of bounded size."""
+def pack(places: np.ndarray) -> bytes:
+    """Sorted positions as differences in the fewest bytes each."""
+    gaps = np.diff(places, prepend=0)
+    top = int(gaps.max(initial=0))
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + gaps.astype(f"<u{width}").tobytes()
 
-    __test__ = False
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+def unpack(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1), dtype=np.int64)
+
+
+class Segment:
+    """Words of successive documents, documents SEED apart, on their way into the index."""
+
+    def __init__(self):
         self.number: dict[str, int] = {}
-        self.items = []
-        codes, owner, offset = [], [], []
-        for item_id, text in items:
-            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(text)], dtype=np.int64)
-            self.items.append((item_id, ids))
-        self.base = len(self.number) + 1
-        assert self.base < 55_000, "block of test items too large for exact term codes"
-        for k, (_, ids) in enumerate(self.items):
-            c = self.code(ids)
-            codes.append(c)
-            owner.append(np.full(len(c), k))
-            offset.append(np.arange(len(c)))
-        self.codes = np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64)
-        self.owner = np.concatenate(owner) if owner else np.zeros(0, dtype=np.int64)
-        self.offset = np.concatenate(offset) if offset else np.zeros(0, dtype=np.int64)
-        self.table = np.unique(self.codes)
-
-    def code(self, ids: np.ndarray) -> np.ndarray:
-        if len(ids) < TERM:
-            return np.zeros(0, dtype=np.int64)
-        n = len(ids) - TERM + 1
-        out = np.zeros(n, dtype=np.int64)
-        known = np.ones(n, dtype=bool)
-        for k in range(TERM):
-            part = ids[k : k + n]
-            out = out * self.base + part
-            known &= part > 0
-        out[~known] = -1
-        return out
-
-    def choose(self, frequency: dict[int, int]) -> None:
-        """Of each two neighbouring terms of an item keep the rarer: a cheapest cover of the path, by dynamic programming."""
-        cost = np.array([frequency.get(int(c), 0) + 1 for c in self.codes], dtype=np.int64)
-        keep = np.zeros(len(self.codes), dtype=bool)
-        start = 0
-        for k in range(len(self.items)):
-            n = int((self.owner == k).sum())
-            if n:
-                w = cost[start : start + n]
-                taken, left, back = int(w[0]), 0, []
-                for x in w[1:]:
-                    back.append(left < taken)
-                    taken, left = min(taken, left) + int(x), taken
-                use = taken <= left if n > 1 else True
-                for at in range(n - 1, -1, -1):
-                    keep[start + at] = use
-                    if at:
-                        use = (not back[at - 1]) if use else True
-            start += n
-        order = np.argsort(self.codes[keep], kind="stable")
-        self.look = (self.codes[keep][order], self.owner[keep][order], self.offset[keep][order])
-
-
-def _segment(terms: TestTerms, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of a segment, documents apart by TERM zeros, and where each document starts."""
-    number, get = [], terms.number.get
-    starts = np.zeros(len(texts) + 1, dtype=np.int64)
-    gap = [0] * TERM
-    for k, text in enumerate(texts):
-        starts[k] = len(number)
-        number += [get(w, 0) for w in words(text)]
-        number += gap
-    starts[len(texts)] = len(number)
-    return np.array(number, dtype=np.int64), starts
-
-
-def _postings(terms: TestTerms, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, positions) of the terms that any test item has, sorted by code, then position."""
-    code = terms.code(flat)
-    if not len(terms.table) or not len(code):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    at = np.flatnonzero(code >= 0)
-    near = np.minimum(np.searchsorted(terms.table, code[at]), len(terms.table) - 1)
-    at = at[terms.table[near] == code[at]]
-    order = np.argsort(code[at], kind="stable")
-    return code[at][order], at[order]
+        self.words, self.starts, self.ids = array("i"), array("q"), []
+
+    def add(self, doc, text: str | None) -> None:
+        number = self.number
+        self.ids.append(doc)
+        self.starts.append(len(self.words))
+        self.words.extend([number.setdefault(w, len(number)) for w in words(text)])
+        self.words.extend([-1] * SEED)
+
+    def rows(self, segment: int, id_type: pa.DataType) -> pa.RecordBatch:
+        """The documents' row, whose word is empty, then one row per word, in order."""
+        flat = np.array(self.words, dtype=np.int32)
+        order = np.argsort(flat, kind="stable")
+        ends = np.cumsum(np.bincount(flat + 1, minlength=len(self.number) + 1))
+        tokens = sorted(self.number)
+        found = [order[ends[k] : ends[k + 1]] for k in (self.number[t] for t in tokens)]
+        starts = np.append(np.array(self.starts, dtype=np.int64), len(flat))
+        return pa.RecordBatch.from_arrays([
+            pa.array([segment] * (1 + len(tokens)), pa.int64()), pa.array(["", *tokens]), pa.array([len(self.ids), *map(len, found)], pa.int32()),
+            pa.array([pack(starts), *map(pack, found)], pa.binary()), pa.array([self.ids, *[None] * len(tokens)], pa.list_(id_type)),
+        ], names=["segment", "token", "n", "places", "ids"])
+
+
+class Index:
+    """A positional index kept in a folder; search as often as wanted."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str | None = None, segment_words: int = SEGMENT_WORDS) -> Index:
+        """Index of (doc_id, text), written to `path` or the shared folder: (segment, token, n, places, ids).
+
+        Null and empty texts have no words; null doc_ids are left out;
+        repeated documents are each indexed; whole texts whatever their
+        length. One pass over the corpus, no shuffle: a task writes its own
+        segments, each sorted by word.
+        """
+        spark = docs.sparkSession
+        path = path or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        docs = spread(docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()))
+        kind = docs.schema["doc_id"].dataType
+        arrow_kind = to_arrow_type(kind)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number, part = TaskContext.get().partitionId() << 32, Segment()
+            for batch in batches:
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    part.add(doc, text)
+                    if len(part.words) >= segment_words:
+                        yield part.rows(number, arrow_kind)
+                        number, part = number + 1, Segment()
+            if part.ids:
+                yield part.rows(number, arrow_kind)
+
+        schema = T.StructType([T.StructField("segment", T.LongType()), T.StructField("token", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("places", T.BinaryType()), T.StructField("ids", T.ArrayType(kind))])
+        docs.mapInArrow(run, schema).write.parquet(path)
+        return cls(spark, path)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+
+def item_words(items: DataFrame) -> DataFrame:
+    """(item_id, version, size, place, token) of every word of every test item; version tells texts of one id apart."""
+    items = items.select("item_id", F.xxhash64("text").alias("version"), "text").filter(F.col("item_id").isNotNull()).distinct()
+    kind = items.schema["item_id"].dataType
+    arrow_kind = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = words(batch.column(2)[k].as_py())
+                n = len(found)
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * n, arrow_kind), pa.array([batch.column(1)[k].as_py()] * n, pa.int64()), pa.array([n] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(found)], names=["item_id", "version", "size", "place", "token"])
+
+    schema = T.StructType([T.StructField("item_id", kind), T.StructField("version", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("token", T.StringType())])
+    return items.mapInArrow(run, schema)
+
+
+def cheapest_cover(cost: list[int], window: int = SEED) -> list[int]:
+    """Places of which every `window` successive ones (all, if there are fewer) hold one, with the least total cost, by dynamic programming."""
+    n = len(cost)
+    window = min(window, n)
+    total, back = [], []
+    for i in range(n):
+        if i < window:
+            total.append(cost[i])
+            back.append(-1)
+        else:
+            j = min(range(i - window, i), key=total.__getitem__)
+            total.append(total[j] + cost[i])
+            back.append(j)
+    out = []
+    i = min(range(n - window, n), key=total.__getitem__, default=-1)
+    while i >= 0:
+        out.append(i)
+        i = back[i]
+    return out[::-1]
+
+
+def _rarest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Marks the words of an item to look up."""
+    pdf = pdf.sort_values("place", ignore_index=True)
+    lead = np.zeros(len(pdf), dtype=bool)
+    lead[cheapest_cover([int(x) + 1 for x in pdf["n"]])] = True
+    return pdf.drop(columns="n").assign(lead=lead)
 
 
 def _extend(a: list[int], b: list[int], i: int, j: int, step: int, lo: int, hi: int) -> tuple[int, int, list[tuple[int, int]]]:
@@ -156,11 +208,8 @@ def _extend(a: list[int], b: list[int], i: int, j: int, step: int, lo: int, hi:
     return end_i, end_j, marks
 
 
-def best_stretch(a: list[int], b: list[int], i: int, j: int, lo: int, hi: int, one_in: float = 8.0, slack: float = 1.0) -> tuple[int, int, int, int, int]:
-    """Longest stretch of item a through (i, j) in text b[lo:hi] with about one edit in so many words.
-
-    (words of a, edits, first and last word of a, end in b of the unbroken run at (i, j)).
-    """
+def best_stretch(a: list[int], b: list[int], i: int, j: int, lo: int, hi: int, one_in: float = 8.0, slack: float = 1.0) -> tuple[int, int, int, int]:
+    """(words of a, edits, first and last word of a) of the longest stretch of item a through (i, j) in text b[lo:hi] with about one edit in so many words."""
     _, _, right = _extend(a, b, i, j, 1, lo, hi)
     _, _, left = _extend(a, b, i - 1, j - 1, -1, lo, hi)
     best = (0, 0, i, i)
@@ -173,7 +222,7 @@ def best_stretch(a: list[int], b: list[int], i: int, j: int, lo: int, hi: int, o
             if (el + er) * one_in <= span + slack:
                 best = (span, el + er, il, ir)
                 break
-    return *best, max((jr for er, _, jr in right if er == 0), default=j)
+    return best
 
 
 def _interrupted(parts: list[tuple[int, int]], n: int) -> int:
@@ -184,112 +233,126 @@ def _interrupted(parts: list[tuple[int, int]], n: int) -> int:
     return got if head and tail < n and (n - got) * 8 <= n else 0
 
 
-def search(terms: TestTerms, ids: list, texts: list[str | None], least: int) -> list[tuple]:
-    """(document, item, words) of each leak in one segment."""
-    flat, starts = _segment(terms, texts)
-    codes, at = _postings(terms, flat)
-    if not len(codes):
-        return []
-    want, owner, offset = terms.look
-    lo, hi = np.searchsorted(codes, want, "left"), np.searchsorted(codes, want, "right")
-    n = hi - lo
-    if not n.sum():
-        return []
-    who = np.repeat(np.arange(len(want)), n)
-    pos = at[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-    item, off = owner[who], offset[who]
-    # offset-adjusted intersection with the neighbouring term on either side: five words in a row
-    sizes = np.array([len(x) for _, x in terms.items], dtype=np.int64)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    words_of = np.concatenate([x for _, x in terms.items])
-    after = np.where(off + TERM < sizes[item], words_of[np.minimum(first[item] + off + TERM, len(words_of) - 1)], -1)
-    before = np.where(off > 0, words_of[np.maximum(first[item] + off - 1, 0)], -1)
-    padded = np.concatenate([[0], flat, [0]])
-    good = (padded[pos + TERM + 1] == after) | (padded[pos] == before) | (sizes[item] == TERM)
-    item, off, pos = item[good], off[good], pos[good]
-    doc = np.searchsorted(starts, pos, "right") - 1
-    out, text = [], flat.tolist()
-    lists = {}
-    order = np.lexsort((pos, item, doc))
-    state = (-1, -1)
-    found, done, parts = False, {}, []
-
-    def close() -> None:
-        if not found and len(parts) > 1 and (span := _interrupted(parts, len(lists[state[1]]))):
-            out.append((ids[state[0]], terms.items[state[1]][0], span, 0))
-
-    for d, k, i, j in zip(doc[order].tolist(), item[order].tolist(), off[order].tolist(), pos[order].tolist(), strict=True):
-        if (d, k) != state:
-            close()
-            state, found, done, parts = (d, k), False, {}, []
-        # another term of an unbroken run already followed
-        if found or j <= done.get(j - i, -1):
+def best_hit(a: list[int], b: list[int], pairs: list[tuple[int, int]], lo: int, hi: int, least: int) -> tuple[int, int] | None:
+    """(words, edits) of the longest leak of item a in text b[lo:hi] that goes through the unbroken run at any of the pairs of places, None if there is none."""
+    best, parts = (0, 0), []
+    last: dict[int, int] = {}  # where the last run followed on a diagonal ends
+    for i, j in pairs:
+        if j < last.get(j - i, -1):
             continue
-        a = lists.get(k)
-        if a is None:
-            a = lists[k] = terms.items[k][1].tolist()
-        span, edits, il, ir, end = best_stretch(a, text, i, j, int(starts[d]), int(starts[d + 1]) - TERM)
-        done[j - i] = end
-        parts.append((il, ir))
+        end = 0
+        while i + end < len(a) and j + end < hi and a[i + end] == b[j + end]:
+            end += 1
+        last[j - i] = j + end
+        while i and j > lo and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        span, edits, head, tail = best_stretch(a, b, i, j, lo, hi)
+        parts.append((head, tail))
         if span >= min(least, len(a)):
-            out.append((ids[d], terms.items[k][0], span, edits))
-            found = True
-    close()
+            best = max(best, (span, -edits))
+    if len(parts) > 1 and (span := _interrupted(parts, len(a))) and span > best[0]:
+        best = (span, 0)
+    return (best[0], -best[1]) if best[0] else None
+
+
+def search_segment(pdf: pd.DataFrame, least: int) -> list[tuple]:
+    """(document, item, words, edits) of each leak in one segment; pdf holds the segment's documents row and the postings of the items' words with their uses."""
+    head = pdf[pdf["token"] == ""]
+    rows = pdf[pdf["token"] != ""].sort_values("token", ignore_index=True)
+    if head.empty or rows.empty:
+        return []
+    docs, starts = list(head["ids"].iloc[0]), unpack(head["places"].iloc[0])
+    postings = [unpack(x) for x in rows["places"]]
+    flat = np.zeros(int(starts[-1]) + 2 * SEED, dtype=np.int32)  # SEED places before the first word
+    for k, at in enumerate(postings):
+        flat[at + SEED] = k + 1
+    # the items, words that don't stand in this segment as -1
+    size_of: dict[tuple, int] = {}
+    number: dict[tuple, int] = {}
+    uses = []
+    for k, (ids, versions, sizes, places, leads) in enumerate(zip(rows["item_ids"], rows["versions"], rows["sizes"], rows["places_of"], rows["leads"], strict=True)):
+        for i, v, n, place, lead in zip(ids, versions, sizes, places, leads, strict=True):
+            owner = number.setdefault((i, v), len(number))
+            size_of[owner] = n
+            uses.append((owner, place, k, lead))
+    names = [i for i, _ in number]
+    first = np.concatenate([[0], np.cumsum([size_of[k] + 2 * SEED for k in range(len(names))])])
+    item = np.full(int(first[-1]), -1, dtype=np.int32)  # each item with SEED places around it
+    for owner, place, k, _ in uses:
+        item[first[owner] + SEED + place] = k + 1
+    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for owner, place, k, lead in uses:
+        if not lead:
+            continue
+        at = postings[k] + SEED
+        here = int(first[owner]) + SEED + place
+        n = size_of[owner]
+        if n > 1:  # a neighbour must fit before anything else is looked at
+            at = at[(flat[at + 1] == item[here + 1]) | (flat[at - 1] == item[here - 1])]
+        if not len(at):
+            continue
+        run = np.ones(len(at), dtype=np.int64)
+        for step in (1, -1):
+            going = np.ones(len(at), dtype=bool)
+            for d in range(1, SEED):
+                going &= flat[at + step * d] == item[here + step * d]
+                run += going
+        at = at[run >= min(SEED, n)] - SEED
+        for doc, j in zip((np.searchsorted(starts, at, "right") - 1).tolist(), at.tolist(), strict=True):
+            found.setdefault((doc, owner), []).append((place, j))
+    out = []
+    text = flat[SEED:].tolist() if found else []
+    for (doc, owner), pairs in sorted(found.items()):
+        a = item[first[owner] + SEED : first[owner + 1] - SEED].tolist()
+        hit = best_hit(a, text, sorted(pairs, key=lambda x: x[1]), int(starts[doc]), int(starts[doc + 1]) - SEED, least)
+        if hit:
+            out.append((docs[doc], names[owner], *hit))
     return out
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, least: int = 15, block: int = 400) -> DataFrame:
-    """(doc_id, item_id, n_words): documents that hold a whole test item or a stretch of at least `least` of its words.
+def search(index: Index, items: DataFrame, least: int = 15, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, item_id, n_words): indexed documents that hold a whole test item or a stretch of at least `least` of its words.
 
-    Null or empty texts hold nothing; whole texts are searched whatever their
-    length; repeated documents are each reported; ids that come twice give
-    the longer stretch. The test set is given and small; it is cut into
-    blocks of fixed size, each of which is searched for in the whole corpus,
-    so what travels to the executors is bounded. The corpus is scanned twice
-    (frequencies, search) and not shuffled. A null doc_id or item_id is left
-    out. Extra columns are ignored.
+    n_words is the longest stretch. Null or empty texts hold nothing; items
+    of any length are searched, those of one word too; repeated documents are
+    each reported, ids that come twice give the longer stretch. A null
+    item_id is left out; extra columns are ignored; without items or
+    documents there are no rows. Only the postings of words that some item
+    has are read, and they are shuffled by segment; the items travel to them
+    by a join, in blocks of about `block_words` words.
     """
-    docs = spread(docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()))
-    spark = docs.sparkSession
-    rows = [(r.item_id, r.text) for r in items.select("item_id", "text").filter(F.col("item_id").isNotNull()).orderBy("item_id", "text").toLocalIterator()]
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", items.schema["item_id"].dataType), T.StructField("n_words", T.IntegerType()), T.StructField("n_edits", T.IntegerType())])
-    found = None
-    for k in range(0, len(rows), block):
-        terms = TestTerms(rows[k : k + block])
-
-        def count(batches: Iterator[pa.RecordBatch], terms=terms) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(terms.table), dtype=np.int64)
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 500):
-                    flat, _ = _segment(terms, batch.column(0).slice(lo, 500).to_pylist())
-                    c, n = np.unique(_postings(terms, flat)[0], return_counts=True)
-                    total[np.searchsorted(terms.table, c)] += n
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(terms.table[some]), pa.array(total[some])], names=["code", "n"])
-
-        frequency = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-        # one row per term of the block at most
-        terms.choose({r.code: r.n for r in frequency.collect()})
-
-        def run(batches: Iterator[pa.RecordBatch], terms=terms) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hits = []
-                for lo in range(0, batch.num_rows, 500):
-                    part = batch.slice(lo, 500)
-                    hits += search(terms, part.column(0).to_pylist(), part.column(1).to_pylist(), least)
-                cols = list(zip(*hits, strict=True)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, arrow, strict=True)], names=schema.names)
-
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(schema).types
-        part = docs.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], schema)
+    spark = index.spark
+    rows = index.rows()
+    tokens = checkpoint(item_words(items))
+    total = tokens.count()
+    blocks = max(1, math.ceil(total / block_words))
+    # words of one block are of bounded size; more go by a merge
+    small = (lambda df: F.broadcast(df)) if total <= BLOCK_WORDS else (lambda df: df.hint("merge"))
+    frequency = rows.select("token", "n").join(small(tokens.select("token").distinct()), "token").groupBy("token").agg(F.sum(F.col("n").cast("bigint")).alias("n"))
+    known = tokens.join(frequency, "token", "left").select("item_id", "version", "size", "place", "token", F.coalesce("n", F.lit(0)).alias("n"))
+    marked = known.groupBy("item_id", "version").applyInPandas(_rarest, T.StructType([*[f for f in known.schema.fields if f.name != "n"], T.StructField("lead", T.BooleanType())]))
+    use = F.struct("item_id", "version", "size", "place", "lead")
+    uses = marked.groupBy(F.pmod(F.xxhash64("item_id", "version"), F.lit(blocks)).alias("block"), "token").agg(F.collect_list(use).alias("u"))
+    lists = [F.col(f"u.{c}").alias(a) for c, a in (("item_id", "item_ids"), ("version", "versions"), ("size", "sizes"), ("place", "places_of"), ("lead", "leads"))]
+    uses = uses.select("block", "token", *lists)
+    # the row of a segment's documents goes to every block
+    heads = uses.select("block").distinct().select("block", F.lit("").alias("token"), *[F.lit(None).cast(uses.schema[c].dataType).alias(c) for c in uses.columns[2:]])
+    needed = rows.drop("n").join(small(checkpoint(uses.unionByName(heads))), "token")
+    kinds = [rows.schema["ids"].dataType.elementType, items.schema["item_id"].dataType]
+    schema = T.StructType([T.StructField("doc_id", kinds[0]), T.StructField("item_id", kinds[1]), T.StructField("n_words", T.IntegerType()), T.StructField("n_edits", T.IntegerType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(search_segment(pdf, least), columns=schema.names)
+
+    found = needed.groupBy("segment", "block").applyInPandas(run, schema)
     return found.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
 
 
+def find_leaks(docs: DataFrame, items: DataFrame, least: int = 15) -> DataFrame:
+    """search() in an index made for this once."""
+    return search(Index.build(docs), items, least)
+
+
 def p7_found(spark, d):
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
