@@ -1,20 +1,24 @@
 """Noise in text from scanned pages.
 
-Of each page the lines are read as one stream of tokens. A cheapest path
-through the stream decides jointly which tokens stand as they are, which are
-words with confused characters, which belong together (broken at a line end,
-with or without a hyphen, or cut by a blank) and which are two words run
-together. Word costs come from counts over all lines. Running headers and
-page numbers are taken off the edges first, and paragraph boundaries are
-chosen by dynamic programming over the lines that stay.
+The lines of each page are read as one stream of characters in which blanks
+and line ends are only likely places for a word to begin. A cheapest path
+through the stream decides jointly where words begin and end: a word of the
+lexicon may cross blanks (a word cut apart) and line ends (a broken word, with
+or without a hyphen), may begin or end inside a token (words run together),
+and may have confused characters anywhere; a token may also stand as it is.
+Word costs come from counts over all lines. Running headers and page numbers
+are taken off the edges first, and paragraph boundaries are chosen by dynamic
+programming over the lines that stay.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
+import uuid
+from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 
 import pyarrow as pa
 import regex
@@ -23,7 +27,8 @@ from pyspark.sql import functions as F
 
 from paperloom.common import checkpoint, latest_lines, norm_key, table
 
-PART = 2000  # lines of a page gathered in one row; longer pages have several rows, which are read together
+CHUNK = 400  # lines of a page decoded together; the results don't depend on it
+NEAR = 64  # the usual width of a line is that of the lines up to so many before and after it
 # A word is in the lexicon from this share of all words on, so the lexicon has at most 1 / share entries.
 LEAST_SHARE = 2e-6
 # Words of at least this share of all words say nothing about headers.
@@ -38,7 +43,10 @@ CONFUSED = {
 FIRST, NEXT = 4.0, 1.5  # cost of the first confusion of a word and of each further one
 # A confusion costs this share of its cost plus this share times the line's confidence: full cost at 0.8, the usual confidence, or without a valid one.
 DOUBT = (0.6, 0.5)
-RUN_TOGETHER = 7.0  # cost of a missing blank
+RUN_TOGETHER = 6.0  # cost of a missing blank
+RARE = 6.9  # two words that cost more each, one in a thousand, may be pieces of one
+# cost of a blank in a word, of a line end in a word, of a hyphen and line end in a word
+CROSS = {" ": 6.0, "\n": 6.0, "-": 1.0}
 BREAKS = "-‐‑–—¬=­"
 _EDGE = " .,;:?!\"'()[]{}*•>|/\\" + "“”‘’"
 _HYPHEN_END = regex.compile(rf"(\p{{L}})[{BREAKS}]\s*$")
@@ -113,8 +121,11 @@ class Lexicon:
                 for ch in w:
                     node = node.setdefault(ch, {})
                 node[""] = w
+        self.longest = max(map(len, self.count), default=0)
+        self.price = {w: -math.log(n / self.total) for w, n in self.count.items() if n}
+        self.least = min(self.price.values(), default=0.0)  # no word costs less
         self.kept: dict[str, tuple[float, str, int]] = {}  # cheapest confused reading, without the cost of its confusions
-        self.splits: dict[str, tuple[float, int]] = {}
+        self.paths: dict[tuple, list] = {}
         self.tokens: dict[str, tuple] = {}
 
     def own(self, w: str) -> float:
@@ -122,7 +133,7 @@ class Lexicon:
         n = self.count.get(w, 0)
         if n >= 3 and n / self.total >= 1e-5:
             return -math.log(n / self.total)
-        return 12.0 + 0.6 * len(w)
+        return 12.0 + 0.6 * len(w) + 1.4 * max(0, len(w) - 12)
 
     def known(self, w: str) -> bool:
         n = self.count.get(w, 0)
@@ -141,7 +152,7 @@ class Lexicon:
 
     def _search(self, w: str) -> tuple[float, str, int]:
         best, least = (1e9, w, 0), 1e9
-        if len(w) < 2 or len(w) > 40 or "@" in w[1:-1] or _NUMBER.search(w) and sum(map(str.isalpha, w)) < 2:
+        if len(w) < 2 or len(w) > 2 * self.longest or "@" in w[1:-1] or _NUMBER.search(w) and sum(map(str.isalpha, w)) < 2:
             return best
         most = 1 + len(w) // 2
         stack = [(self.trie, 0, 0)]
@@ -196,154 +207,307 @@ class Lexicon:
         forms = dict.fromkeys((w, low.strip(".,;:?\"'"), low.rstrip(BREAKS), low.strip(".,;:?\"'!" + BREAKS)))
         plain = min((self.reading(x, scale) for x in forms if x), default=(2.0, w, 0))
         sure = not any(self.kept.get(x, (0, x, 1))[2] for x in forms if x)  # kept may just have been cleared
-        if w.isalpha() and len(w) > 3 and w in low and len(low) == len(t) and t[-1] not in BREAKS:
-            two, k = self.split(w)
-            if two < plain[0]:
-                plain = (two, f"{w[:k]} {w[k:]}", 0)
+        if len(w) > 3 and plain[0] > RUN_TOGETHER + 2 * self.least and w.isalnum() and w[0].isalpha() and w[-1].isalpha() and w in low and len(low) == len(t) and t[-1] not in BREAKS:
+            path = self.decode((w,), "", (plain[0],), scale)
+            if len(path) > 1:
+                plain, sure = (path[-1][4], " ".join(x[2] for x in path), sum(len(x[3]) for x in path)), sure and not any(x[3] for x in path)
         return *plain, w, w.isalpha(), sure
 
-    def split(self, w: str) -> tuple[float, int]:
-        """(cost, place of the cut) of the token as two words run together; one seen far more often than its words run together by chance is a word."""
-        got = self.splits.get(w)
+    def decode(self, cores: tuple[str, ...], joins: str, prices: tuple[float, ...], scale: float = 1.0) -> list[tuple[int, int, str | None, tuple[int, ...], float]]:
+        """Cheapest path through the characters of successive tokens: (begin, end, word, places of confusions, cost so far) of each piece.
+
+        joins says what stands between two tokens (a key of CROSS), prices
+        what each costs as it stands; such a piece has no word. A token alone
+        that is seen far more often than its pieces run together by chance is
+        one word.
+        """
+        key = (cores, joins, prices, scale)
+        got = self.paths.get(key)
         if got is None:
-            if len(self.splits) >= 300_000:
-                self.splits.clear()
-            got = min(((self.own(w[:k]) + self.own(w[k:]) + RUN_TOGETHER, k) for k in range(2, len(w) - 1) if self.known(w[:k]) and self.known(w[k:])), default=(1e9, 0))
-            if w in self.count and got[0] > 3 - math.log(self.count[w] / self.total):
-                got = (1e9, 0)
-            self.splits[w] = got
+            if len(self.paths) >= 200_000:
+                self.paths.clear()
+            got = self.paths[key] = self._decode(*key)
         return got
 
+    def _decode(self, cores: tuple[str, ...], joins: str, prices: tuple[float, ...], scale: float) -> list[tuple]:
+        text = "".join(cores)
+        m = len(text)
+        token_at, inner, at = {}, {}, 0
+        for k, w in enumerate(cores):
+            token_at[at] = (at + len(w), prices[k])
+            at += len(w)
+            if at < m:
+                inner[at] = joins[k]
+        limit = sum(prices)
+        if len(cores) == 1 and text in self.count:
+            limit = min(limit, 3 + self.price[text])
+        cost, back = [1e18] * (m + 1), [()] * (m + 1)
+        cost[0] = 0.0
+        for p in range(m):
+            if cost[p] >= limit:
+                continue
+            whole = -1
+            if p in token_at:
+                whole, price = token_at[p]
+                if cost[p] + price < cost[whole]:
+                    cost[whole], back[whole] = cost[p] + price, (p, None, ())
+            stack = [(self.trie, p, (), cost[p] + (0.0 if p in token_at else RUN_TOGETHER))]
+            while stack:
+                node, i, wrong, c = stack.pop()
+                if c + self.least >= min(limit, cost[m]):
+                    continue
+                word = node.get("")
+                if word is not None and i != whole and self.known(word):
+                    total = c + self.price[word]
+                    if total < cost[i] and total < limit:
+                        cost[i], back[i] = total, (p, word, wrong)
+                if i == m:
+                    continue
+                nodes = [node]
+                if i in inner and i > p:
+                    c += CROSS[inner[i]]
+                    if inner[i] == "-" and "-" in node:
+                        nodes.append(node["-"])
+                more = c + scale * (NEXT if wrong else FIRST)
+                for node in nodes:
+                    if (nxt := node.get(text[i])) is not None:
+                        stack.append((nxt, i + 1, wrong, c))
+                    if more + self.least >= limit:
+                        continue
+                    for size in (1, 2):
+                        if i + size > m or size == 2 and i + 1 in inner:
+                            break
+                        for meant in CONFUSED.get(text[i : i + size], ""):
+                            sub = node
+                            for ch in meant:
+                                sub = sub.get(ch)
+                                if sub is None:
+                                    break
+                            if sub is not None:
+                                stack.append((sub, i + size, (*wrong, i), more))
+        if cost[m] >= 1e18:
+            return [(0, m, None, (), prices[0])]
+        out, at = [], m
+        while at:
+            p, word, wrong = back[at]
+            out.append((p, at, word, wrong, cost[at]))
+            at = p
+        return out[::-1]
+
 
 def page_of(uid: str) -> int | None:
     m = _UID_PAGE.search(uid)
     return int(m.group(1)) if m else None
 
 
-def read_page(lines: list[tuple[str, str]], lex: Lexicon, scales: list[float] | None = None) -> tuple[list[tuple[str, str]], list[tuple[int, str]]]:
-    """((line_uid, kind) found, (first line, text) of each paragraph) of a page whose lines with text are given in order, perhaps with what a confusion's cost is multiplied by."""
+def read_page(lines: Iterable[tuple], lex: Lexicon) -> tuple[list[tuple[str, str]], list[tuple[int, str]]]:
+    """((line_uid, kind) found, (first line, text) of each paragraph) of a page whose lines (line_uid, text) come in order, perhaps with what a confusion's cost is multiplied by.
+
+    The lines are a stream of any length: some hundred are held at a time and
+    decoded up to a place where no word can go on to the next line, so the
+    results are those of the page read at once.
+    """
+    lines = iter(lines)
     kinds: list[tuple[str, str]] = []
-    n = len(lines)
-    off = set()
-    # page numbers and headers stand at the edges, at most two lines deep
-    order = [i for pair in zip(range(2), range(n - 1, n - 3, -1), strict=True) for i in pair if 0 <= i < n]
-    for i in dict.fromkeys(order):
-        uid, text = lines[i]
-        inner = i not in (0, n - 1)
-        if inner and not {i - 1, i + 1} & off & {0, n - 1}:
+    text = Paragraphs()
+    uids, texts, weights = [], [], []  # lines held
+    base, begun, ended = 0, False, False  # number in the page of the first line held
+    off: set[int] = set()
+    numbers: set[int] = set()
+
+    def edge(i: int) -> bool:
+        if is_page_number(texts[i - base], page_of(uids[i - base])):
+            kinds.append((uids[i - base], "page_number"))
+            numbers.add(i)
+        elif _is_header(texts[i - base], lex):
+            kinds.append((uids[i - base], "header"))
+        else:
+            return False
+        off.add(i)
+        return True
+
+    while not ended:
+        got = 0
+        for uid, t, *scale in islice(lines, CHUNK + 2 * NEAR):
+            uids.append(uid)
+            texts.append(t)
+            weights.append(scale[0] if scale else 1.0)
+            got += 1
+        ended = got < CHUNK + 2 * NEAR
+        n = base + len(uids)
+        # page numbers and headers stand at the edges, at most two lines deep
+        if not begun and uids:
+            begun, first = True, edge(0)
+            last = edge(n - 1) if ended and n > 1 else False
+            if n > 2 and (first or n == 3 and last):
+                edge(1)
+            if ended and n > 3 and last:
+                edge(n - 2)
+        elif ended and n > base and edge(n - 1) and n - 2 >= base:
+            edge(n - 2)
+        cut = len(uids)
+        if not ended:
+            cut -= NEAR + 4
+            while cut and _may_join(texts[cut - 1], texts[cut], lex):
+                cut -= 1
+        if not cut:
             continue
-        if is_page_number(text, page_of(uid)):
-            kinds.append((uid, "page_number"))
-            off.add(i)
-        elif _is_header(text, lex):
-            kinds.append((uid, "header"))
-            off.add(i)
-    misread, hyphen = set(), set()
-    words: list[tuple[int, str]] = []
-    begin = 0
-    while begin < n:
-        end = min(begin + PART, n)
-        while end < n and _may_join(lines[end - 1][1], lines[end][1], lex):
-            end += 1
-        for i, shown in _read_stream(lines, begin, end, off, lex, misread, hyphen, scales or [1.0] * n):
-            if words and words[-1][0] == i:
-                words[-1] = (i, f"{words[-1][1]} {shown}")
-            else:
-                words.append((i, shown))
-        begin = end
-    numbers = {uid for uid, kind in kinds if kind == "page_number"}
-    for i in range(n):
-        uid, text = lines[i]
-        if i not in hyphen and i not in off and i + 1 < n and _HYPHEN_END.search(text):
-            stem = text.split()[-1].rstrip(BREAKS).lower().lstrip(_EDGE)
-            if not lex.known(stem) and _odd_next(lines[i + 1][1]) and len(stem) > 1 and not stem.endswith(":") and _prefix(lex, stem):
-                hyphen.add(i)
-        if i in hyphen:
-            kinds.append((uid, "hyphen"))
-        if i in misread or i in off and uid in numbers and _PAGE_MISREAD.search(text):
-            kinds.append((uid, "misread"))
-    return kinds, paragraphs(words, [x for _, x in lines], off)
+        misread, hyphen = set(), set()
+        words = _read_stream(texts[:cut], base, off, lex, misread, hyphen, weights[:cut])
+        for k in range(cut):
+            i, t = base + k, texts[k]
+            if i not in hyphen and i not in off and k + 1 < len(texts) and _HYPHEN_END.search(t):
+                stem = t.split()[-1].rstrip(BREAKS).lower().lstrip(_EDGE)
+                if not lex.known(stem) and _odd_next(texts[k + 1]) and len(stem) > 1 and not stem.endswith(":") and _prefix(lex, stem):
+                    hyphen.add(i)
+            if i in hyphen:
+                kinds.append((uids[k], "hyphen"))
+            if i in misread or i in numbers and _PAGE_MISREAD.search(t):
+                kinds.append((uids[k], "misread"))
+        text.add(words, texts, cut, base, off)
+        del uids[:cut], texts[:cut], weights[:cut]
+        base += cut
+    return kinds, text.end()
 
 
 def _may_join(a: str, b: str, lex: Lexicon) -> bool:
     """Whether a word may go on from line a to line b; where none can, the cheapest paths before and after are independent."""
     a, b = a.split(), b.split()
-    return bool(a and b) and (a[-1].rstrip(".,")[-1:] in BREAKS or lex.token(a[-1])[4] and lex.token(b[0])[4])
-
-
-def _read_stream(lines: list[tuple[str, str]], begin: int, end: int, off: set[int], lex: Lexicon, misread: set[int], hyphen: set[int], scales: list[float]) -> list[tuple[int, str]]:
-    """(line, token) of the cheapest path through lines begin to end; adds to the lines misread and broken."""
-    # one stream of tokens: (line, token, last of its line)
-    stream = []
-    for i in range(begin, end):
-        toks = lines[i][1].split()
-        stream += [(i, t, k == len(toks) - 1) for k, t in enumerate(toks)]
-    read = [lex.token(t, scales[i]) for i, t, _ in stream]
-    m = len(stream)
-    cost = [0.0] + [1e18] * m
-    back: list[tuple] = [()] * (m + 1)
-    for k in range(m):
-        i, t, last = stream[k]
-        so_far = cost[k]
-        price, word, wrong, w, half, _ = read[k]
-        if so_far + price < cost[k + 1]:
-            cost[k + 1] = so_far + price
-            back[k + 1] = ("word", k, word, wrong)
-        if not last and not half:
-            continue
-        if k + 1 < m and i not in off:
-            j, t2, _ = stream[k + 1]
-            if j in off:
-                continue
-            end = t.rstrip(".,")
-            broken = last and j == i + 1 and len(end) > 1 and end[-1] in BREAKS and end[-2].isalpha()
-            if broken:
-                stem, rest = end.rstrip(BREAKS).lower().lstrip(_EDGE), t2.lower().rstrip(".,;:?!\"')" + BREAKS)
-                least = min(scales[i], scales[j])
-                a, b = lex.reading(stem + rest, least), lex.reading(stem + "-" + rest, least)
-                whole = min(a, b)
-                if whole[1] in lex.count and lex.known(whole[1]):
-                    if so_far + whole[0] + 1 < cost[min(k + 2, m)]:
-                        cost[k + 2] = so_far + whole[0] + 1
-                        back[k + 2] = ("broken", k, whole[1], whole[2])
-            elif (last and j == i + 1 or j == i) and half and read[k + 1][4]:
-                whole = lex.reading(w + read[k + 1][3], min(scales[i], scales[j]))
-                if lex.known(whole[1]) and so_far + whole[0] + 6 < cost[k + 2]:
-                    cost[k + 2] = so_far + whole[0] + 6
-                    back[k + 2] = ("broken" if last else "merged", k, whole[1], whole[2])
+    return bool(a and b) and (a[-1].rstrip(".,")[-1:] in BREAKS or any(x[4] or x[0] > RARE for x in (lex.token(a[-1]), lex.token(b[0]))))
+
+
+def _parts(t: str, w: str) -> tuple[str, str, str] | None:
+    """What stands before, in and after the core of a token; None where letters change their number with their case."""
+    low = t.lower()
+    at = low.find(w)
+    return (t[:at], t[at : at + len(w)], t[at + len(w) :]) if w and at >= 0 and len(low) == len(t) else None
+
+
+def _read_stream(lines: list[str], base: int, off: set[int], lex: Lexicon, misread: set[int], hyphen: set[int], scales: list[float]) -> list[tuple[int, str]]:
+    """(line, word) of the cheapest path through the lines, the first of which is number `base`; adds to the lines misread and broken.
+
+    The path is looked for between places where no word can go on: beside
+    tokens that are words as they stand, unless a line ends with a hyphen or
+    the two together are a word.
+    """
+    tokens: list[tuple[int, str, tuple]] = []
+    joins: list[str] = []  # what a word may cross after each token, if anything
+    for k, text in enumerate(lines):
+        toks = text.split()
+        i = base + k
+        for q, t in enumerate(toks):
+            read = lex.token(t, scales[k])
+            if tokens:
+                j, before, was = tokens[-1]
+                join = ""
+                open_ = was[4] or read[4] or was[0] > RARE and read[0] > RARE
+                if j == i:
+                    if open_ and i not in off and _joins(before, was, t, read, lex):
+                        join = " "
+                elif q == 0 and j == i - 1 and j not in off and i not in off:
+                    end = before.rstrip(".,")
+                    if len(end) > 1 and end[-1] in BREAKS and end[-2].isalpha():
+                        join = "-"
+                    elif open_ and _joins(before, was, t, read, lex):
+                        join = "\n"
+                joins.append(join)
+            tokens.append((i, t, read))
+    joins.append("")
     words: list[tuple[int, str]] = []
-    k = m
-    while k:
-        what, prev, meant, wrong = back[k]
-        i, t, last = stream[prev]
-        if wrong:
-            misread.add(i)
-            if what == "broken":
-                # which half is wrong: the one that isn't the same as in the word meant
-                stem = t.rstrip(".,").rstrip(BREAKS).lower().lstrip(_EDGE)
-                if meant.startswith(stem):
-                    misread.discard(i)
-                    misread.add(stream[prev + 1][0])
-                elif not meant.endswith(core(stream[prev + 1][1])):
-                    misread.add(stream[prev + 1][0])
-        if what == "broken":
-            hyphen.add(i)
-            words.append((i, _dress(t.rstrip(".,").rstrip(BREAKS) + stream[prev + 1][1], meant)))
-        elif what == "merged":
-            shown = t + stream[prev + 1][1]
-            words.append((i, _dress(shown, meant) if wrong or meant != core(shown) else shown))
-        elif " " in meant:
-            # two words run together, in the case and with the punctuation shown
-            first, second = meant.split(" ")
-            cut = t.lower().index(first + second) + len(first)
-            words += [(i, t[cut:]), (i, t[:cut])]
+    begin = 0
+    for k, join in enumerate(joins[: len(tokens)]):
+        if join:
+            continue
+        if begin == k:
+            i, t, read = tokens[k]
+            if read[2]:
+                misread.add(i)
+            if " " in read[1]:
+                path = lex.decode((read[3],), "", (min(lex.reading(x, scales[i - base])[0] for x in _forms(t, read[3])),), scales[i - base])
+                words += [(i, x) for x in _shown([t], (read[3],), path)]
+            else:
+                words.append((i, _dress(t, read[1]) if read[2] else t))
         else:
-            words.append((i, _dress(t, meant) if wrong else t))
-        k = prev
-    words.reverse()
+            _read_stretch(tokens[begin : k + 1], "".join(joins[begin:k]), base, lex, misread, hyphen, scales, words)
+        begin = k + 1
     return words
 
 
+def _joins(a: str, read_a: tuple, b: str, read_b: tuple, lex: Lexicon) -> bool:
+    """Whether one word may go on from token a to b, with nothing between them: two pieces that are no words, or tokens of which one is a rare word at most and that make up a word."""
+    wa, wb = read_a[3], read_b[3]
+    if not a.lower().endswith(wa) or not b.lower().startswith(wb):
+        return False
+    if read_a[4] and read_b[4]:
+        return True
+    return lex.known(wa + wb) and wa.isalpha() and wb.isalpha() and lex.price[wa + wb] + CROSS[" "] < read_a[0] + read_b[0]
+
+
+def _forms(t: str, w: str) -> list[str]:
+    """What of a token may be its word: some confused characters look like punctuation."""
+    low = t.lower()
+    return [x for x in dict.fromkeys((w, low.strip(".,;:?\"'"), low.rstrip(BREAKS), low.strip(".,;:?\"'!" + BREAKS))) if x]
+
+
+def _shown(raw: list[str], cores: tuple[str, ...], path: list[tuple]) -> list[str]:
+    """The pieces of a path in the case and with the outer punctuation of the tokens."""
+    parts = [_parts(t, w) or ("", w, "") for t, w in zip(raw, cores, strict=True)]
+    ends, at = [], 0
+    for w in cores:
+        at += len(w)
+        ends.append(at)
+    out = []
+    for begin, end, word, wrong, _ in path:
+        text = ""
+        for (head, body, tail), stop in zip(parts, ends, strict=True):
+            start = stop - len(body)
+            if stop <= begin or start >= end:
+                continue
+            text += (head if start == begin else "") + body[max(begin - start, 0) : end - start] + (tail if stop == end else "")
+        out.append(text if word is None or not wrong and word == core(text) else _dress(text, word))
+    return out
+
+
+def _read_stretch(tokens: list[tuple[int, str, tuple]], joins: str, base: int, lex: Lexicon, misread: set[int], hyphen: set[int], scales: list[float], words: list[tuple[int, str]]) -> None:
+    """Reads tokens that words may cross together."""
+    raw = [t for _, t, _ in tokens]
+    cores = []
+    for k, (_, t, read) in enumerate(tokens):
+        w = read[3]
+        if k < len(joins) and joins[k] == "-":
+            w = t.rstrip(".,").rstrip(BREAKS).lower().lstrip(_EDGE)
+        if k and joins[k - 1] == "-" and w and not t.lower().startswith(w):
+            w = t.lower().rstrip(".,;:?!\"')" + BREAKS)
+        cores.append(w or t.lower())
+    cores = tuple(cores)
+    path = lex.decode(cores, joins, tuple(read[0] for _, _, read in tokens), min(scales[i - base] for i, _, _ in tokens))
+    ends, at = [], 0
+    for w in cores:
+        at += len(w)
+        ends.append(at)
+    shown = _shown(raw, cores, path)
+    for (begin, end, word, wrong, _), text in zip(path, shown, strict=True):
+        k = bisect_left(ends, begin + 1)
+        i, t, read = tokens[k]
+        if word is None:
+            # the token as it is, or its own reading
+            if read[2]:
+                misread.add(i)
+            if " " in read[1]:
+                own = lex.decode((read[3],), "", (min(lex.reading(x, scales[i - base])[0] for x in _forms(t, read[3])),), scales[i - base])
+                words += [(i, x) for x in _shown([t], (read[3],), own)]
+            else:
+                words.append((i, _dress(t, read[1]) if read[2] else t))
+            continue
+        for place in wrong:
+            misread.add(tokens[bisect_left(ends, place + 1)][0])
+        while ends[k] < end:
+            if joins[k] != " ":
+                hyphen.add(tokens[k][0])
+            k += 1
+        words.append((i, text))
+
+
 def _odd_next(text: str) -> bool:
     """A next line that begins in lower case may go on with a word."""
     s = text.lstrip()
@@ -388,75 +552,127 @@ def _is_header(text: str, lex: Lexicon) -> bool:
     return len(line) >= 10 and any(len(line) <= len(t) and sum(a != b for a, b in zip(line, t, strict=False)) <= 2 for t in lex.templates.get(key[0], ()))
 
 
-def paragraphs(words: list[tuple[int, str]], lines: list[str], off: set[int]) -> list[tuple[int, str]]:
-    """(first line, text): text cut where the sum of the costs of breaking or going on between lines is least, by dynamic programming."""
-    kept: dict[int, list[str]] = {}
-    for i, w in words:
-        if i not in off:
-            kept.setdefault(i, []).append(w)
-    if not kept:
-        return []
-    order = sorted(kept)
-    widths = sorted(len(lines[i].strip()) for i in order)
-    usual = widths[len(widths) * 3 // 4] or 1
-    # states: the line begins a paragraph (1) or goes on (0)
-    best = [(1e9, (0, ())), (0.0, (1, ()))]
-    marker = {i: bool(_MARKER.match(lines[i])) for i in order}
-    for a, b in zip(order, order[1:], strict=False):
-        line = lines[a].rstrip()
+class Paragraphs:
+    """Text cut where the sum of the costs of breaking or going on between lines is least, by dynamic programming over a stream of lines."""
+
+    def __init__(self):
+        self.kept: dict[int, list[str]] = {}  # words of lines whose paragraph isn't sure yet
+        self.best: list[tuple[float, tuple]] = []  # the line goes on (0) or begins a paragraph (1): cost, (line begun, the one before, ..)
+        self.line: str | None = None
+        self.marker = False
+        self.near: list[int] = []  # widths of lines near the present one, sorted
+        self.widths: list[tuple[int, int]] = []  # (line, width) of the same lines, in order
+        self.done: list[tuple[int, str]] = []
+
+    def usual(self, i: int, ahead: list[tuple[int, int]]) -> int:
+        """Upper quartile of the widths of the lines up to NEAR before and after line i; `ahead` are lines not looked at yet."""
+        while ahead and ahead[0][0] <= i + NEAR:
+            new = ahead.pop(0)
+            self.widths.append(new)
+            insort(self.near, new[1])
+        while self.widths and self.widths[0][0] < i - NEAR:
+            del self.near[bisect_left(self.near, self.widths.pop(0)[1])]
+        return self.near[len(self.near) * 3 // 4] if self.near else 1
+
+    def add(self, words: list[tuple[int, str]], texts: list[str], cut: int, base: int, off: set[int]) -> None:
+        """The next lines, `cut` of the texts, and their words; further texts are looked at for their widths."""
+        new: dict[int, list[str]] = {}
+        for i, w in words:
+            if i not in off:
+                new.setdefault(i, []).append(w)
+        seen = self.widths[-1][0] if self.widths else -1
+        ahead = [(base + k, len(t.strip())) for k, t in enumerate(texts) if base + k > seen and base + k not in off]
+        for i in sorted(new):
+            self.kept[i] = new[i]
+            line = texts[i - base]
+            marker = bool(_MARKER.match(line))
+            if self.line is None:
+                self.best = [(1e9, (i, ())), (0.0, (i, ()))]
+            else:
+                self._step(i, line, marker, self.usual(self.last, ahead))
+            self.line, self.marker, self.last = line, marker, i
+        self._settle()
+
+    def _step(self, i: int, text: str, marker: bool, usual: int) -> None:
+        line = self.line.rstrip()
         ends = bool(_ENDS.search(line[-3:]))
-        short = len(line.lstrip()) < 0.7 * usual
-        starts = lines[b].lstrip()[:1].isupper() or marker[b]
+        short = len(line.lstrip()) < 0.7 * (usual or 1)
+        starts = text.lstrip()[:1].isupper() or marker
         broken = line[-1:] in BREAKS and not starts and bool(_HYPHEN_END.search(line))
-        new = 3.0 - 1.5 * ends - 2.0 * short - 0.5 * starts - 3.0 * marker[b] + 2.0 * broken
-        on = 1.0 * (ends and short) + 1.0 * marker[b]
-        (on_cost, going), (new_cost, begun) = best
+        new = 3.0 - 1.5 * ends - 2.0 * short - 0.5 * starts - 3.0 * marker + 2.0 * broken
+        on = 1.0 * (ends and short) + 1.0 * marker
+        (on_cost, going), (new_cost, begun) = self.best
         # a paragraph of a single line costs a little
         fresh = (on_cost + new, going) if on_cost <= new_cost + 0.3 else (new_cost + new + 0.3, begun)
         least = (on_cost, going) if on_cost <= new_cost else (new_cost, begun)
-        best = [(least[0] + on, (0, least[1])), (fresh[0], (1, fresh[1]))]
-    marks, link = [], min(best, key=lambda x: x[0])[1]
-    while link:
-        marks.append(link[0])
-        link = link[1]
-    marks.reverse()
-    out: list[tuple[int, list[str]]] = []
-    for i, mark in zip(order, marks, strict=True):
-        if mark:
-            out.append((i, []))
-        out[-1][1].extend(kept[i])
-    return [(i, " ".join(p)) for i, p in out]
+        self.best = [(least[0] + on, least[1]), (fresh[0], (i, fresh[1]))]
+
+    def _settle(self) -> None:
+        """Writes the paragraphs that both states have in common, but the last of them, which may go on."""
+        if not self.best:
+            return
+        chains = []
+        for _, link in self.best:
+            marks = []
+            while link:
+                marks.append(link[0])
+                link = link[1]
+            chains.append(marks[::-1])
+        same = 0
+        while same < min(map(len, chains)) and chains[0][same] == chains[1][same]:
+            same += 1
+        if same > 1:
+            self._write(chains[0][:same])
+            self.best = [(cost, self._link(marks[same - 1 :])) for (cost, _), marks in zip(self.best, chains, strict=True)]
+
+    @staticmethod
+    def _link(marks: list[int]) -> tuple:
+        link: tuple = ()
+        for i in marks:
+            link = (i, link)
+        return link
+
+    def _write(self, marks: list[int], last: bool = False) -> None:
+        """The paragraphs that begin at the marks, without the last unless it has ended."""
+        order = iter(sorted(self.kept))
+        line = next(order, None)
+        for k, i in enumerate(marks if last else marks[:-1]):
+            stop = marks[k + 1] if k + 1 < len(marks) else math.inf
+            parts = []
+            while line is not None and line < stop:
+                parts += self.kept.pop(line)
+                line = next(order, None)
+            self.done.append((i, " ".join(parts)))
+
+    def end(self) -> list[tuple[int, str]]:
+        if self.best:
+            marks, link = [], min(self.best, key=lambda x: x[0])[1]
+            while link:
+                marks.append(link[0])
+                link = link[1]
+            self._write(marks[::-1], last=True)
+            self.best = []
+        return self.done
 
 
 def gather_pages(lines: DataFrame) -> DataFrame:
-    """(page, part, lines, own, start, total): the latest reading of each line with text, in reading order.
+    """(page, line_uid, text, confidence, first, deep): the latest reading of each line with text, page by page in reading order.
 
     The page is the one in the line's uid, which is right where page_id is
-    null or wrong. Ties in reading_order go by block, line and uid. A part
-    has the lines of 2000 places and the first line of the next part; the
-    first `own` lines are its own and stand from line `start` on in a page of
-    `total` lines. The parts of a page follow each other in one partition.
+    null or wrong; a line without either is a page by itself. Ties in
+    reading_order go by block, line and uid. first: the line begins its page;
+    deep: lines between it and the nearest edge of the page, 2 for all
+    further in. Pages are streams of lines, never gathered in a row.
     """
     if "confidence" not in lines.columns:
         lines = lines.withColumn("confidence", F.lit(None).cast("double"))
     rows = latest_lines(lines, "page_id", "reading_order", "block_id", "line_id", "text", "confidence").filter(F.trim("text") != "")
     of_uid = F.regexp_extract("line_uid", r"^(.+)_b\d+_l\d+$", 1)
-    place = lambda o: F.floor(F.coalesce(o, F.lit(0)) / PART).cast("int")
-    part = place(F.col("reading_order"))
-    parts = F.when((part > 0) & (F.col("reading_order") % PART == 0), F.array(part, part - 1)).otherwise(F.array(part))
-    keyed = rows.select(
-        F.when(of_uid != "", of_uid).otherwise(F.coalesce(norm_key(F.col("page_id")), F.lit(""))).alias("page"),
-        F.explode(parts).alias("part"),
-        F.struct("reading_order", "block_id", "line_id", "line_uid", "text", "confidence").alias("x"),
-    )
-    # one shuffle by page serves the parts, the counts over a page's parts and their order
-    gathered = keyed.repartition("page").groupBy("page", "part").agg(
-        F.transform(F.array_sort(F.collect_list("x")), lambda x: F.struct(x["line_uid"].alias("uid"), x["text"].alias("text"), x["confidence"].alias("confidence"))).alias("lines"),
-        F.sum((place(F.col("x.reading_order")) == F.col("part")).cast("int")).cast("int").alias("own"),
-    )
-    of_page = Window.partitionBy("page").orderBy("part")
-    before, through = (of_page.rowsBetween(Window.unboundedPreceding, x) for x in (-1, Window.unboundedFollowing))
-    return gathered.select("*", F.coalesce(F.sum("own").over(before), F.lit(0)).cast("int").alias("start"), F.sum("own").over(through).cast("int").alias("total"))
+    page = F.when(of_uid != "", of_uid).otherwise(F.coalesce(norm_key(F.col("page_id")), F.concat(F.lit("line "), "line_uid")))
+    order = Window.partitionBy("page").orderBy("reading_order", "block_id", "line_id", "line_uid")
+    at = F.row_number().over(order)
+    below = F.when(F.lead("line_uid", 1).over(order).isNull(), 0).when(F.lead("line_uid", 2).over(order).isNull(), 1).otherwise(2)
+    return rows.withColumn("page", page).select("page", "line_uid", "text", "confidence", (at == 1).alias("first"), F.least(at - 1, below).alias("deep"))
 
 
 def count_words(pages: DataFrame) -> DataFrame:
@@ -476,7 +692,7 @@ def count_words(pages: DataFrame) -> DataFrame:
                 for t in list(raw):
                     c = raw.pop(t)
                     w = core(t)
-                    if len(w) < 60 and _LETTERS.search(w):
+                    if _LETTERS.search(w):
                         merged[w, raw is edge] += c
             for (w, at_edge), c in merged.items():
                 (edge if at_edge else n)[w] = c
@@ -489,35 +705,28 @@ def count_words(pages: DataFrame) -> DataFrame:
 
         broken = False
         for batch in batches:
-            for texts, own, start, total in zip(*batch.columns, strict=True):
-                own, start, total = own.as_py(), start.as_py(), total.as_py()
-                broken = start > 0 and broken
-                for k, text in enumerate(texts.as_py()[:own], start):
-                    toks = text.split()
-                    skip, broken = broken, bool(_HYPHEN_END.search(text))
-                    ws = toks[int(skip) : len(toks) - broken]
-                    n.update(ws)
-                    if k in (0, total - 1):
-                        edge.update(ws)
+            for text, first, deep in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                toks = text.split()
+                skip, broken = broken and not first, bool(_HYPHEN_END.search(text))
+                ws = toks[int(skip) : len(toks) - broken]
+                n.update(ws)
+                if deep == 0:
+                    edge.update(ws)
             if len(n) > 200_000:
                 yield flush()
         yield flush()
 
-    return pages.select("lines.text", "own", "start", "total").mapInArrow(run, "word string, n long, n_edge long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_edge").alias("n_edge"))
+    return pages.select("text", "first", "deep").mapInArrow(run, "word string, n long, n_edge long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_edge").alias("n_edge"))
 
 
 def header_templates(pages: DataFrame, least_share: float = 1.2e-3, at_edges: float = 0.8) -> list[str]:
     """Letters of lines that stand in the first or last two lines of at least this share of pages (so under 4 / share of them) and hardly elsewhere."""
-    key = lambda t: F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}]+", " "))
-    n = pages.filter("start = 0 and own > 0").count()
-    near = F.array_distinct(F.array(F.lit(0), F.lit(1), F.col("total") - 2, F.col("total") - 1))
-    here = F.filter(F.transform(near, lambda i: i - F.col("start")), lambda i: (i >= 0) & (i < F.col("own")))
-    edges = pages.select(F.explode(F.transform(here, lambda i: F.get("lines", i)["text"])).alias("t")).select(key(F.col("t")).alias("k"))
-    often = edges.filter((F.length("k") >= 10) & F.col("k").contains(" ")).groupBy("k").agg(F.count(F.lit(1)).alias("e")).filter(F.col("e") >= max(3.0, least_share * n))
+    key = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " ")).alias("k")
+    n = pages.filter("first").count()
+    often = pages.filter("deep < 2").select(key).filter((F.length("k") >= 10) & F.col("k").contains(" ")).groupBy("k").agg(F.count(F.lit(1)).alias("e")).filter(F.col("e") >= max(3.0, least_share * n))
     often = checkpoint(often)
-    every = pages.select(F.explode(F.slice("lines.text", F.lit(1), F.col("own"))).alias("t")).select(key(F.col("t")).alias("k"))
     # `often` has fewer than 4 / least_share rows
-    all_of = every.join(F.broadcast(often), "k").groupBy("k", "e").agg(F.count(F.lit(1)).alias("n"))
+    all_of = pages.select(key).join(F.broadcast(often), "k").groupBy("k", "e").agg(F.count(F.lit(1)).alias("n"))
     return sorted(r.k for r in all_of.filter(F.col("e") >= at_edges * F.col("n")).toLocalIterator())
 
 
@@ -530,59 +739,45 @@ def lexicon_rows(pages: DataFrame, least_share: float = LEAST_SHARE) -> tuple[di
     return {r.word: (r.n, r.n_edge) for r in rows}, n, e, header_templates(pages)
 
 
-def _by_part(parts: list[tuple[str, int, int]], lines: list[tuple[str, str]], found: list[tuple[str, str]], texts: list[tuple[int, str]]) -> list[tuple]:
-    """Rows (page, part, uids, kinds, paragraphs) of a page."""
-    if len(parts) == 1:
-        return [(*parts[0][:2], [u for u, _ in found], [k for _, k in found], [t for _, t in texts])]
-    starts = [start for _, _, start in parts]
-    line = {uid: i for i, (uid, _) in enumerate(lines)}
-    rows = [(page, part, [], [], []) for page, part, _ in parts]
-    for uid, kind in found:
-        row = rows[bisect_right(starts, line[uid]) - 1]
-        row[2].append(uid)
-        row[3].append(kind)
-    for i, text in texts:
-        rows[bisect_right(starts, i) - 1][4].append(text)
-    return rows
+_LEXICONS: dict[str, Lexicon] = {}
+
+
+def _lexicon(name: str, shared) -> Lexicon:
+    """One lexicon per Python worker."""
+    if name not in _LEXICONS:
+        _LEXICONS.clear()
+        _LEXICONS[name] = Lexicon(*shared.value)
+    return _LEXICONS[name]
 
 
 def repair(lines: DataFrame) -> DataFrame:
-    """(page, part, uids, kinds, paragraphs): what was found in each page and its readable text.
+    """(page, uids, kinds, paragraphs): what was found in each page and its readable text, one row a page.
 
-    All parts of a page are read as one; what was found and the paragraphs
-    are given with the part in which the line stands or the paragraph begins.
     Null and blank texts are no lines; null line_uids are left out; repeated
     and older readings count once; an empty table gives no rows; very long
-    lines are read whole.
+    lines, words and pages are read whole, all by the same path.
     """
     pages = checkpoint(gather_pages(lines))
-    words = lexicon_rows(pages)
-    shared = pages.sparkSession.sparkContext.broadcast(words)
-
+    shared = pages.sparkSession.sparkContext.broadcast(lexicon_rows(pages))
+    name = uuid.uuid4().hex
     strings = pa.list_(pa.string())
-    kinds_out, names_out = [pa.string(), pa.int32(), strings, strings, strings], ["page", "part", "uids", "kinds", "paragraphs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = Lexicon(*shared.value)
-        lines: list[tuple[str, str]] = []
-        scales: list[float] = []
-        parts: list[tuple[str, int, int]] = []  # (page, part, its first line) of the page being gathered
-        for batch in batches:
-            out: list[tuple] = []
-            for page, part, uids, texts, sure, own, start, total in zip(*batch.columns, strict=True):
-                own, start, total = own.as_py(), start.as_py(), total.as_py()
-                if not own:
-                    continue
-                if start == 0:
-                    lines, parts, scales = [], [], []
-                parts.append((page.as_py(), part.as_py(), start))
-                lines += zip(uids.as_py()[:own], texts.as_py()[:own], strict=True)
-                scales += map(doubt, sure.as_py()[:own])
-                if len(lines) == total:
-                    out += _by_part(parts, lines, *read_page(lines, lex, scales))
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(list(zip(*out, strict=True)) or [[]] * len(kinds_out), kinds_out, strict=True)], names=names_out)
+        lex = _lexicon(name, shared)
+        rows = (r for batch in batches for r in zip(*(x.to_pylist() for x in batch.columns), strict=True))
+        out: list[tuple] = []
+        for page, of_page in groupby(rows, key=lambda r: r[0]):
+            found, texts = read_page(((uid, text, doubt(sure)) for _, uid, text, sure in of_page), lex)
+            out.append((page, [u for u, _ in found], [k for _, k in found], [t for _, t in texts]))
+            if len(out) >= 500:
+                yield batch_of(out)
+                out = []
+        yield batch_of(out)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(list(zip(*out, strict=True)) or [[]] * 4, (pa.string(), strings, strings, strings), strict=True)], names=["page", "uids", "kinds", "paragraphs"])
 
-    return pages.select("page", "part", "lines.uid", "lines.text", "lines.confidence", "own", "start", "total").mapInArrow(run, "page string, part int, uids array<string>, kinds array<string>, paragraphs array<string>")
+    return pages.select("page", "line_uid", "text", "confidence").mapInArrow(run, "page string, uids array<string>, kinds array<string>, paragraphs array<string>")
 
 
 def p2_found(spark, d):
@@ -591,7 +786,7 @@ def p2_found(spark, d):
 
 
 def p2_pages(spark, d):
-    return repair(table(spark, d, "ocr_lines")).select("page", "part", F.size("paragraphs").alias("n_paragraphs"), F.array_join("paragraphs", "\n\n").alias("text"))
+    return repair(table(spark, d, "ocr_lines")).select("page", F.size("paragraphs").alias("n_paragraphs"), F.array_join("paragraphs", "\n\n").alias("text"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_pages": p2_pages}
