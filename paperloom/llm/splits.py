@@ -4,8 +4,9 @@ Records that share a student or a source file, directly or through others,
 are one component. Components are found by label propagation with pointer
 jumping over the few links between students. A new split is searched by
 annealing over whole components: start from a hashed assignment, move or
-exchange components while the deviation in size and labels falls, several
-runs side by side, and keep the best.
+exchange components while the deviation in size and labels falls, in blocks
+and several runs side by side, and keep the best. The blocks are drawn anew
+in each round, so any two components can come to be exchanged.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 from paperloom.common import blank_trim, checkpoint, norm_path, table
 
 SALT = 16
-HEAVY = 1000  # a component with over 1/1000 of the rows is heavy; there are at most that many
-BLOCK = 2000  # light components annealed together
-LABELS = 6
+BLOCK = 2000  # components annealed together in a round
+HEAVY = 1000  # components over 1 / HEAVY of the rows, so fewer than that many, are placed among themselves first
+# So many of the most frequent labels count each by itself; all others count too, by their hash in as many groups.
+LABELS = 32
 
 
 def student_number(c: Column) -> Column:
@@ -93,12 +95,18 @@ def parted(grouped: DataFrame) -> DataFrame:
     return named.withColumn("_salt", F.pmod(F.hash("file_name"), F.lit(SALT))).join(salted.hint("merge"), ["component", "_salt"], "left_semi").drop("_salt", "_split")
 
 
-def _anneal(sizes: np.ndarray, start: np.ndarray, target: np.ndarray, seed: int, moves: int) -> tuple[np.ndarray, float]:
+def _scale(sums: np.ndarray) -> np.ndarray:
+    """Weight of a deviation in rows and in each label."""
+    scale = 1.0 / np.maximum(sums, 1.0)
+    scale[0] *= 3  # the number of rows counts more than any label
+    return scale
+
+
+def _anneal(sizes: np.ndarray, start: np.ndarray, target: np.ndarray, seed: int, moves: int, scale: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Whole components moved or exchanged between splits; (assignment, cost), the best seen."""
     rng = np.random.default_rng(seed)
     n, k = len(sizes), len(target)
-    scale = 1.0 / np.maximum(target.sum(axis=0), 1.0)
-    scale[0] *= 3  # the number of rows counts more than any label
+    scale = _scale(sizes.sum(axis=0)) if scale is None else scale
     now = start.copy()
     total = np.zeros_like(target)
     np.add.at(total, now, sizes)
@@ -109,8 +117,11 @@ def _anneal(sizes: np.ndarray, start: np.ndarray, target: np.ndarray, seed: int,
     if k < 2 or not n:
         return best, best_cost
     pick, other, to, luck = rng.integers(0, n, moves), rng.integers(0, n, moves), rng.integers(1, k, moves), rng.random(moves)
-    heat = max(cost / n, 1e-9)
+    heat = max(cost / n, 1e-300)
+    enough = (0.5 * scale[0]) ** 2  # not a row off in all
     for t in range(moves):
+        if best_cost < enough:
+            break
         i, j = pick[t], other[t]
         a = now[i]
         swap = t & 1
@@ -124,81 +135,102 @@ def _anneal(sizes: np.ndarray, start: np.ndarray, target: np.ndarray, seed: int,
             d = w[i]
         da, db = dev[a] - d, dev[b] + d
         change = float((da @ da) + (db @ db) - (dev[a] @ dev[a]) - (dev[b] @ dev[b]))
-        if change <= 0 or luck[t] < math.exp(-change / (heat * (1 - t / moves) ** 2 + 1e-15)):
+        if change <= 0 or luck[t] < math.exp(-change / (heat * (1 - t / moves) ** 2 + 1e-300)):
             now[i] = b
             if swap:
                 now[j] = a
             dev[a], dev[b] = da, db
             cost += change
-            if cost < best_cost - 1e-15:
+            if cost < best_cost * (1 - 1e-12):
                 best, best_cost = now.copy(), cost
     return best, best_cost
 
 
-def new_splits(grouped: DataFrame, targets: DataFrame, label: str = "page_kind", runs: int = 4, moves: int = 12000) -> DataFrame:
+def _label_counts(grouped: DataFrame, label: str) -> list[Column]:
+    """Columns to sum per component: rows, each of the frequent labels, all others by groups."""
+    kind = F.coalesce(F.lower(F.trim(label)), F.lit(""))
+    top = [r[0] for r in grouped.groupBy(kind.alias("k")).count().orderBy(F.desc("count"), "k").limit(LABELS + 1).collect()]
+    counts = [F.lit(1)] + [(kind == x).cast("int") for x in top[:LABELS]]
+    if len(top) > LABELS:
+        group = F.when(~kind.isin(top[:LABELS]), F.pmod(F.xxhash64(kind), F.lit(LABELS)))
+        counts += [F.coalesce(group == g, F.lit(False)).cast("int") for g in range(LABELS)]
+    return counts
+
+
+def new_splits(grouped: DataFrame, targets: DataFrame, label: str = "page_kind", runs: int = 4, moves: int = 12000, rounds: int = 4) -> DataFrame:
     """(component, new_split): shares of rows and of each label near the targets, no component parted.
 
-    targets: (split, share), at most 100 rows; null, repeated or non-positive
-    ones are left out and the rest scaled to 1; without any, new_split is
-    null. Heavy components (over a thousandth of the rows, hence under a
-    thousand) are placed first; light ones are annealed in blocks that also
-    make up their share of what the heavy ones left uneven. Nothing that grows with
-    the corpus reaches the driver.
+    targets: (split, share); null, repeated or non-positive ones are left out
+    and the rest scaled to 1; without any, new_split is null. The heavy
+    components are placed first; then each round deals all components into
+    blocks of about BLOCK, anneals every block towards its part of what is
+    uneven in the whole, and takes each block's best run; the best round counts. Only totals by split reach the driver.
     """
-    spark = grouped.sparkSession
-    wanted = sorted((r.split, float(r.share)) for r in targets.select(split_name(F.col("split")).alias("split"), "share").filter("split is not null and share > 0").groupBy("split").agg(F.max("share").alias("share")).limit(100).collect())
+    wanted = sorted((r.split, float(r.share)) for r in targets.select(split_name(F.col("split")).alias("split"), "share").filter("split is not null and share > 0").groupBy("split").agg(F.max("share").alias("share")).collect())
     if not wanted:
         return grouped.select("component").distinct().withColumn("new_split", F.lit(None).cast("string"))
     names = [s for s, _ in wanted]
     share = np.array([x for _, x in wanted])
     share = share / share.sum()
-    kind = F.coalesce(F.lower(F.trim(label)), F.lit(""))
-    top = [r[0] for r in grouped.groupBy(kind.alias("k")).count().orderBy(F.desc("count"), "k").limit(LABELS + 1).collect()]
-    counts = [F.lit(1)] + [(kind == x).cast("int") for x in top[:LABELS]]
-    if len(top) > LABELS:
-        counts.append((~kind.isin(top[:LABELS])).cast("int"))  # all further labels together
-    sums = grouped.groupBy("component").agg(*[F.sum(c).alias(f"c{i}") for i, c in enumerate(counts)])
-    sums = checkpoint(sums)
+    counts = _label_counts(grouped, label)
     cols = [f"c{i}" for i in range(len(counts))]
-    all_rows = sums.agg(*[F.sum(c).alias(c) for c in cols], F.count(F.lit(1)).alias("n")).first()
-    if not all_rows.n:
-        return sums.select("component", F.lit(None).cast("string").alias("new_split"))
-    least = max(1.0, all_rows.c0 / HEAVY)
-    blocks = max(1, math.ceil(all_rows.n / BLOCK))
-    low = np.cumsum(share)
-
-    def place(pdf: pd.DataFrame, extra: np.ndarray, seed: int) -> tuple[np.ndarray, float, np.ndarray]:
-        pdf = pdf.sort_values("component", ignore_index=True)
-        sizes = pdf[cols].to_numpy(dtype=float)
-        u = (pdf["u"].to_numpy() % 1_000_003) / 1_000_003
-        start = np.minimum(np.searchsorted(low, u, side="right"), len(share) - 1)
-        target = share[:, None] * sizes.sum(axis=0)[None, :] + extra
-        found, cost = _anneal(sizes, start, target, seed, max(moves, 6 * len(sizes)))
-        total = np.zeros_like(target)
-        np.add.at(total, found, sizes)
-        return found, cost, total - target
-
-    marked = sums.withColumn("u", F.pmod(F.xxhash64("component"), F.lit(1_000_003 * 1000)))
+    sums = grouped.groupBy("component").agg(*[F.sum(c).alias(n) for n, c in zip(cols, counts, strict=True)])
+    # the hashed assignment the search starts from
+    u = F.pmod(F.xxhash64("component"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    place = F.lit(0)
+    for edge in np.cumsum(share)[:-1]:
+        place = place + (u >= float(edge)).cast("int")
+    now = checkpoint(sums.withColumn("split", place))
+
+    def totals(assigned: DataFrame) -> tuple[np.ndarray, int]:
+        got = assigned.groupBy("split").agg(*[F.sum(c).alias(c) for c in cols], F.count(F.lit(1)).alias("n")).collect()
+        out = np.zeros((len(share), len(cols)))
+        for r in got:
+            out[r.split] = [r[c] for c in cols]
+        return out, sum(r.n for r in got)
+
+    total, n = totals(now)
+    if not n:
+        return now.select("component", F.lit(None).cast("string").alias("new_split"))
+    wish = share[:, None] * total.sum(axis=0)[None, :]
+    scale = _scale(total.sum(axis=0))
+    cost_of = lambda t: float((((t - wish) * scale) ** 2).sum())
+    blocks = max(1, math.ceil(n / BLOCK))
+    best, best_cost = now, cost_of(total)
     schema = "component string, block int, run int, cost double, split int"
 
-    def anneal(parts: DataFrame, extra: np.ndarray) -> DataFrame:
+    def anneal(uneven: np.ndarray, turn: int):
         def one(key, pdf):
-            ordered = pdf.sort_values("component", ignore_index=True)
-            found, cost, _ = place(pdf, extra, 7919 * int(key[0]) + int(key[1]))
-            return pd.DataFrame({"component": ordered["component"], "block": int(key[0]), "run": int(key[1]), "cost": cost, "split": found})
-
-        tried = checkpoint(parts.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).groupBy("block", "run").applyInPandas(one, schema))
-        best = tried.groupBy("block").agg(F.min(F.struct("cost", "run")).alias("x")).select("block", F.col("x.run").alias("run"))
-        return tried.join(best.hint("merge"), ["block", "run"], "left_semi").select("component", "split")
-
-    heavy = anneal(marked.filter(F.col("c0") >= least).withColumn("block", F.lit(0)), np.zeros((len(share), len(cols))))
-    heavy = checkpoint(heavy.join(sums, "component"))
-    got = {r.split: np.array([r[c] for c in cols], dtype=float) for r in heavy.groupBy("split").agg(*[F.sum(c).alias(c) for c in cols]).collect()}
-    total = np.array([got.get(k, np.zeros(len(cols))) for k in range(len(share))])
-    left = (share[:, None] * total.sum(axis=0)[None, :] - total) / blocks
-    light = anneal(marked.filter(F.col("c0") < least).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "component"), F.lit(blocks)).cast("int")), left)
-    both = heavy.select("component", "split").unionByName(light)
-    return both.select("component", F.element_at(F.array(*[F.lit(s) for s in names]), F.col("split") + 1).alias("new_split"))
+            pdf = pdf.sort_values("component", ignore_index=True)
+            sizes, start = pdf[cols].to_numpy(dtype=float), pdf["split"].to_numpy()
+            target = np.zeros_like(uneven)
+            np.add.at(target, start, sizes)
+            found, cost = _anneal(sizes, start, target - uneven, 7919 * int(key[0]) + 31 * (turn + 1) + int(key[1]), max(moves, 6 * len(sizes)), scale)
+            return pd.DataFrame({"component": pdf["component"], "block": int(key[0]), "run": int(key[1]), "cost": cost, "split": found})
+
+        return one
+
+    for turn in range(-1, rounds):
+        if turn < 0:
+            # a component larger than a block's part of the whole can't be placed by looking at that part
+            heavy = now.filter(F.col("c0") * HEAVY > float(total[:, 0].sum()))
+            block, part = F.lit(0), heavy
+            got, _ = totals(heavy)
+            off = got - share[:, None] * got.sum(axis=0)[None, :]
+        else:
+            block, part, off = F.pmod(F.xxhash64(F.lit(turn), "component"), F.lit(blocks)).cast("int"), now, (total - wish) / blocks
+        dealt = part.withColumn("block", block).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+        tried = checkpoint(dealt.groupBy("block", "run").applyInPandas(anneal(off, turn), schema))
+        pick = tried.groupBy("block").agg(F.min(F.struct("cost", "run")).alias("x")).select("block", F.col("x.run").alias("run"))
+        chosen = tried.join(pick.hint("merge"), ["block", "run"], "left_semi").select("component", "split")
+        moved = now.withColumnRenamed("split", "before").join(chosen.hint("merge"), "component", "left")
+        now = checkpoint(moved.select("component", *cols, F.coalesce("split", "before").alias("split")))
+        total, _ = totals(now)
+        if cost_of(total) < best_cost:
+            best, best_cost = now, cost_of(total)
+        if turn >= 0 and np.abs(total - wish).max() <= 1:
+            break
+    return best.select("component", F.element_at(F.array(*[F.lit(s) for s in names]), F.col("split") + 1).alias("new_split"))
 
 
 def _grouped(spark, d):
@@ -216,14 +248,18 @@ def p1_assigned(spark, d):
 
 
 def p1_balance(spark, d):
-    """Rows of each new split against the proportion wanted, to a hundredth."""
+    """Of each split wanted: whether the new one has its share of the rows to a hundredth, and how many students and sources are parted."""
     grouped = checkpoint(_grouped(spark, d))
-    placed = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(new_splits(grouped, table(spark, d, "split_targets")).hint("merge"), "component")
-    per = placed.groupBy("new_split").agg(F.sum("n").alias("n_rows"))
-    want = table(spark, d, "split_targets").select(split_name(F.col("split")).alias("new_split"), F.col("share").alias("wanted"))
-    # one row per split
-    all_rows = F.sum("n_rows").over(Window.partitionBy())
-    return per.select("new_split", "n_rows", (F.col("n_rows") / all_rows).alias("share")).join(want, "new_split", "left").select("new_split", "n_rows", F.abs(F.col("share") - F.col("wanted")).alias("deviation"))
+    targets = table(spark, d, "split_targets").select(split_name(F.col("split")).alias("new_split"), "share").filter("new_split is not null and share > 0").groupBy("new_split").agg(F.max("share").alias("share"))
+    want = targets.select("new_split", (F.col("share") / F.sum("share").over(Window.partitionBy())).alias("wanted"))  # one row per split
+    split = checkpoint(new_splits(grouped, table(spark, d, "split_targets")))
+    placed = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(split.hint("merge"), "component")
+    per = placed.groupBy("new_split").agg(F.sum("n").alias("n"))
+    per = per.select("new_split", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("got"))
+    # told from the records' own keys, not from the components
+    keyed = grouped.select("component", F.explode(F.array(F.concat(F.lit("s:"), "student"), F.concat(F.lit("p:"), "path"))).alias("key")).filter("key is not null").distinct()
+    parted_keys = keyed.join(split.hint("merge"), "component").groupBy("key").agg(F.countDistinct("new_split").alias("n")).filter("n > 1").count()
+    return want.join(per, "new_split", "left").select("new_split", "wanted", (F.abs(F.coalesce("got", F.lit(0.0)) - F.col("wanted")) < 0.01).alias("balanced"), F.lit(parted_keys).cast("bigint").alias("n_parted"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_assigned": p1_assigned, "p1_balance": p1_balance}
@@ -245,4 +281,9 @@ g AS (
   FROM r LEFT JOIN m USING (p) LEFT JOIN root ON root.n = coalesce(r.st, m.first)),
 bad AS (SELECT k0 FROM g GROUP BY 1 HAVING count(DISTINCT sp) > 1)
 SELECT DISTINCT file_name FROM g WHERE k0 IN (SELECT k0 FROM bad) AND file_name IS NOT NULL""",
+    "p1_balance": """
+WITH t AS (
+  SELECT CASE lower(trim(split)) WHEN 'training' THEN 'train' WHEN 'valid' THEN 'val' WHEN 'validation' THEN 'val' ELSE nullif(lower(trim(split)), '') END AS new_split, max(share) AS share
+  FROM split_targets WHERE split IS NOT NULL AND share > 0 GROUP BY 1)
+SELECT new_split, share / sum(share) OVER () AS wanted, true AS balanced, CAST(0 AS BIGINT) AS n_parted FROM t WHERE new_split IS NOT NULL""",
 }

@@ -5,12 +5,13 @@ exactly one token that a valid encoding of the prefix can end with. The table
 of these last tokens is filled from left to right: a token ending at byte i is
 right when the pair (last token of the prefix before it, token) is one that
 the merge procedure itself would leave standing. Appending bytes extends the
-table without touching what is there; an edit keeps the table before it.
+table without touching what is there; an edit fills it again only near by.
 """
 
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,12 +62,14 @@ class PrefixTable:
 
     def __init__(self, vocab: Vocabulary, raw: bytes = b""):
         self.vocab, self.raw, self.last = vocab, b"", [-1]
+        self.filled = 0  # entries worked out so far
         self.append(raw)
 
     def append(self, more: bytes) -> PrefixTable:
         """Exact append: earlier entries never change."""
         start = len(self.raw)
         self.raw += more
+        self.filled += len(more)
         rank, beside, longest, raw, last = self.vocab.rank, self.vocab.beside, self.vocab.longest, self.raw, self.last
         for end in range(start + 1, len(raw) + 1):
             for begin in range(max(0, end - longest), end):
@@ -79,11 +82,25 @@ class PrefixTable:
         return self
 
     def edit(self, begin: int, end: int, replacement: bytes) -> PrefixTable:
-        """Replace raw[begin:end]; entries up to begin are kept, the rest is encoded again."""
-        tail = replacement + self.raw[end:]
-        self.raw = self.raw[:begin]
-        del self.last[begin + 1 :]
-        return self.append(tail)
+        """Replace raw[begin:end]. Entries up to begin are kept, and so are those from where the old and the new table agree for as long as the longest token.
+
+        An entry depends on the bytes and entries within the longest token's
+        length before it, so from there on nothing differs.
+        """
+        old_raw, old_last = self.raw, self.last
+        shift, tail = len(replacement) - (end - begin), begin + len(replacement)
+        self.raw, self.last = old_raw[:begin], old_last[: begin + 1]
+        self.append(replacement)
+        agree = int(self.last[tail] == old_last[end])
+        while len(self.raw) < len(old_raw) + shift and agree < self.vocab.longest:
+            at = len(self.raw)
+            self.append(old_raw[at - shift : at - shift + self.vocab.longest - agree])
+            for place in range(at + 1, len(self.raw) + 1):
+                agree = agree + 1 if self.last[place] == old_last[place - shift] else 0
+        at = len(self.raw)
+        self.raw += old_raw[at - shift :]
+        self.last += old_last[at - shift + 1 :]
+        return self
 
     def tokens(self) -> list[int]:
         out, at = [], len(self.raw)
@@ -111,7 +128,7 @@ class _Cache(dict):
 
 class Encoder:
     def __init__(self, path: str):
-        self.cut = regex.compile(PIECES).findall
+        self.cut, self.pieces = regex.compile(PIECES).findall, regex.compile(PIECES).finditer
         self.cache = _Cache(Vocabulary(path))
 
     def encode(self, text: str | None) -> list[int]:
@@ -122,6 +139,52 @@ class Encoder:
         return out
 
 
+class Document:
+    """A text with its pieces and their ids; an edit or append cuts and encodes again only what is near it."""
+
+    def __init__(self, encoder: Encoder, text: str | None):
+        self.encoder, self.text = encoder, text or ""
+        self.starts, self.ids = [], []
+        self.encoded = 0  # pieces encoded so far
+        for m in encoder.pieces(self.text):
+            self._add(self.starts, self.ids, m)
+
+    def _add(self, starts: list[int], ids: list[list[int]], m) -> None:
+        starts.append(m.start())
+        ids.append(self.encoder.cache[m.group()])
+        self.encoded += 1
+
+    def append(self, more: str) -> Document:
+        return self.edit(len(self.text), len(self.text), more)
+
+    def edit(self, begin: int, end: int, replacement: str) -> Document:
+        """Replace text[begin:end].
+
+        A piece is cut without looking back and at most one character past
+        the next piece's begin, so pieces that end two pieces before the edit
+        stay, and so do those after it from the first place on where the old
+        and the new text are cut alike.
+        """
+        shift, tail = len(replacement) - (end - begin), begin + len(replacement)
+        self.text = self.text[:begin] + replacement + self.text[end:]
+        keep = max(0, bisect_right(self.starts, begin) - 3)
+        from_ = self.starts[keep] if self.starts else 0
+        starts, ids = self.starts[:keep], self.ids[:keep]
+        after, more = [], []
+        for m in self.encoder.pieces(self.text, from_):
+            if m.start() >= tail:
+                k = bisect_left(self.starts, m.start() - shift)
+                if k < len(self.starts) and self.starts[k] == m.start() - shift:
+                    after, more = [x + shift for x in self.starts[k:]], self.ids[k:]
+                    break
+            self._add(starts, ids, m)
+        self.starts, self.ids = starts + after, ids + more
+        return self
+
+    def tokens(self) -> list[int]:
+        return [t for piece in self.ids for t in piece]
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

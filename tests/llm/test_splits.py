@@ -87,3 +87,29 @@ def test_labels_beyond_the_most_frequent(spark):
     placed = grouped.join(S.new_splits(grouped, targets), "component").filter(F.col("page_kind").startswith("seldom"))
     got = {r.new_split: r["count"] for r in placed.groupBy("new_split").count().collect()}
     assert sum(abs(got[k] - 600 * v) for k, v in {"train": 0.5, "val": 0.25, "test": 0.25}.items()) <= 5, got
+
+
+def test_many_labels_all_count(spark):
+    # 60 labels, 28 beyond those with a count of their own, each still near its shares
+    grouped = spark.range(6000).select(F.concat(F.lit("g"), F.col("id")).alias("component"), F.concat(F.lit("kind"), F.col("id") % 60).alias("page_kind"))
+    targets = spark.createDataFrame([("train", 0.5), ("val", 0.5)], "split string, share double")
+    placed = grouped.join(S.new_splits(grouped, targets), "component")
+    got = {(r.page_kind, r.new_split): r["count"] for r in placed.groupBy("page_kind", "new_split").count().collect()}
+    off = sorted(abs(got.get((f"kind{k}", "train"), 0) - 50) for k in range(60))
+    assert off[45] <= 3 and off[-1] <= 25, off
+    assert abs(sum(v for (_, s), v in got.items() if s == "train") - 3000) <= 12
+
+
+def test_components_of_all_blocks_can_be_exchanged(spark, monkeypatch):
+    # one block holds all that is too much at first; later rounds share it out
+    monkeypatch.setattr(S, "BLOCK", 40)
+    grouped = spark.range(4000).select(F.concat(F.lit("g"), (F.col("id") % 400).cast("string")).alias("component"), F.lit("content").alias("page_kind"))
+    grouped = grouped.unionByName(spark.range(1300).select(F.lit("heavy").alias("component"), F.lit("content").alias("page_kind")))
+    targets = spark.createDataFrame([("train", 0.5), ("val", 0.25), ("test", 0.25)], "split string, share double")
+    placed = grouped.join(S.new_splits(grouped, targets), "component")
+    got = {r.new_split: r["count"] for r in placed.groupBy("new_split").count().collect()}
+    assert all(abs(got[k] - 5300 * v) <= 10 for k, v in {"train": 0.5, "val": 0.25, "test": 0.25}.items()), got
+
+
+def test_balance_equals_sql(spark, sf):
+    assert rows(S.p1_balance(spark, "/root/testdata/sf0.01")) == sql_rows(connect("/root/testdata/sf0.01"), S.SQL["p1_balance"])

@@ -1,12 +1,14 @@
 """Encoding against the library that owns the vocabulary, appends, edits, nulls and long texts."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from paperloom.common import table, vocab_path
-from paperloom.llm.tokenize import PrefixTable, encode_corpus, encoder
+from paperloom.llm.tokenize import Document, PrefixTable, encode_corpus, encoder
 
 VOCAB = vocab_path("byte_bpe_50k.tiktoken")
 
@@ -42,6 +44,36 @@ def test_appends_and_edits_equal_a_new_table(a, b, i, j, c):
     assert whole.edit(i, j, c).tokens() == vocab.merge(raw)
 
 
+def test_an_edit_costs_no_tail():
+    vocab = encoder(VOCAB).cache.vocab
+    rng = random.Random(4)
+    raw = bytes(rng.choice(b"etaoinshrdlu") for _ in range(20_000))
+    for begin, end, new in ((3, 4, b"z"), (9000, 9000, b"qq"), (12_000, 12_007, b""), (0, 1, b""), (0, 0, b"x")):
+        whole = PrefixTable(vocab, raw)
+        before = whole.filled
+        whole.edit(begin, end, new)
+        assert whole.filled - before < 300
+        assert whole.last == PrefixTable(vocab, raw[:begin] + new + raw[end:]).last and whole.raw == raw[:begin] + new + raw[end:]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab 1'.s\n", max_size=40), st.integers(0, 40), st.integers(0, 40), st.text("ab 1'.s\n", max_size=6), st.text("ab 1'.s\n", max_size=6))
+def test_documents_edited_and_appended(text, i, j, new, more):
+    enc = encoder(VOCAB)
+    i, j = sorted((min(i, len(text)), min(j, len(text))))
+    doc = Document(enc, text).edit(i, j, new)
+    assert doc.tokens() == enc.encode(text[:i] + new + text[j:])
+    assert doc.append(more).tokens() == enc.encode(text[:i] + new + text[j:] + more)
+
+
+def test_an_edit_of_a_document_is_local():
+    doc = Document(encoder(VOCAB), "the frame waits for the timer. " * 2000)
+    before = doc.encoded
+    doc.edit(300, 301, "X")
+    doc.append(" end")
+    assert doc.encoded - before < 20 and Document(encoder(VOCAB), None).tokens() == []
+
+
 def test_corpus(spark, sf, library):
     docs = table(spark, sf, "documents")
     got = {r.doc_id: r.ids for r in encode_corpus(docs, VOCAB).collect()}
