@@ -322,7 +322,7 @@ def ink_extent(mask: np.ndarray, margin: float = 0.03) -> tuple[int, int, int, i
 def suppress_rules(gray: np.ndarray, pitch: float, span: float = 0.85, edge: float = 0.02) -> tuple[np.ndarray, int]:
     """Rules of a crop made white: straight through to both borders and nowhere thick. (crop, pixels erased)."""
     mask = ink_mask(gray, INK_MATH)
-    thick = max(2, int(round(0.10 * pitch)))
+    thick = max(3, int(round(0.10 * pitch)))
     gone = np.zeros_like(mask)
     for turned in (False, True):
         m = mask.T if turned else mask
@@ -343,9 +343,9 @@ def x_height(mask: np.ndarray, pitch: float) -> float:
     """Median height of components over the floor; 0.30 pitch where there are none, 0 for an empty mask."""
     if not mask.any():
         return 0.0
-    b = components(mask).boxes
-    h = b[:, 3] - b[:, 1]
-    h = h[h >= max(4, 0.12 * pitch)]
+    c = components(mask)
+    h = c.boxes[:, 3] - c.boxes[:, 1]
+    h = h[(h >= max(4, 0.12 * pitch)) & (c.area >= 12)]
     return float(np.median(h)) if len(h) else 0.30 * pitch
 
 

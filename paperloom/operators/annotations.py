@@ -22,10 +22,17 @@ def category_name(cid: Column) -> Column:
 
 
 def star(images: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Annotations with their file, page size and category name; boxes from xywh to corners."""
+    """Annotations with their file, page size and category name; boxes from xywh to corners.
+
+    Other columns that both sides have, such as the document's page, join
+    them too: image ids are unique within a document. An annotation without
+    image is left out, an unknown category is named ?.
+    """
     x1, y1, x2, y2 = xyxy(*from_array(F.col("bbox")))
     named = annotations.withColumns({"x1": x1, "y1": y1, "x2": x2, "y2": y2, "category": category_name(F.col("category_id"))})
-    return named.join(images.select(F.col("id").alias("image_id"), "file_name", F.col("width").alias("page_w"), F.col("height").alias("page_h")), "image_id")
+    shared = [c for c in images.columns if c in annotations.columns and c != "id"]
+    sizes = images.select(*shared, F.col("id").alias("image_id"), "file_name", F.col("width").alias("page_w"), F.col("height").alias("page_h"))
+    return named.join(sizes, [*shared, "image_id"])
 
 
 def transfer_labels(blocks: DataFrame, predictions: DataFrame, block_id: str, order: str, least: float = S.CLASS_IOA) -> DataFrame:
@@ -123,22 +130,24 @@ def box_violations(boxes: DataFrame, overlay: float = S.OVERLAY_IOA, nesting: fl
     outside = (F.col("x1") < -1) | (F.col("y1") < -1) | (F.col("x2") > F.col("page_w") + 1) | (F.col("y2") > F.col("page_h") + 1)
     tiny = (F.col("category") != "crossed_out") & ((w < S.MIN_SIDE) | (h < S.MIN_SIDE) | (w * h < S.MIN_AREA))
 
-    def mark(df: DataFrame, rule: str, severity: str = "error") -> DataFrame:
-        return df.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "page_id", "box_id")
+    # one join for both rules on pairs: crossed_out over anything else, content in a figure or table
+    holder = ("figure", "table")
+    small = real.select("page_id", "box_id", "category", "x1", "y1", "x2", "y2")
+    meet = (F.col("a_category") == "crossed_out") | F.col("b_category").isin(*holder)
+    pairs = overlapping(small.filter(~F.col("category").isin(*holder)), small.filter("category <> 'crossed_out'"), meet=meet)
+    best = pairs.groupBy("page_id", F.col("a_box_id").alias("box_id")).agg(F.max("ioa").alias("best"))
+    crossed, covered = F.col("category") == "crossed_out", F.coalesce("best", F.lit(0.0))
+    rules = [("no area", "error", flat), ("outside", "error", ~flat & outside), ("tiny", "warning", ~flat & tiny), ("overlay", "error", ~flat & crossed & (covered < overlay)), ("nested", "error", ~flat & ~crossed & (covered >= nesting))]
+    found = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(r).alias("rule"), F.lit(level).alias("severity"))) for r, level, hit in rules]))
+    return boxes.join(best, ["page_id", "box_id"], "left").select("page_id", "box_id", F.explode(found).alias("f")).select("f.rule", "f.severity", "page_id", "box_id")
+
 
-    small = ["page_id", "box_id", "category", "x1", "y1", "x2", "y2"]
-    crossed = real.filter("category = 'crossed_out'").select(*small)
-    rest = real.filter("category <> 'crossed_out'").select(*small)
-    best = overlapping(crossed, rest).groupBy("page_id", F.col("a_box_id").alias("box_id")).agg(F.max("ioa").alias("best"))
-    loose = crossed.join(best, ["page_id", "box_id"], "left").filter(F.coalesce("best", F.lit(0.0)) < overlay)
-    holder = F.col("category").isin("figure", "table")
-    inside = overlapping(rest.filter(~holder), rest.filter(holder)).filter(F.col("ioa") >= nesting)
-    nested = inside.select("page_id", F.col("a_box_id").alias("box_id")).distinct()
-    parts = [mark(boxes.filter(flat), "no area"), mark(real.filter(outside), "outside"), mark(real.filter(tiny), "tiny", "warning"), mark(loose, "overlay"), mark(nested, "nested")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def refuse_double_claims(claims: DataFrame) -> DataFrame:
+    """The claims; a run stops where a box is claimed under two keys, naming some of them."""
+    twice = double_claims(claims).orderBy("page", "ordinal").limit(20).collect()
+    if twice:
+        raise ValueError("claimed under two keys: " + ", ".join(f"{r.page}/{r.ordinal}" for r in twice))
+    return claims
 
 
 def passes(violations: DataFrame, strict: bool = False) -> bool:
@@ -177,14 +186,49 @@ def precision_recall(gold: DataFrame, predicted: DataFrame, least_iou: float = 0
     return j.select("category", "n_gold", "n_pred", "n_hit", F.try_divide("n_hit", "n_pred").alias("precision"), F.try_divide("n_hit", "n_gold").alias("recall"))
 
 
-def average_precision(scored: DataFrame) -> DataFrame:
-    """(category, ap) from (category, score, hit, n_gold): precision summed where recall rises, over predictions by falling score.
+def matched(gold: DataFrame, predicted: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, category, score) of each prediction that hits: its best gold box of its category meets it at the threshold, and no better scored prediction has that box as its best.
 
-    Scores are counted per value first, so a category with a third of the
-    predictions is as many rows as it has different scores.
+    Equals go to the first box_id. Predictions without a score are left out.
     """
-    by = scored.groupBy("category", "score").agg(F.sum(F.col("hit").cast("bigint")).alias("h"), F.count(F.lit(1)).alias("n"), F.max("n_gold").alias("n_gold"))
-    w = Window.partitionBy("category").orderBy(F.desc("score"))
-    run = by.withColumns({"hits": F.sum("h").over(w), "seen": F.sum("n").over(w)})
-    return run.groupBy("category").agg(F.try_divide(F.sum(F.col("h") * F.col("hits") / F.col("seen")), F.max("n_gold")).alias("ap"))
-
+    scored = predicted.filter("score is not null")
+    pairs = overlapping(gold, scored, meet=F.col("a_category") == F.col("b_category"))
+    area = lambda p: (F.col(f"{p}x2") - F.col(f"{p}x1")) * (F.col(f"{p}y2") - F.col(f"{p}y1"))
+    both = F.greatest(F.lit(0), F.least("a_x2", "b_x2") - F.greatest("a_x1", "b_x1")) * F.greatest(F.lit(0), F.least("a_y2", "b_y2") - F.greatest("a_y1", "b_y1"))
+    iou = (both / (area("a_") + area("b_") - both)).cast("double")
+    per = pairs.groupBy("page_id", "b_box_id").agg(F.max(F.struct(iou.alias("iou"), (-F.col("a_box_id")).alias("g"), F.col("b_score").alias("score"), F.col("a_category").alias("category"))).alias("m")).select("page_id", "b_box_id", "m.*")
+    levels = F.explode(F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: t <= F.col("iou"))).alias("threshold")
+    first = F.max(F.struct("score", (-F.col("b_box_id")).alias("_b"), "category")).alias("m")
+    return per.select("*", levels).groupBy("threshold", "page_id", "g").agg(first).select("threshold", "m.category", "m.score")
+
+
+def mean_average_precision(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(category, ap50, ap50_95): average precision at an overlap of one half, and its mean over 0.50 to 0.95 by 0.05. A category without gold boxes has none."""
+    thresholds = [(50 + 5 * k) / 100 for k in range(10)]
+    hits = matched(gold, predicted, thresholds).groupBy("threshold", "category", "score").agg(F.count(F.lit(1)).alias("h"))
+    seen = predicted.filter("score is not null").groupBy("category", "score").agg(F.count(F.lit(1)).alias("n"))
+    every = seen.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds]))).join(hits, ["threshold", "category", "score"], "left").na.fill(0, ["h"])
+    w = Window.partitionBy("threshold", "category").orderBy(F.desc("score"))
+    run = every.withColumns({"hits": F.sum("h").over(w), "all": F.sum("n").over(w)})
+    area = run.groupBy("threshold", "category").agg(F.sum(F.col("h") * F.col("hits") / F.col("all")).alias("area"))
+    n = gold.groupBy("category").agg(F.count(F.lit(1)).alias("n_gold"))
+    # one row per category
+    per = n.join(area, "category", "left").select("category", "threshold", F.coalesce(F.col("area") / F.col("n_gold"), F.lit(0.0)).alias("ap"))
+    return per.groupBy("category").agg(F.coalesce(F.max(F.when(F.col("threshold") == 0.5, F.col("ap"))), F.lit(0.0)).alias("ap50"), F.avg("ap").alias("ap50_95"))
+
+
+def review_list(predictions: DataFrame, least: float = 0.35, few: int = 2) -> DataFrame:
+    """(line): page, best score and number of predictions, apart by tabs, of pages whose best is weak or that have few."""
+    per = predictions.groupBy("page_id").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n"))
+    weak = per.filter(F.coalesce(F.col("best") < least, F.lit(True)) | (F.col("n") < few))
+    return weak.select(F.concat_ws("\t", "page_id", F.coalesce(F.format_string("%.3f", "best"), F.lit("")), F.col("n").cast("string")).alias("line"))
+
+
+def progress(pages: DataFrame, labels: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """(what, n, page_id): pages available and reviewed, labels by category on reviewed pages, the first page not reviewed."""
+    done = pages.join(reviewed, "page_id", "left_semi")
+    none = F.lit(None)
+    count = lambda df, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n", none.cast("string").alias("page_id"))
+    by = labels.join(reviewed, "page_id", "left_semi").groupBy(F.concat(F.lit("label "), "category").alias("what")).agg(F.count(F.lit(1)).alias("n")).withColumn("page_id", none.cast("string"))
+    following = pages.join(reviewed, "page_id", "left_anti").agg(F.min("page_id").alias("page_id")).select(F.lit("next").alias("what"), none.cast("bigint").alias("n"), "page_id")
+    return by.unionByName(count(pages, "available")).unionByName(count(done, "reviewed")).unionByName(following)

@@ -46,13 +46,16 @@ def page_text(lines: DataFrame, sep: str = "\n") -> DataFrame:
 
 
 def transcripts(lines: DataFrame) -> DataFrame:
-    """(student, cie, text): pages of a booklet in order, each under a banner, gathered per page first."""
+    """(student, cie, page, text): the pages of each booklet, each under a banner.
+
+    A booklet stays so many rows; written by booklet and sorted by page they
+    are its transcript, without a row or task that holds all of it.
+    """
     said = lines.filter((F.col("status") == "ok") & F.col("text").isNotNull())
     ordered = F.array_sort(F.collect_list(F.struct("reading_order", "line_uid", "text")))
+    banner = F.concat(F.lit("== page "), F.col("page").cast("string"), F.lit(" ==\n"))
     per_page = said.groupBy("student", "cie", "page").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("t"))
-    banner = F.concat(F.lit("== page "), F.col("page").cast("string"), F.lit(" ==\n"), F.col("t"))
-    pages = F.array_sort(F.collect_list(F.struct("page", banner.alias("t"))))
-    return per_page.groupBy("student", "cie").agg(F.array_join(F.transform(pages, lambda x: x["t"]), "\n\n").alias("text"))
+    return per_page.select("student", "cie", "page", F.coalesce(F.concat(banner, "t"), F.col("t")).alias("text"))
 
 
 def sequence_confidence(log_probs: Column, mask: Column) -> Column:

@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def cluster_running_mean(rows: DataFrame, key: str, value: str, tie: str, tolerance: float) -> DataFrame:
     """(key, tie, cluster): a value joins the cluster while it is within the tolerance of its running mean, else begins the next.
 
-    Folded natively over each key's sorted array.
+    Each key's rows come as a sorted stream, so a key is never gathered.
+    Null values and keys are left out.
     """
-    gathered = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), F.col(tie).alias("t")))).alias("xs"))
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.lit(-1).alias("c"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc, x):
-        near = (acc["n"] > 0) & (F.abs(x["v"] - acc["total"] / acc["n"]) <= tolerance)
-        c = F.when(near, acc["c"]).otherwise(acc["c"] + 1)
-        return F.struct(
-            F.when(near, acc["total"] + x["v"]).otherwise(x["v"]).alias("total"), F.when(near, acc["n"] + 1).otherwise(F.lit(1)).alias("n"), c.alias("c"), F.concat(acc["out"], F.array(c)).alias("out")
-        )
-
-    folded = gathered.withColumn("cs", F.aggregate("xs", start, step)["out"])
-    return folded.select(key, F.explode(F.arrays_zip("xs", "cs")).alias("z")).select(key, F.col("z.xs.t").alias(tie), F.col("z.cs").alias("cluster"))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    schema = T.StructType([T.StructField(key, kinds[key]), T.StructField(tie, kinds[tie]), T.StructField("cluster", T.IntegerType())])
+    ordered = rows.select(key, F.col(value).cast("double").alias("_v"), tie).dropna(subset=[key, "_v"]).repartition(key).sortWithinPartitions(key, "_v", tie)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, n, cluster = None, 0.0, 0, -1
+        for batch in batches:
+            out = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != now:
+                    now, n, cluster = k, 0, -1
+                if n and abs(v - total / n) <= tolerance:
+                    total, n = total + v, n + 1
+                else:
+                    total, n, cluster = v, 1, cluster + 1
+                out.append(cluster)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.int32())], names=[key, tie, "cluster"])
+
+    return ordered.mapInArrow(run, schema)
 
 
 def line_template(examples: DataFrame, tolerance: float = 12.0, least: float = 0.6) -> DataFrame:

@@ -33,6 +33,33 @@ def global_index(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
     return ranged.withColumn(name, (F.col("_i") + table[F.col("_p")]).cast("bigint")).drop("_p", "_i")
 
 
+def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
+    """The quantile of a number column between its two neighbours in order, nulls aside; None without a value.
+
+    Equal values are counted first, then ranged and added up, so no task sees
+    them all; one or two values reach the driver.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    n = df.sparkSession.sparkContext.defaultParallelism
+    ranged = checkpoint(counts.repartitionByRange(n, "v").sortWithinPartitions("v").withColumn("_p", F.spark_partition_id()))
+    sizes = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.sum("n").alias("n")).collect()}
+    total = sum(sizes.values())
+    if not total:
+        return None
+    at = q * (total - 1)
+
+    def value(k: int) -> float:
+        before = 0
+        for p in sorted(sizes):
+            if before + sizes[p] > k:
+                inside = F.sum("n").over(Window.partitionBy("_p").orderBy("v"))
+                return ranged.filter(F.col("_p") == p).withColumn("_s", inside).filter(F.col("_s") > k - before).agg(F.min("v")).first()[0]
+            before += sizes[p]
+
+    low, high = value(int(at)), value(min(int(at) + 1, total - 1))
+    return low + (high - low) * (at - int(at))
+
+
 def chunks(df: DataFrame, size: int, *order: str) -> DataFrame:
     """Adds idx, chunk = idx // size and place = idx % size."""
     i = global_index(df, *order)

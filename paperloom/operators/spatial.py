@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.geometry import ioa, overlap
@@ -16,15 +16,17 @@ def _banded(boxes: DataFrame, prefix: str, key: str) -> DataFrame:
     return boxes.filter("x1 is not null and y1 is not null and x2 is not null and y2 is not null").select(key, F.explode(F.sequence(top, low)).alias("_band"), *cols)
 
 
-def overlapping(a: DataFrame, b: DataFrame, key: str = "page_id") -> DataFrame:
+def overlapping(a: DataFrame, b: DataFrame, key: str = "page_id", meet: Column | None = None) -> DataFrame:
     """Pairs of boxes of a and b on one page whose intersection has area, columns prefixed a_ and b_, each pair once.
 
     Boxes meet in the bands of the page they touch; a pair is kept in the
-    first band that both touch. A null coordinate meets nothing.
+    first band that both touch. A null coordinate meets nothing. `meet`
+    restricts which pairs are looked at, over the prefixed columns.
     """
     pairs = _banded(a, "a_", key).join(_banded(b, "b_", key), [key, "_band"])
     first = F.floor(F.greatest("a_y1", "b_y1") / BAND)
     ab, bb = (tuple(F.col(f"{p}{n}") for n in ("x1", "y1", "x2", "y2")) for p in ("a_", "b_"))
+    pairs = pairs if meet is None else pairs.filter(meet)
     return pairs.filter((F.col("_band") == first) & (overlap(ab, bb) > 0)).withColumn("ioa", ioa(ab, bb)).drop("_band")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.common import table
 from paperloom.operators import annotations as A
-from paperloom.plans.base import PAGES, Registry, pages
+from paperloom.plans.base import PAGE_LINES, PAGES, Registry, pages
 from paperloom.plans.labelling import _BOXES, sized
 from paperloom.plans.sampling import _SAMPLE, sample
 from paperloom.sources import files, sinks
@@ -47,8 +47,9 @@ def s13_skipped_pages(spark, d):
 
 @R.add(f"WITH {PAGES} SELECT student, page_id AS key, coalesce(rule_pitch, 58.4) AS pitch FROM pages WHERE student IS NOT NULL")
 def s15_keyed_map(spark, d):
+    """Maps of at most fifty page numbers of a booklet each, taken apart again."""
     entry = F.struct("page_id", F.coalesce("rule_pitch", F.lit(58.4)))
-    docs = pages(spark, d).filter("student is not null").groupBy("student", "cie").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("doc"))
+    docs = pages(spark, d).filter("student is not null").groupBy("student", "cie", F.expr("page div 50").alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("doc"))
     return files.keyed_map(docs, "double").select("student", "key", F.col("value").alias("pitch"))
 
 
@@ -65,9 +66,36 @@ def k08_training_files(spark, d):
     return got.select("split", "file_name", n.cast("bigint").alias("n_lines"), (F.col("body") == "").alias("negative"))
 
 
-@R.add(f"WITH {PAGES} SELECT page_id, len(blocks) AS n_blocks, list_aggregate(list_transform(blocks, lambda b: len(b.lines)), 'sum')::BIGINT AS n_lines FROM pages")
+@R.add(f"WITH {PAGES} SELECT page_id, student, cie, page, rule_pitch, rules_removed, ink_pixels, ink_covered, len(blocks)::INT AS n_blocks, coalesce(list_sum(list_transform(blocks, lambda b: len(b.lines))), 0)::INT AS n_lines FROM pages")
 def k01_flat_pages(spark, d):
-    return pages(spark, d).select("page_id", F.size("blocks").cast("bigint").alias("n_blocks"), F.aggregate("blocks", F.lit(0).cast("bigint"), lambda a, b: a + F.size(b["lines"])).alias("n_lines"))
+    return sinks.flat_views(pages(spark, d))["pages"]
+
+
+@R.add(f"WITH {PAGE_LINES} SELECT page_id, CAST(block_id AS INT) AS block_id, b.bbox[1] AS x1, b.bbox[2] AS y1, b.bbox[3] AS x2, b.bbox[4] AS y2, len(b.lines)::INT AS n_lines FROM pb")
+def k01_flat_blocks(spark, d):
+    return sinks.flat_views(pages(spark, d))["blocks"]
+
+
+@R.add(f"WITH {PAGE_LINES} SELECT page_id, block_id, line_id, x1, y1, x2, y2, parts, tall FROM page_lines")
+def k01_flat_lines(spark, d):
+    return sinks.flat_views(pages(spark, d))["lines"]
+
+
+@R.add(f"WITH {PAGES} SELECT count(rule_pitch) AS n, count(*) FILTER (rule_pitch IS NULL) AS n_missing, min(rule_pitch) AS least, round(avg(rule_pitch), 6) AS mean, max(rule_pitch) AS most FROM pages")
+def k07_side_stats(spark, d):
+    return sinks.stats(pages(spark, d), "rule_pitch")
+
+
+@R.add(f"""WITH {_SAMPLE}, s AS (SELECT DISTINCT split FROM sample WHERE split IS NOT NULL AND source IS NOT NULL), c(i, n) AS (VALUES (0, 'paragraph'), (1, 'math'), (2, 'figure'), (3, 'table'), (4, 'code'), (5, 'crossed_out'))
+SELECT CASE split WHEN 'train' THEN 1 WHEN 'val' THEN 2 ELSE 3 END AS place, split || ': images/' || split AS line FROM s
+UNION ALL SELECT 0, 'path: .' UNION ALL SELECT 10, 'nc: 6' UNION ALL SELECT 11, 'names:' UNION ALL SELECT 12 + i, '  ' || i || ': ' || n FROM c""")
+def k08_data_yaml(spark, d):
+    return sinks.data_yaml(sample(spark, d).filter("split is not null and source is not null"))
+
+
+@R.add(f"WITH {_SAMPLE} SELECT coalesce(split, 'none') || '/' || file_name AS link, min(source) AS target FROM sample WHERE file_name IS NOT NULL AND source IS NOT NULL GROUP BY 1")
+def k14_sample_links(spark, d):
+    return sinks.sample_links(sample(spark, d))
 
 
 QUERIES, SQL = R.queries, R.sql

@@ -10,6 +10,7 @@ from paperloom.common import norm_path, table
 from paperloom.functions import geometry as G
 from paperloom.operators import annotations as A
 from paperloom.operators.spatial import overlapping
+from paperloom.sources import files, sinks
 from paperloom.plans.base import LINES, PAGE_LINES, PAGES, Registry, lines, page_lines, pages
 
 R = Registry()
@@ -27,19 +28,22 @@ pairs AS (
 _PRED = f"{LINES}, pred AS (SELECT page_id, block_id * 1000 + line_id AS ord, bbox[1] AS x1, bbox[2] AS y1, bbox[3] AS x2, bbox[4] AS y2, CASE WHEN tall THEN 'figure' WHEN line_id % 3 = 0 THEN 'math' ELSE 'paragraph' END AS category, confidence AS score FROM lines WHERE page_id IS NOT NULL AND bbox IS NOT NULL)"
 
 
-def boxes(spark, d):
-    per_block = pages(spark, d).select("page_id", "size", F.posexplode("blocks").alias("block_id", "b"))
-    kind = F.element_at(F.array(F.lit("paragraph"), F.lit("table"), F.lit("figure")), F.col("block_id") % 3 + 1)
+def sized(spark, d):
+    """Blocks and lines as labelled boxes with the size of their page; the pages are read once."""
     names = ("x1", "y1", "x2", "y2")
-    blk = per_block.select("page_id", (F.col("block_id") * 1000).alias("box_id"), kind.alias("category"), *[F.get("b.bbox", F.lit(i)).alias(n) for i, n in enumerate(names)])
-    cat = F.when(F.col("tall"), "figure").when(F.col("x2") - F.col("x1") < 120, "crossed_out").when(F.col("block_id") % 4 == 1, "math").otherwise("paragraph")
-    lin = page_lines(spark, d).select("page_id", (F.col("block_id") * 1000 + F.col("line_id") + 1).alias("box_id"), cat.alias("category"), *names)
-    return blk.unionByName(lin)
+    corners = lambda c: [F.get(c, F.lit(i)).alias(n) for i, n in enumerate(names)]
+    per_block = pages(spark, d).select("page_id", F.get("size", F.lit(0)).alias("page_w"), F.get("size", F.lit(1)).alias("page_h"), F.posexplode("blocks").alias("block_id", "b"))
+    kind = F.element_at(F.array(F.lit("paragraph"), F.lit("table"), F.lit("figure")), F.col("block_id") % 3 + 1)
+    line = lambda x, i: F.struct((i + 1).alias("k"), x["bbox"].alias("bbox"), x["tall"].alias("tall"))
+    block = F.array(F.struct(F.lit(0).alias("k"), F.col("b.bbox").alias("bbox"), F.lit(None).cast("boolean").alias("tall")))
+    parts = per_block.select("page_id", "page_w", "page_h", "block_id", F.explode(F.concat(block, F.coalesce(F.transform("b.lines", line), F.array().cast("array<struct<k:int,bbox:array<int>,tall:boolean>>")))).alias("p"))
+    box = parts.select("page_id", "page_w", "page_h", "block_id", F.col("p.k").alias("k"), "p.tall", *corners("p.bbox"))
+    cat = F.when(F.col("k") == 0, kind).when(F.col("tall"), "figure").when(F.col("x2") - F.col("x1") < 120, "crossed_out").when(F.col("block_id") % 4 == 1, "math").otherwise("paragraph")
+    return box.select("page_id", (F.col("block_id") * 1000 + F.col("k")).alias("box_id"), cat.alias("category"), *names, "page_w", "page_h")
 
 
-def sized(spark, d):
-    p = pages(spark, d).select("page_id", F.get("size", F.lit(0)).alias("page_w"), F.get("size", F.lit(1)).alias("page_h"))
-    return boxes(spark, d).join(p, "page_id")
+def boxes(spark, d):
+    return sized(spark, d).drop("page_w", "page_h")
 
 
 def predictions(spark, d):
@@ -48,6 +52,11 @@ def predictions(spark, d):
     return got.select("page_id", (F.col("block_id") * 1000 + F.col("line_id")).alias("ord"), *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))], cat.alias("category"), F.col("confidence").alias("score"))
 
 
+def gold_lines(spark, d):
+    cat = F.when(F.col("tall"), "figure").when(F.col("line_id") % 3 == 0, "math").otherwise("paragraph")
+    return page_lines(spark, d).select("page_id", (F.col("block_id") * 1000 + F.col("line_id")).alias("box_id"), cat.alias("category"), "x1", "y1", "x2", "y2")
+
+
 @R.add(f"WITH {_BOXES} SELECT page_id, box_id, category, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h FROM boxes")
 def e05_xywh(spark, d):
     x, y, w, h = G.xywh(G.box())
@@ -98,21 +107,48 @@ def j09_human_over_model(spark, d):
     return A.human_or_model(human, b.withColumn("origin", F.lit("model"))).groupBy("page_id", "origin").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add()
+# predictions one after the other, with the boxes so far in a list
+def _admitted(start: str) -> str:
+    ioa = "greatest(least(b.x2, p.x2) - greatest(b.x1, p.x1), 0) * greatest(least(b.y2, p.y2) - greatest(b.y1, p.y1), 0) / ((p.x2 - p.x1) * (p.y2 - p.y1))"
+    return f"""{_BOXES.replace("WITH ", "")}, {_PRED},
+    start AS (SELECT page_id, list(struct_pack(x1 := x1, y1 := y1, x2 := x2, y2 := y2)) AS have FROM ({start}) GROUP BY 1),
+    numbered AS (SELECT pred.*, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS k FROM pred WHERE x1 IS NOT NULL AND x2 IS NOT NULL),
+    walk AS (
+      SELECT page_id, 0::BIGINT AS k, NULL::INT AS ord, false AS new, coalesce(have, []) AS have FROM (SELECT DISTINCT page_id FROM numbered) LEFT JOIN start USING (page_id)
+      UNION ALL SELECT w.page_id, p.k, p.ord, s.new, CASE WHEN s.new THEN list_append(w.have, struct_pack(x1 := p.x1, y1 := p.y1, x2 := p.x2, y2 := p.y2)) ELSE w.have END
+      FROM walk w JOIN numbered p ON p.page_id = w.page_id AND p.k = w.k + 1,
+      LATERAL (SELECT coalesce(list_max(list_transform(w.have, lambda b: CASE WHEN (p.x2 - p.x1) * (p.y2 - p.y1) > 0 THEN {ioa} ELSE 0 END)), 0) < {S.NEW_REGION_IOA} AS new) s),
+    admitted AS (SELECT page_id, CAST(ord AS BIGINT) AS ord FROM walk WHERE new)"""
+
+
+@R.add(f"WITH RECURSIVE {_admitted("SELECT * FROM boxes WHERE category = 'table'")} SELECT page_id, ord FROM admitted")
 def f03_admit_predictions(spark, d):
     blk = boxes(spark, d).filter("category = 'table'")
     return A.admit_predictions(blk, predictions(spark, d))
 
 
-@R.add()
+@R.add(
+    f"""WITH RECURSIVE {_admitted("SELECT * FROM blk")},
+    human AS (SELECT page_id, category, x1, y1, x2, y2 FROM boxes WHERE category = 'table'),
+    o AS (SELECT b.page_id, b.block_id, b.x1, b.y1, b.x2, b.y2, p.category, p.score, p.ord, CASE WHEN p.ord IS NULL THEN 0 ELSE greatest(least(b.x2, p.x2) - greatest(b.x1, p.x1), 0) * greatest(least(b.y2, p.y2) - greatest(b.y1, p.y1), 0) / ((b.x2 - b.x1) * (b.y2 - b.y1)) END AS ioa
+      FROM blk b LEFT JOIN pred p ON b.page_id = p.page_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY page_id, block_id ORDER BY ioa DESC, ord) AS k FROM o),
+    model AS (SELECT page_id, CASE WHEN ioa < 0.35 THEN 'paragraph' ELSE category END AS category, CASE WHEN ioa >= 0.35 THEN score END AS score, x1, y1, x2, y2, 'block' AS origin FROM r WHERE k = 1
+      UNION ALL SELECT page_id, category, score, x1, y1, x2, y2, 'prediction' FROM admitted JOIN pred USING (page_id, ord))
+    SELECT page_id, category, NULL::DOUBLE AS score, x1, y1, x2, y2, 'human' AS origin FROM human
+    UNION ALL SELECT * FROM model WHERE page_id NOT IN (SELECT page_id FROM human)"""
+)
 def u06_hybrid_boxes(spark, d):
-    """Blocks with transferred labels and, after them, predictions that none of the boxes so far covers."""
+    """Labels of people where a page has any; elsewhere blocks with transferred labels and, after them, predictions that none of the boxes so far covers."""
     pred = predictions(spark, d)
-    blk = boxes(spark, d).filter("box_id % 1000 = 0").select("page_id", F.expr("box_id div 1000").cast("int").alias("block_id"), "x1", "y1", "x2", "y2")
+    every = boxes(spark, d)
+    blk = every.filter("box_id % 1000 = 0").select("page_id", F.expr("box_id div 1000").cast("int").alias("block_id"), "x1", "y1", "x2", "y2")
     named = A.transfer_labels(blk, pred, "block_id", "ord")
     new = A.admit_predictions(blk, pred).join(pred, ["page_id", "ord"])
     cols = ["page_id", "category", "score", "x1", "y1", "x2", "y2"]
-    return named.select(*cols, F.lit("block").alias("origin")).unionByName(new.select(*cols, F.lit("prediction").alias("origin")))
+    model = named.select(*cols, F.lit("block").alias("origin")).unionByName(new.select(*cols, F.lit("prediction").alias("origin")))
+    human = every.filter("category = 'table'").withColumn("score", F.lit(None).cast("double")).select(*cols, F.lit("human").alias("origin"))
+    return A.human_or_model(human, model)
 
 
 @R.add(f"WITH {_BOXES} SELECT page_id, box_id FROM sized WHERE category <> 'table' AND y2 - y1 >= 20 AND x2 - x1 >= 0.02::DOUBLE * page_w")
@@ -123,12 +159,11 @@ def pk_block_floor(spark, d):
 _STAR = f"{_BOXES}, kept AS (SELECT s.*, list_position(['paragraph','math','figure','table','code','crossed_out'], category) AS category_id, row_number() OVER (PARTITION BY page_id ORDER BY box_id) AS ordinal FROM sized s)"
 
 
-@R.add(f"WITH {_STAR} SELECT page_id, CAST(ordinal AS INT) AS ordinal, CAST(category_id AS INT) AS category_id, category FROM kept")
+@R.add(f"WITH {_STAR} SELECT page_id, page_id || '.png' AS file_name, CAST(ordinal AS INT) AS ordinal, CAST(category_id AS INT) AS category_id, category, CAST(x1 AS DOUBLE) AS x1, CAST(y2 AS DOUBLE) AS y2, page_w FROM kept")
 def j04_star_and_ordinals(spark, d):
-    s = sized(spark, d)
-    ids = s.select("page_id", "box_id", A.category_id(F.col("category")).alias("category_id"))
-    w = Window.partitionBy("page_id").orderBy("box_id")
-    return ids.select("page_id", F.row_number().over(w).alias("ordinal"), "category_id", A.category_name(F.col("category_id")).alias("category"))
+    """Label documents taken apart and joined again: images, annotations, categories."""
+    images, annotations, _ = files.coco_parts(sinks.label_document(sized(spark, d)))
+    return A.star(images, annotations).select("page_id", "file_name", F.col("id").alias("ordinal"), "category_id", "category", "x1", "y2", "page_w")
 
 
 @R.add(
@@ -170,6 +205,23 @@ def a20_page_scores(spark, d):
     return p.groupBy("page_id").agg(F.max("score").alias("best"), F.count_if(F.col("score") >= 0.5).alias("kept"), (F.coalesce(F.max("score") < 0.35, F.lit(True)) | (F.count(F.lit(1)) < 2)).alias("review"))
 
 
+@R.add(f"WITH {_PRED}, r AS (SELECT page_id, max(score) AS best, count(*) AS n FROM pred GROUP BY 1 HAVING coalesce(max(score) < 0.35, true) OR count(*) < 2) SELECT page_id || chr(9) || coalesce(printf('%.3f', best), '') || chr(9) || n AS line FROM r")
+def k13_review_list(spark, d):
+    return A.review_list(predictions(spark, d))
+
+
+@R.add(
+    f"""WITH {_BOXES}, done AS (SELECT DISTINCT page_id FROM lines WHERE status = 'failed'), {LINES},
+    c AS (SELECT 'label ' || category AS what, count(*) AS n FROM boxes SEMI JOIN done USING (page_id) GROUP BY 1)
+    SELECT what, n, NULL::VARCHAR AS page_id FROM c UNION ALL SELECT 'available', count(*), NULL FROM pages UNION ALL SELECT 'reviewed', count(*), NULL FROM pages SEMI JOIN done USING (page_id)
+    UNION ALL SELECT 'next', NULL, min(page_id) FROM pages ANTI JOIN done USING (page_id)""".replace("done AS (SELECT DISTINCT page_id FROM lines WHERE status = 'failed'), " + LINES, LINES + ", done AS (SELECT DISTINCT page_id FROM lines WHERE status = 'failed')")
+)
+def a28_progress(spark, d):
+    """Pages available and reviewed, labels of the reviewed ones, and the next page to look at. A page with a failed line stands for a reviewed one."""
+    done = lines(spark, d).filter("status = 'failed' and page_id is not null").select("page_id").distinct()
+    return A.progress(pages(spark, d).select("page_id"), boxes(spark, d), done)
+
+
 @R.add(f"WITH {_PRED} SELECT page_id, ord, category FROM pred WHERE score >= 0.5")
 def pi_confident(spark, d):
     return predictions(spark, d).filter("score >= 0.5").select("page_id", "ord", "category")
@@ -205,10 +257,11 @@ def u03_schema_difference(spark, d):
     return used.subtract(known(S.CATEGORIES[:3])).unionByName(known([*S.CATEGORIES[:3], "code"]).subtract(used))
 
 
-@R.add(f"WITH {PAGES} SELECT page_id FROM pages WHERE len(blocks) = 0 OR blocks IS NULL")
+@R.add(f"WITH {_BOXES} SELECT page_id FROM pages WHERE page_id NOT IN (SELECT page_id FROM boxes WHERE category = 'figure')")
 def pv9_pages_without_boxes(spark, d):
+    """Pages without a box, of those labelled as figures."""
     p = pages(spark, d).select("page_id")
-    return p.join(boxes(spark, d).select("page_id").distinct(), "page_id", "left_anti")
+    return p.join(boxes(spark, d).filter("category = 'figure'").select("page_id").distinct(), "page_id", "left_anti")
 
 
 @R.add(
@@ -252,16 +305,27 @@ def a21_max_shift(spark, d):
 
 @R.add(f"WITH {_BOXES}, {_PRED}, g AS (SELECT page_id, block_id * 1000 + line_id AS box_id, CASE WHEN tall THEN 'figure' WHEN line_id % 3 = 0 THEN 'math' ELSE 'paragraph' END AS category, x1, y1, x2, y2 FROM page_lines), m AS (SELECT g.page_id, g.box_id, g.category, p.ord, row_number() OVER (PARTITION BY g.page_id, p.ord ORDER BY i / (ga + pa - i) DESC, p.score DESC NULLS LAST, g.box_id DESC) AS k FROM (SELECT *, (x2 - x1) * (y2 - y1) AS ga FROM g) g JOIN (SELECT *, (x2 - x1) * (y2 - y1) AS pa FROM pred) p ON g.page_id = p.page_id AND g.category = p.category, LATERAL (SELECT greatest(least(g.x2, p.x2) - greatest(g.x1, p.x1), 0) * greatest(least(g.y2, p.y2) - greatest(g.y1, p.y1), 0) AS i) WHERE i / (ga + pa - i) >= 0.5), h AS (SELECT category, count(*) AS n_hit FROM (SELECT DISTINCT page_id, box_id, category FROM m WHERE k = 1) GROUP BY 1), gc AS (SELECT category, count(*) AS n_gold FROM g GROUP BY 1), pc AS (SELECT category, count(*) AS n_pred FROM pred GROUP BY 1) SELECT coalesce(gc.category, pc.category) AS category, coalesce(n_gold, 0) AS n_gold, coalesce(n_pred, 0) AS n_pred, coalesce(n_hit, 0) AS n_hit, coalesce(n_hit, 0) / n_pred AS precision, coalesce(n_hit, 0) / n_gold AS recall FROM gc FULL JOIN pc ON gc.category = pc.category LEFT JOIN h ON h.category = coalesce(gc.category, pc.category)")
 def a27_precision_recall(spark, d):
-    cat = F.when(F.col("tall"), "figure").when(F.col("line_id") % 3 == 0, "math").otherwise("paragraph")
-    gold = page_lines(spark, d).select("page_id", (F.col("block_id") * 1000 + F.col("line_id")).alias("box_id"), cat.alias("category"), "x1", "y1", "x2", "y2")
-    return A.precision_recall(gold, predictions(spark, d).withColumnRenamed("ord", "box_id"))
+    return A.precision_recall(gold_lines(spark, d), predictions(spark, d).withColumnRenamed("ord", "box_id"))
 
 
-@R.add(f"WITH {_PRED}, s AS (SELECT category, score, count(*) AS n, count(*) FILTER (ord % 2 = 0) AS h FROM pred WHERE score IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, sum(h) OVER w AS hits, sum(n) OVER w AS seen FROM s WINDOW w AS (PARTITION BY category ORDER BY score DESC)) SELECT category, round(sum(h * hits / seen) / sum(h), 6) AS ap FROM r GROUP BY 1")
+@R.add(
+    f"""WITH {_BOXES}, {_PRED}, g AS (SELECT page_id, block_id * 1000 + line_id AS box_id, CASE WHEN tall THEN 'figure' WHEN line_id % 3 = 0 THEN 'math' ELSE 'paragraph' END AS category, x1, y1, x2, y2 FROM page_lines),
+    o AS (SELECT p.page_id, p.ord, p.category, p.score, g.box_id, greatest(least(g.x2, p.x2) - greatest(g.x1, p.x1), 0) * greatest(least(g.y2, p.y2) - greatest(g.y1, p.y1), 0) AS i,
+      (g.x2 - g.x1) * (g.y2 - g.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) AS u FROM g JOIN pred p ON g.page_id = p.page_id AND g.category = p.category WHERE p.score IS NOT NULL),
+    best AS (SELECT *, i / (u - i) AS iou FROM o WHERE i > 0 QUALIFY row_number() OVER (PARTITION BY page_id, ord ORDER BY i / (u - i) DESC, box_id) = 1),
+    t AS (SELECT (50 + 5 * k) / 100.0::DOUBLE AS t FROM range(10) r(k)),
+    hit AS (SELECT t, category, score FROM best JOIN t ON iou >= t QUALIFY row_number() OVER (PARTITION BY t, page_id, box_id ORDER BY score DESC, ord) = 1),
+    seen AS (SELECT t, category, score, count(*) AS n FROM pred, t WHERE score IS NOT NULL GROUP BY ALL),
+    s AS (SELECT seen.*, coalesce(h, 0) AS h FROM seen LEFT JOIN (SELECT t, category, score, count(*) AS h FROM hit GROUP BY ALL) x USING (t, category, score)),
+    r AS (SELECT *, sum(h) OVER w AS hits, sum(n) OVER w AS total FROM s WINDOW w AS (PARTITION BY t, category ORDER BY score DESC)),
+    a AS (SELECT t, category, sum(h * hits / total)::DOUBLE AS area FROM r GROUP BY ALL),
+    n AS (SELECT category, count(*) AS n_gold FROM g GROUP BY 1)
+    SELECT category, round(coalesce(max(area / n_gold) FILTER (t = 0.5), 0.0)::DOUBLE, 6) AS ap50, round(avg(coalesce(area / n_gold, 0.0))::DOUBLE, 6) AS ap50_95 FROM n LEFT JOIN a USING (category) GROUP BY 1"""
+)
 def a27_average_precision(spark, d):
-    p = predictions(spark, d).filter("score is not null").withColumn("hit", F.col("ord") % 2 == 0)
-    gold = p.filter("hit").groupBy("category").agg(F.count(F.lit(1)).alias("n_gold"))
-    return A.average_precision(p.join(F.broadcast(gold), "category", "left").na.fill(0, ["n_gold"])).select("category", F.round("ap", 6).alias("ap"))
+    """Of the lines against the segmentation's: matched boxes at overlaps of 0.50 to 0.95."""
+    found = A.mean_average_precision(gold_lines(spark, d), predictions(spark, d).withColumnRenamed("ord", "box_id"))
+    return found.select("category", F.round("ap50", 6).alias("ap50"), F.round("ap50_95", 6).alias("ap50_95"))
 
 
 @R.add(f"WITH {_BOXES}, claims AS (SELECT page_id, box_id, CASE WHEN box_id % 1000 < 3 THEN 'a' ELSE CAST(box_id AS VARCHAR) END AS k FROM boxes WHERE box_id < 1000) SELECT page_id, k AS box_key, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM boxes JOIN claims USING (page_id, box_id) GROUP BY 1, 2 UNION ALL SELECT page_id, CAST(box_id AS VARCHAR), x1, y1, x2, y2 FROM boxes WHERE box_id >= 1000")

@@ -9,6 +9,7 @@ from paperloom import schemas as S
 from paperloom.common import table
 from paperloom.functions import identity as I
 from paperloom.operators import assembly as A
+from paperloom.sources import files, sinks
 from paperloom.plans.base import LINES, PAGES, REGIONS, Registry, lines, pages, regions
 
 R = Registry()
@@ -121,7 +122,7 @@ def a22_page_text(spark, d):
 
 @R.add(
     f"""WITH {LINES}, p AS (SELECT student, cie, page, string_agg(text, chr(10) ORDER BY reading_order, line_uid) AS t FROM lines WHERE status = 'ok' AND text IS NOT NULL GROUP BY ALL)
-    SELECT student, cie, string_agg('== page ' || page || ' ==' || chr(10) || t, chr(10) || chr(10) ORDER BY page) AS text FROM p GROUP BY ALL"""
+    SELECT student, cie, page, coalesce('== page ' || page || ' ==' || chr(10) || t, t) AS text FROM p"""
 )
 def a23_transcripts(spark, d):
     return A.transcripts(lines(spark, d))
@@ -159,9 +160,30 @@ def pv7_failed_lines(spark, d):
     return lines(spark, d).filter("status = 'failed'").select("line_uid", "status", "crop")
 
 
-@R.add(f"WITH {LINES} SELECT line_uid, bbox[1] + 6 AS px1, bbox[2] + 6 AS py1 FROM lines WHERE bbox IS NOT NULL")
+# Expressions of a line stand between its signs of equality, 25 pixels a character from its left edge on.
+_EXPR = f"""{LINES}, parts AS (SELECT line_uid, page_id, bbox, confidence, string_split(text, '=') AS p FROM lines WHERE status = 'ok' AND contains(text, '=') AND bbox IS NOT NULL),
+  e AS (SELECT line_uid, page_id, bbox, confidence, i - 1 AS "index", len(p) AS "of", trim(p[i]) AS latex, 25 * (coalesce(list_sum(list_transform(p[1:i - 1], lambda x: length(x) + 1)), 0))::INT AS dx, greatest(25 * length(p[i]), 1)::INT AS w
+  FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM parts))"""
+
+
+def expressions(spark, d):
+    """(line_uid, page_id, bbox, confidence, index, of, latex, dx, w) of lines with a sign of equality."""
+    got = lines(spark, d).filter("status = 'ok' and contains(text, '=') and bbox is not null").withColumn("p", F.split("text", "="))
+    e = got.select("line_uid", "page_id", "bbox", "confidence", "p", F.posexplode("p").alias("index", "part"))
+    before = F.aggregate(F.slice("p", 1, F.col("index")), F.lit(0), lambda a, x: a + F.length(x) + 1)
+    return e.select("line_uid", "page_id", "bbox", "confidence", "index", F.size("p").alias("of"), F.trim("part").alias("latex"), (before * 25).alias("dx"), F.greatest(F.length("part") * 25, F.lit(1)).alias("w"))
+
+
+@R.add(f"WITH {_EXPR} SELECT line_uid, CAST(\"index\" AS INT) AS \"index\", bbox[1] + dx AS px1, bbox[2] AS py1, bbox[1] + dx + w AS px2, bbox[4] AS py2 FROM e")
 def e13_crop_to_page(spark, d):
-    return lines(spark, d).filter("bbox is not null").select("line_uid", (F.get("bbox", F.lit(0)) + 6).alias("px1"), (F.get("bbox", F.lit(1)) + 6).alias("py1"))
+    """Boxes of expressions in the page's frame: the crop's origin and the expression's offset in it."""
+    e = expressions(spark, d)
+    return e.select("line_uid", "index", *[c.alias(n) for c, n in zip(page_box(e), ("px1", "py1", "px2", "py2"), strict=True)])
+
+
+def page_box(e):
+    b = lambda i: F.get("bbox", F.lit(i))
+    return b(0) + F.col("dx"), b(1), b(0) + F.col("dx") + F.col("w"), b(3)
 
 
 @R.add(f"WITH {LINES} SELECT status, CASE WHEN (SELECT count(*) FROM lines) = 0 THEN 0 ELSE 100.0 * count(*) / (SELECT count(*) FROM lines) END AS pct FROM lines GROUP BY 1")
@@ -171,14 +193,19 @@ def e26_share_guarded(spark, d):
     return n.select("status", F.coalesce(F.try_divide(F.lit(100.0) * F.col("n"), F.sum("n").over(w)), F.lit(0.0)).alias("pct"))
 
 
-@R.add(f"WITH {LINES} SELECT student, cie, page, count(*) AS n_lines, any_value(page_id) IS NOT NULL AS keyed FROM lines GROUP BY 1, 2, 3")
+@R.add(f"WITH {LINES} SELECT line_uid, page_id, reading_order, CASE WHEN tall THEN 1 WHEN NOT tall THEN 0 END AS tall, array_to_string(bbox, '|') AS bbox, status, text, confidence FROM lines")
 def k05_flat_lines(spark, d):
-    return lines(spark, d).groupBy("student", "cie", "page").agg(F.count(F.lit(1)).alias("n_lines"), (F.max("page_id").isNotNull()).alias("keyed"))
+    """The flat view of a run, as it is written in text form."""
+    return lines(spark, d).select(*sinks.flat_columns(lines(spark, d).select("line_uid", "page_id", "reading_order", "tall", "bbox", "status", "text", "confidence")))
 
 
-@R.add(f"WITH {LINES} SELECT line_uid, to_json(struct_pack(x1 := bbox[1], y1 := bbox[2])) AS box FROM lines WHERE bbox IS NOT NULL")
-def k06_json_box(spark, d):
-    return lines(spark, d).filter("bbox is not null").select("line_uid", F.to_json(F.struct(F.get("bbox", F.lit(0)).alias("x1"), F.get("bbox", F.lit(1)).alias("y1"))).alias("box"))
+@R.add(f"WITH {_EXPR} SELECT page_id, line_uid, CAST(\"index\" AS INT) AS \"index\", CAST(\"of\" AS INT) AS \"of\", bbox[1] + dx AS x1, bbox[2] AS y1, bbox[1] + dx + w AS x2, bbox[4] AS y2, latex, confidence, 'simulated' AS engine, true AS simulated FROM e")
+def k06_maths_rows(spark, d):
+    """Maths records nested by line, as they are written in JSON, read again and laid flat: one row an expression."""
+    e = expressions(spark, d)
+    boxed = e.select("page_id", "line_uid", "index", "of", F.array(*page_box(e)).alias("bbox"), "latex", "confidence")
+    nested = sinks.maths_records(boxed, "simulated").select(F.to_json(F.struct("*")).alias("doc"))
+    return files.maths_rows(nested)
 
 
 QUERIES, SQL = R.queries, R.sql

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import geometry as G
 from paperloom.operators import segmentation as O
 from paperloom.operators.router import with_pitch
+from paperloom.operators.sampling import exact_quantile
 from paperloom.plans.base import PAGE_LINES, PAGES, REGIONS, Registry, page_lines, pages, regions
 
 R = Registry()
@@ -38,10 +39,12 @@ def s03_page_kind(spark, d):
     return pages(spark, d).select("page_id", "source", F.when(F.col("page") == 1, "cover").otherwise("content").alias("page_kind"))
 
 
-@R.add(f"WITH {PAGES} SELECT student, cie, count(*) AS n_pages, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page, page_id) AS page_list FROM pages GROUP BY 1, 2")
+@R.add(f"WITH {PAGES} SELECT student, cie, count(*) AS n_pages, min(page) AS first_page, max(page) AS last_page, CAST(max(page) - min(page) + 1 - count(DISTINCT page) AS BIGINT) AS n_missing FROM pages GROUP BY 1, 2")
 def s04_booklets(spark, d):
-    order = F.array_sort(F.collect_list(F.struct("page", "page_id")))
-    return pages(spark, d).groupBy("student", "cie").agg(F.count(F.lit(1)).alias("n_pages"), F.array_join(F.transform(order, lambda x: x["page"].cast("string")), ",").alias("page_list"))
+    """Booklets as one row each, whatever their length: pages, the first and last of them, and how many between these are missing."""
+    one = pages(spark, d).groupBy("student", "cie", "page").agg(F.count(F.lit(1)).alias("n"))  # combined before the shuffle
+    known = F.count("page")
+    return one.groupBy("student", "cie").agg(F.sum("n").alias("n_pages"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), (F.max("page") - F.min("page") + 1 - known).cast("bigint").alias("n_missing"))
 
 
 @R.add(f"{_RP} SELECT page_id, block_id, line_id, CASE WHEN height < rule_pitch * 0.20 THEN 'too low' WHEN width < rule_pitch * 0.08 THEN 'too narrow' END AS reason FROM rp")
@@ -127,10 +130,9 @@ def a04_totals(spark, d):
 
 @R.add(f"WITH {PAGES} SELECT quantile_cont(rule_pitch, 0.5) AS med_pitch, min(rule_pitch) AS min_pitch, max(rule_pitch) AS max_pitch, quantile_cont(ink_covered, 0.5) AS med_covered, min(ink_covered) AS min_covered FROM pages")
 def a05_median_range(spark, d):
-    return pages(spark, d).agg(
-        F.percentile("rule_pitch", 0.5).alias("med_pitch"), F.min("rule_pitch").alias("min_pitch"), F.max("rule_pitch").alias("max_pitch"),
-        F.percentile("ink_covered", 0.5).alias("med_covered"), F.min("ink_covered").alias("min_covered"),
-    )
+    p = pages(spark, d).select("rule_pitch", "ink_covered")
+    ends = p.agg(F.min("rule_pitch").alias("min_pitch"), F.max("rule_pitch").alias("max_pitch"), F.min("ink_covered").alias("min_covered"))
+    return ends.select(F.lit(exact_quantile(p, "rule_pitch", 0.5)).cast("double").alias("med_pitch"), "min_pitch", "max_pitch", F.lit(exact_quantile(p, "ink_covered", 0.5)).cast("double").alias("med_covered"), "min_covered")
 
 
 @R.add(f"WITH {PAGES}, c AS (SELECT rules_removed AS v, count(*) AS n, min(page_id) AS first_seen FROM pages WHERE rules_removed IS NOT NULL GROUP BY 1) SELECT v AS mode_value, n FROM c ORDER BY n DESC, first_seen LIMIT 1")

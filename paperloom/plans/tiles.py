@@ -9,13 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from paperloom.common import table
+from paperloom.common import shared_folder, table
 from paperloom.functions import pixels as X
-from paperloom.operators import engines, masks
-from paperloom.operators import pages as P
+from paperloom.operators import masks
 from paperloom.plans.base import Registry
 from paperloom.plans.routing import _rule
-from paperloom.streaming.lines import read_lines, route_counts
+from paperloom.streaming.lines import first_deliveries, read_lines, route_counts
 
 R = Registry()
 _INK = "ink AS (SELECT vec_id, CAST((i - 1) // 8 AS INT) AS y, CAST((i - 1) % 8 AS INT) AS x FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS v FROM embeddings) WHERE v < 0)"
@@ -62,7 +61,11 @@ def x01_run_ink(spark, d):
     return masks.ink_pixels(masks.runs(_ink(spark, d), "vec_id"), "vec_id")
 
 
-@R.add()
+@R.add(
+    f"""WITH RECURSIVE {_INK}, reach AS (SELECT vec_id, y * 8 + x AS root, y, x FROM ink UNION SELECT r.vec_id, r.root, p.y, p.x FROM reach r JOIN ink p ON p.vec_id = r.vec_id AND abs(p.y - r.y) <= 1 AND abs(p.x - r.x) <= 1),
+    least AS (SELECT vec_id, y, x, min(root) AS l FROM reach GROUP BY ALL), n AS (SELECT vec_id, count(DISTINCT l) AS n FROM least GROUP BY 1)
+    SELECT CAST(vec_id AS VARCHAR) AS path, coalesce(n, 0)::INT AS n FROM embeddings LEFT JOIN n USING (vec_id)"""
+)
 def x06_tile_components(spark, d):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -72,33 +75,19 @@ def x06_tile_components(spark, d):
     return _tiles(spark, d).mapInPandas(run, "path string, n int")
 
 
-@R.add()
-def x09_segment_tiles(spark, d):
-    return P.segment_images(_tiles(spark, d).withColumn("page_id", F.col("path"))).select("path", "rule_pitch", "rules_removed", "ink_pixels", "error")
-
-
-@R.add()
-def x21_prepared_tiles(spark, d):
-    return P.prepare_images(_tiles(spark, d).withColumn("page_id", F.col("path")), 5).select("path", "height", "width", "angle", F.length("data").alias("n_bytes"), "error")
-
-
-@R.add()
-def x15_tile_expressions(spark, d):
-    crops = _tiles(spark, d).select(F.col("path").alias("line_uid"), F.lit(8.0).alias("rule_pitch"), "height", "width", "data")
-    return engines.recognise(P.explode_expressions(crops), "simulated").select("line_uid", "index", "of", "latex", "confidence", "simulated")
-
-
 @R.add(
-    f"""WITH r AS (SELECT CAST(generated_at AS DATE) AS day, {_rule("text")} AS why FROM ocr_lines WHERE generated_at IS NOT NULL)
-    SELECT CAST(day AS VARCHAR) AS day, CASE WHEN why LIKE 'word:%' OR why = 'ratio' THEN 'math_ocr' ELSE 'text_ocr' END AS route, count(*) AS n FROM r GROUP BY 1, 2"""
+    f"""WITH m AS (SELECT max(generated_at) AS m FROM ocr_lines), r AS (SELECT DISTINCT lower(trim(line_uid)) AS line_uid, generated_at, text FROM ocr_lines WHERE generated_at IS NOT NULL),
+    k AS (SELECT CAST(generated_at AS DATE) AS day, {_rule("text")} AS why FROM r)
+    SELECT CAST(day AS VARCHAR) AS day, CASE WHEN why LIKE 'word:%' OR why = 'ratio' THEN 'math_ocr' ELSE 'text_ocr' END AS route, count(*) AS n FROM k, m WHERE day + INTERVAL 1 DAY <= m - INTERVAL 1 HOUR GROUP BY 1, 2"""
 )
 def st_route_counts(spark, d):
-    """The stream run to its end over the files there are; counts per day and route."""
-    name = f"st_{uuid.uuid4().hex}"
+    """The stream run to its end over the files there are: first deliveries counted per day and route, each day written once the watermark has passed it."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, d, "ocr_lines").schema
-    counts = route_counts(read_lines(spark, f"{d}/[o]cr_lines.parquet", schema))
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "route", "n")
+    counts = route_counts(first_deliveries(read_lines(spark, f"{d}/[o]cr_lines.parquet", schema).filter("generated_at is not null")), timed=True)
+    query = counts.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{root}/out").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "route", "n")
 
 
 QUERIES, SQL = R.queries, R.sql

@@ -67,3 +67,11 @@ def keyed_map(doc: DataFrame, value_type: str, column: str = "doc") -> DataFrame
 def routed_booklets(spark: SparkSession, path: str) -> DataFrame:
     """Routed regions written by booklet; student and cie come from the partition folders and prune the scan."""
     return spark.read.parquet(path)
+
+
+def maths_rows(doc: DataFrame, column: str = "doc") -> DataFrame:
+    """One row per expression of nested maths records held as JSON."""
+    schema = "page_id string, line_uid string, engine string, simulated boolean, expressions array<struct<index:int,of:int,bbox:array<int>,latex:string,confidence:double>>"
+    flat = doc.select(F.from_json(column, schema).alias("d")).select("d.page_id", "d.line_uid", "d.engine", "d.simulated", F.explode("d.expressions").alias("e"))
+    corners = [F.get("e.bbox", F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))]
+    return flat.select("page_id", "line_uid", "e.index", "e.of", *corners, "e.latex", "e.confidence", "engine", "simulated")

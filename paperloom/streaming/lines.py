@@ -20,9 +20,9 @@ def first_deliveries(lines: DataFrame, late: str = "1 hour") -> DataFrame:
     return keyed.withWatermark("at", late).dropDuplicatesWithinWatermark(["line_uid", "generated_at"])
 
 
-def route_counts(lines: DataFrame, late: str = "1 hour", window: str = "1 day") -> DataFrame:
-    """Lines by day of reading and route told from their text; a window is final once the watermark has passed it."""
+def route_counts(lines: DataFrame, late: str = "1 hour", window: str = "1 day", timed: bool = False) -> DataFrame:
+    """Lines by day of reading and route told from their text; a window is final once the watermark has passed it. timed: `at` and its watermark are there, as after first_deliveries."""
     why = M.math_reason(F.col("text"))
-    timed = lines.withColumn("at", F.col("generated_at").cast("timestamp")).withWatermark("at", late)
+    marked = lines if timed else lines.withColumn("at", F.col("generated_at").cast("timestamp")).withWatermark("at", late)
     route = F.when(M.is_math(why), "math_ocr").otherwise("text_ocr").alias("route")
-    return timed.groupBy(F.window("at", window).alias("w"), route).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("day"), "route", "n")
+    return marked.groupBy(F.window("at", window).alias("w"), route).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("day"), "route", "n")
