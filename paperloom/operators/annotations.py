@@ -142,14 +142,26 @@ def box_violations(boxes: DataFrame, overlay: float = S.OVERLAY_IOA, nesting: fl
     return boxes.join(best, ["page_id", "box_id"], "left").select("page_id", "box_id", F.explode(found).alias("f")).select("f.rule", "f.severity", "page_id", "box_id")
 
 
+def refuse(found: DataFrame, what: str, *keys: str) -> None:
+    """Stops the run where there are any such rows, naming the first twenty."""
+    some = found.select(*keys).orderBy(*keys).limit(20).collect()
+    if some:
+        raise ValueError(f"{what}: " + ", ".join("/".join(str(x) for x in r) for r in some))
+
+
 def refuse_double_claims(claims: DataFrame) -> DataFrame:
-    """The claims; a run stops where a box is claimed under two keys, naming some of them."""
-    twice = double_claims(claims).orderBy("page", "ordinal").limit(20).collect()
-    if twice:
-        raise ValueError("claimed under two keys: " + ", ".join(f"{r.page}/{r.ordinal}" for r in twice))
+    """The claims; a run stops where a box is claimed under two keys."""
+    refuse(double_claims(claims), "claimed under two keys", "page", "ordinal")
     return claims
 
 
+def scaled(boxes: DataFrame, scales: DataFrame) -> DataFrame:
+    """Boxes rescaled by their page's (page_id, scale), clipped to page_w and page_h; a run stops where a page has no scale."""
+    joined = boxes.join(scales, "page_id", "left")
+    refuse(joined.filter("scale is null").select("page_id").distinct(), "pages without a scale", "page_id")
+    return rescale(joined, F.col("scale"), F.col("page_w"), F.col("page_h")).drop("scale")
+
+
 def passes(violations: DataFrame, strict: bool = False) -> bool:
     """Whether labels may go on: no error, and under strict no warning either."""
     return (violations if strict else violations.filter("severity = 'error'")).isEmpty()

@@ -92,7 +92,10 @@ def test_booklets_and_csv(spark, tmp_path):
 def test_label_files(spark, tmp_path):
     df = spark.createDataFrame([("train", "a.png", "0 0.5 0.5 1 1"), ("val", "b.png", "")], "split string, file_name string, body string")
     sinks.label_files(df, str(tmp_path / "l"))
-    assert {p.parent.name: p.read_text().strip() for p in (tmp_path / "l").glob("split=*/file=*/part*")} == {"file=a": "0 0.5 0.5 1 1", "file=b": ""}
+    got = {(r.split, r.file): r.body for r in spark.read.parquet(str(tmp_path / "l/labels")).collect()}
+    assert got == {("train", "a.txt"): "0 0.5 0.5 1 1", ("val", "b.txt"): ""}
+    yaml = [r.value for r in spark.read.text(str(tmp_path / "l/data.yaml")).collect()]
+    assert yaml[:5] == ["path: .", "train: images/train", "val: images/val", "nc: 6", "names:"] and yaml[-1] == "  5: crossed_out"
 
 
 def test_label_documents_round_trip(spark):
@@ -119,3 +122,59 @@ def test_stream_drops_copies(spark, tmp_path):
     q = first_deliveries(read_lines(spark, str(tmp_path / "in"), df.schema)).writeStream.format("memory").queryName("first").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.line_uid for r in spark.table("first").collect()) == ["a", "b"]
+
+
+def test_page_views(spark, tmp_path):
+    line = [([1, 2, 3, 4], 2, False), ([1, 6, 9, 8], 1, True)]
+    df = spark.createDataFrame([("s01_c1_p02", 1, 1, 2, 58.0, 3, 90, 0.9, [([1, 2, 9, 8], line), ([0, 9, 9, 12], [])]), ("s01_c1_p03", 1, 1, 3, None, None, None, None, None)], "page_id string, student int, cie int, page int, rule_pitch double, rules_removed int, ink_pixels int, ink_covered double, blocks array<struct<bbox:array<int>,lines:array<struct<bbox:array<int>,parts:int,tall:boolean>>>>")
+    sinks.page_views(df, str(tmp_path / "v"))
+    read = lambda name: spark.read.option("header", True).csv(str(tmp_path / "v" / name)).collect()
+    assert {(r.page_id, r.n_blocks, r.n_lines) for r in read("pages")} == {("s01_c1_p02", "2", "2"), ("s01_c1_p03", None, None)}
+    assert len(read("blocks")) == 2 and {(r.line_id, r.y2, r.tall) for r in read("lines")} == {("0", "4", "0"), ("1", "8", "1")}
+    assert spark.read.json(str(tmp_path / "v/records")).count() == 2
+
+
+def test_crops_and_manifest(spark, tmp_path):
+    df = spark.createDataFrame([("s01_c2_p03", 0, 1, 2, 3, bytearray(b"abcdef"), None, None), ("s01_c2_p03", 0, 2, None, None, None, "too low", None), ("odd", 0, 0, 1, 1, bytearray(b"x"), None, None)], "page_id string, block_id int, line_id int, height int, width int, data binary, skipped string, error string")
+    sinks.crop_images(df, str(tmp_path / "c"))
+    rows = spark.read.option("header", True).csv(str(tmp_path / "c/manifest")).collect()
+    assert {(r.crop, r.skipped) for r in rows} == {("student_01/cie_2/page_03/b00_l01.png", None), (None, "too low"), (None, None)}
+    assert sorted(bytes(r.data) for r in spark.read.parquet(str(tmp_path / "c/crops")).collect()) == [b"abcdef", b"x"]
+
+
+def test_maths_run(spark, tmp_path):
+    df = spark.createDataFrame([("p", "u", 1, 2, [5, 1, 9, 4], "b", 0.5), ("p", "u", 0, 2, [1, 1, 4, 4], "a", None)], "page_id string, line_uid string, index int, of int, bbox array<int>, latex string, confidence double")
+    sinks.maths_run(df, "none", str(tmp_path / "m"))
+    flat = spark.read.option("header", True).csv(str(tmp_path / "m/expressions")).orderBy("index").collect()
+    assert [(r.latex, r.bbox, r.simulated, r.engine) for r in flat] == [("a", "1|1|4|4", "1", "none"), ("b", "5|1|9|4", "1", "none")] and flat[0].generated_at
+    nested = spark.read.text(str(tmp_path / "m/records")).withColumnRenamed("value", "doc")
+    assert [(r["index"], r.x1, r.latex) for r in files.maths_rows(nested).orderBy("index").collect()] == [(0, 1, "a"), (1, 5, "b")]
+
+
+def test_statistics_and_lists(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.0), ("b", None), ("c", 4.0)], "page_id string, rule_pitch double")
+    sinks.side_stats(df, str(tmp_path / "s"))
+    assert spark.read.json(str(tmp_path / "s/summary")).first().asDict() == {"n": 2, "n_missing": 1, "least": 1.0, "mean": 2.5, "most": 4.0}
+    sinks.text_lines(spark.createDataFrame([("a\tb",)], "line string"), str(tmp_path / "t"))
+    assert spark.read.text(str(tmp_path / "t")).first().value == "a\tb"
+
+
+def test_runs_stop(spark):
+    from paperloom.operators import annotations as A
+
+    claims = spark.createDataFrame([("p", "1", "math", 1), ("p", "1+2", "math", 1), ("p", "1+2", "math", 2)], "page string, box_key string, label string, ordinal int")
+    with pytest.raises(ValueError, match="two keys: p/1"):
+        A.refuse_double_claims(claims)
+    assert A.refuse_double_claims(claims.limit(0)).isEmpty()
+    boxes = spark.createDataFrame([("p", 10, 10, 20, 20, 30, 30), ("q", 1, 1, 2, 2, 30, 30)], "page_id string, x1 int, y1 int, x2 int, y2 int, page_w int, page_h int")
+    with pytest.raises(ValueError, match="without a scale: q"):
+        A.scaled(boxes, spark.createDataFrame([("p", 2.0)], "page_id string, scale double"))
+    got = A.scaled(boxes, spark.createDataFrame([("p", 2.0), ("q", 1.0)], "page_id string, scale double")).orderBy("page_id").collect()
+    assert [(r.x2, r.clipped) for r in got] == [(30.0, True), (2.0, False)]
+
+
+def test_exact_quantile(spark):
+    from paperloom.operators.sampling import exact_quantile
+
+    df = spark.createDataFrame([(v,) for v in (5, 1, 1, 1, 9, None, 2)], "v int")
+    assert [exact_quantile(df, "v", q) for q in (0.0, 0.5, 0.9, 1.0)] == [1.0, 1.5, 7.0, 9.0] and exact_quantile(df.limit(0), "v", 0.5) is None
