@@ -8,13 +8,14 @@ fitted on documents the first one did not see.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -175,25 +176,48 @@ def _fit_sentences(docs: list[list[list[str]]], target: np.ndarray, l2: float =
     return w[: 2 * GRAMS], w[2 * GRAMS :]
 
 
-def fit(docs: list[list[list[str]]], target: np.ndarray, folds: int = 3) -> Reader:
+def _fit_fold(docs: list[list[list[str]]], target: np.ndarray, fold: int | None, folds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Sentence model on all documents but those of a fold (of all, without one), and what it says of the fold's documents."""
+    part = np.arange(len(docs)) % folds
+    seen, held = np.flatnonzero(part != fold), np.flatnonzero(part == fold)
+    if fold is None:
+        return *_fit_sentences(docs, target), None
+    if not len(held) or not len(seen):
+        return np.zeros((2 * GRAMS, LEVELS)), np.zeros((SHAPES, LEVELS)), None
+    w, sh = _fit_sentences([docs[i] for i in seen], target[seen])
+    return w, sh, Reader(w, sh, np.zeros((13, LEVELS))).features([docs[i] for i in held])
+
+
+def fit(docs: list[list[list[str]]], target: np.ndarray, folds: int = 3, spark: SparkSession | None = None) -> Reader:
     """Sentence model on all documents; calibration on sentence distributions from models that did not see the document.
 
-    target: rows of level shares (several readers may disagree).
+    target: rows of level shares (several readers may disagree). With a
+    session the models are fitted as tasks side by side.
     """
     if not docs:
         return Reader(np.zeros((2 * GRAMS, LEVELS)), np.zeros((SHAPES, LEVELS)), np.vstack([np.eye(LEVELS), np.zeros((9, LEVELS))]))
-    fold = np.arange(len(docs)) % folds
-    x, y = [], []
-    for k in range(folds):
-        seen, held = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        if not len(held) or not len(seen):
-            continue
-        w, sh = _fit_sentences([docs[i] for i in seen], target[seen])
-        x.append(Reader(w, sh, np.zeros((13, LEVELS))).features([docs[i] for i in held]))
-        y.append(target[held])
-    xs, ys = np.vstack(x), np.vstack(y)
+    wanted = [None, *range(folds)]
+    if spark is None:
+        made = [_fit_fold(docs, target, k, folds) for k in wanted]
+    else:
+        shared = spark.sparkContext.broadcast((docs, target))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pickle.dumps(_fit_fold(*shared.value, wanted[k], folds))], pa.binary())], names=["k", "model"])
+
+        # one task per model; each comes back as some hundred kilobytes
+        got = spark.range(len(wanted), numPartitions=len(wanted)).mapInArrow(run, "k long, model binary").collect()
+        made = [pickle.loads(r.model) for r in sorted(got, key=lambda r: r.k)]
+        shared.unpersist()
+    part = np.arange(len(docs)) % folds
+    some = [(x, target[part == k]) for k, (_, _, x) in zip(wanted, made, strict=True) if x is not None]
+    if not some:
+        return Reader(*made[0][:2], np.vstack([np.eye(LEVELS), np.zeros((9, LEVELS))]))
+    xs, ys = (np.vstack(z) for z in zip(*some, strict=True))
     calibration = _descend(lambda w: xs @ w, lambda r: xs.T @ r, xs.shape[1], ys, 1e-4, 400, 0.05)
-    return Reader(*_fit_sentences(docs, target), calibration)
+    return Reader(*made[0][:2], calibration)
 
 
 def fit_reader(docs: DataFrame, labels: DataFrame, sample: int) -> Reader:
@@ -213,7 +237,7 @@ def fit_reader(docs: DataFrame, labels: DataFrame, sample: int) -> Reader:
             texts.append(s)
             n = np.array([r.n1, r.n2, r.n3, r.n4], dtype=float)
             target.append(n / n.sum())
-    return fit(texts, np.array(target).reshape(-1, LEVELS))
+    return fit(texts, np.array(target).reshape(-1, LEVELS), spark=docs.sparkSession)
 
 
 def reading_levels(docs: DataFrame, labels: DataFrame, least_words: int = 40, sample: int = 1500) -> DataFrame:
