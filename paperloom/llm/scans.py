@@ -180,20 +180,24 @@ class Lexicon:
                             stack.append((sub, i + size, k + 1))
         return best
 
-    def token(self, t: str, scale: float = 1.0) -> tuple[float, str, int, str, bool]:
-        """(cost, word, confusions, core, whether it may be half a word) of a token as it is written."""
+    def token(self, t: str, scale: float = 1.0) -> tuple[float, str, int, str, bool, bool, bool]:
+        """(cost, word, confusions, core, whether it may be half a word, whether the scale doesn't matter, whether it is a word as it stands that no other goes on in) of a token as it is written."""
         got = self.tokens.get(t)
         if got is None:
             if len(self.tokens) >= 300_000:
                 self.tokens.clear()
-            got = self.tokens[t] = (self._token(t, 1.0), {})
+            got = self.tokens[t] = (self._judged(t, 1.0), {})
         usual, scaled = got
         if scale == 1.0 or usual[5]:
             return usual
         if scale not in scaled:
-            scaled[scale] = self._token(t, scale)
+            scaled[scale] = self._judged(t, scale)
         return scaled[scale]
 
+    def _judged(self, t: str, scale: float) -> tuple:
+        got = self._token(t, scale)
+        return *got, got[0] <= RARE and not got[2] and not got[4] and " " not in got[1]
+
     def _token(self, t: str, scale: float) -> tuple[float, str, int, str, bool, bool]:
         """As token() with, last, whether no confusion is ever thought of, so the scale doesn't matter."""
         w = core(t)
@@ -300,12 +304,13 @@ def page_of(uid: str) -> int | None:
     return int(m.group(1)) if m else None
 
 
-def read_page(lines: Iterable[tuple], lex: Lexicon) -> tuple[list[tuple[str, str]], list[tuple[int, str]]]:
+def read_page(lines: Iterable[tuple], lex: Lexicon, write: bool = True) -> tuple[list[tuple[str, str]], list[tuple[int, str]]]:
     """((line_uid, kind) found, (first line, text) of each paragraph) of a page whose lines (line_uid, text) come in order, perhaps with what a confusion's cost is multiplied by.
 
     The lines are a stream of any length: some hundred are held at a time and
     decoded up to a place where no word can go on to the next line, so the
-    results are those of the page read at once.
+    results are those of the page read at once. No paragraphs are made unless
+    they are to be written.
     """
     lines = iter(lines)
     kinds: list[tuple[str, str]] = []
@@ -356,7 +361,7 @@ def read_page(lines: Iterable[tuple], lex: Lexicon) -> tuple[list[tuple[str, str
         words = _read_stream(texts[:cut], base, off, lex, misread, hyphen, weights[:cut])
         for k in range(cut):
             i, t = base + k, texts[k]
-            if i not in hyphen and i not in off and k + 1 < len(texts) and _HYPHEN_END.search(t):
+            if i not in hyphen and i not in off and k + 1 < len(texts) and t.rstrip()[-1] in BREAKS and _HYPHEN_END.search(t):
                 stem = t.split()[-1].rstrip(BREAKS).lower().lstrip(_EDGE)
                 if not lex.known(stem) and _odd_next(texts[k + 1]) and len(stem) > 1 and not stem.endswith(":") and _prefix(lex, stem):
                     hyphen.add(i)
@@ -364,7 +369,8 @@ def read_page(lines: Iterable[tuple], lex: Lexicon) -> tuple[list[tuple[str, str
                 kinds.append((uids[k], "hyphen"))
             if i in misread or i in numbers and _PAGE_MISREAD.search(t):
                 kinds.append((uids[k], "misread"))
-        text.add(words, texts, cut, base, off)
+        if write:
+            text.add(words, texts, cut, base, off)
         del uids[:cut], texts[:cut], weights[:cut]
         base += cut
     return kinds, text.end()
@@ -390,49 +396,62 @@ def _read_stream(lines: list[str], base: int, off: set[int], lex: Lexicon, misre
     tokens that are words as they stand, unless a line ends with a hyphen or
     the two together are a word.
     """
-    tokens: list[tuple[int, str, tuple]] = []
-    joins: list[str] = []  # what a word may cross after each token, if anything
+    words: list[tuple[int, str]] = []
+    stretch: list[tuple[int, str, tuple]] = []  # tokens that a word may cross together, up to the present one
+    joins = ""
+    known, read_token = lex.tokens.get, lex.token
+
+    def close() -> None:
+        if len(stretch) > 1:
+            _read_stretch(stretch, joins, base, lex, misread, hyphen, scales, words)
+        else:
+            words.extend(_read_single(*stretch[0], base, lex, misread, scales))
+
     for k, text in enumerate(lines):
-        toks = text.split()
         i = base + k
-        for q, t in enumerate(toks):
-            read = lex.token(t, scales[k])
-            if tokens:
-                j, before, was = tokens[-1]
-                join = ""
+        scale = scales[k]
+        first = True
+        for t in text.split():
+            got = known(t)
+            read = got[0] if got is not None and got[0][5] else read_token(t, scale)
+            join = ""
+            if stretch and (first or not (read[6] and was[6])):
                 open_ = was[4] or read[4] or was[0] > RARE and read[0] > RARE
-                if j == i:
+                if not first:
                     if open_ and i not in off and _joins(before, was, t, read, lex):
                         join = " "
-                elif q == 0 and j == i - 1 and j not in off and i not in off:
+                elif stretch[-1][0] == i - 1 and i - 1 not in off and i not in off:
                     end = before.rstrip(".,")
                     if len(end) > 1 and end[-1] in BREAKS and end[-2].isalpha():
                         join = "-"
                     elif open_ and _joins(before, was, t, read, lex):
                         join = "\n"
-                joins.append(join)
-            tokens.append((i, t, read))
-    joins.append("")
-    words: list[tuple[int, str]] = []
-    begin = 0
-    for k, join in enumerate(joins[: len(tokens)]):
-        if join:
-            continue
-        if begin == k:
-            i, t, read = tokens[k]
-            if read[2]:
-                misread.add(i)
-            if " " in read[1]:
-                path = lex.decode((read[3],), "", (min(lex.reading(x, scales[i - base])[0] for x in _forms(t, read[3])),), scales[i - base])
-                words += [(i, x) for x in _shown([t], (read[3],), path)]
-            else:
-                words.append((i, _dress(t, read[1]) if read[2] else t))
-        else:
-            _read_stretch(tokens[begin : k + 1], "".join(joins[begin:k]), base, lex, misread, hyphen, scales, words)
-        begin = k + 1
+            if join:
+                joins += join
+            elif stretch:
+                if was[6] and len(stretch) == 1:
+                    words.append((stretch[0][0], before))
+                else:
+                    close()
+                stretch.clear()
+                joins = ""
+            stretch.append((i, t, read))
+            before, was, first = t, read, False
+    if stretch:
+        close()
     return words
 
 
+def _read_single(i: int, t: str, read: tuple, base: int, lex: Lexicon, misread: set[int], scales: list[float]) -> list[tuple[int, str]]:
+    """The words of a token by itself."""
+    if read[2]:
+        misread.add(i)
+    if " " in read[1]:
+        path = lex.decode((read[3],), "", (min(lex.reading(x, scales[i - base])[0] for x in _forms(t, read[3])),), scales[i - base])
+        return [(i, x) for x in _shown([t], (read[3],), path)]
+    return [(i, _dress(t, read[1]) if read[2] else t)]
+
+
 def _joins(a: str, read_a: tuple, b: str, read_b: tuple, lex: Lexicon) -> bool:
     """Whether one word may go on from token a to b, with nothing between them: two pieces that are no words, or tokens of which one is a rare word at most and that make up a word."""
     wa, wb = read_a[3], read_b[3]
@@ -491,13 +510,7 @@ def _read_stretch(tokens: list[tuple[int, str, tuple]], joins: str, base: int, l
         i, t, read = tokens[k]
         if word is None:
             # the token as it is, or its own reading
-            if read[2]:
-                misread.add(i)
-            if " " in read[1]:
-                own = lex.decode((read[3],), "", (min(lex.reading(x, scales[i - base])[0] for x in _forms(t, read[3])),), scales[i - base])
-                words += [(i, x) for x in _shown([t], (read[3],), own)]
-            else:
-                words.append((i, _dress(t, read[1]) if read[2] else t))
+            words += _read_single(i, t, read, base, lex, misread, scales)
             continue
         for place in wrong:
             misread.add(tokens[bisect_left(ends, place + 1)][0])
@@ -750,8 +763,8 @@ def _lexicon(name: str, shared) -> Lexicon:
     return _LEXICONS[name]
 
 
-def repair(lines: DataFrame) -> DataFrame:
-    """(page, uids, kinds, paragraphs): what was found in each page and its readable text, one row a page.
+def repair(lines: DataFrame, write: bool = True) -> DataFrame:
+    """(page, uids, kinds, paragraphs): what was found in each page and, if it is to be written, its readable text, one row a page.
 
     Null and blank texts are no lines; null line_uids are left out; repeated
     and older readings count once; an empty table gives no rows; very long
@@ -767,7 +780,7 @@ def repair(lines: DataFrame) -> DataFrame:
         rows = (r for batch in batches for r in zip(*(x.to_pylist() for x in batch.columns), strict=True))
         out: list[tuple] = []
         for page, of_page in groupby(rows, key=lambda r: r[0]):
-            found, texts = read_page(((uid, text, doubt(sure)) for _, uid, text, sure in of_page), lex)
+            found, texts = read_page(((uid, text, doubt(sure)) for _, uid, text, sure in of_page), lex, write)
             out.append((page, [u for u, _ in found], [k for _, k in found], [t for _, t in texts]))
             if len(out) >= 500:
                 yield batch_of(out)
@@ -782,7 +795,7 @@ def repair(lines: DataFrame) -> DataFrame:
 
 def p2_found(spark, d):
     pairs = F.explode(F.arrays_zip("uids", "kinds")).alias("x")
-    return repair(table(spark, d, "ocr_lines")).select(pairs).select(F.col("x.uids").alias("line_uid"), F.col("x.kinds").alias("kind")).distinct()
+    return repair(table(spark, d, "ocr_lines"), write=False).select(pairs).select(F.col("x.uids").alias("line_uid"), F.col("x.kinds").alias("kind")).distinct()
 
 
 def p2_pages(spark, d):
