@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,28 +18,43 @@ _CROP = "page_id string, block_id int, line_id int, height int, width int, data
 _EXPR = "line_uid string, index int, of int, dx int, dy int, ink_pixels int, height int, width int, data binary, error string"
 
 
+#: Bytes of pixels that a task holds before it hands rows on.
+HELD = 8 << 20
+
+
 def _gray(row) -> np.ndarray:
+    if row.data is None:
+        raise ValueError("unreadable")
     a = np.frombuffer(row.data, dtype=np.uint8).reshape(int(row.height), int(row.width), -1)
     return a[:, :, 0] if a.shape[2] == 1 else np.rint(a[:, :, :3].mean(axis=2)).astype(np.uint8)
 
 
+def frames(rows: Iterable[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of some megabytes of pixels each: a batch has up to 10,000 keys, their images would not fit."""
+    part, held = [], 0
+    for row in rows:
+        part.append(row)
+        held += sum(len(v) for v in row if isinstance(v, bytes))
+        if held >= HELD or len(part) >= 10_000:
+            yield pd.DataFrame(part, columns=names)
+            part, held = [], 0
+    if part:
+        yield pd.DataFrame(part, columns=names)
+
+
 def _each(df: DataFrame, schema: str, make: Callable[[object], list[tuple]], fail: Callable[[object, str], tuple]) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for pdf in batches:
-            out = []
             for row in pdf.itertuples(index=False):
                 try:
-                    if row.data is None:
-                        raise ValueError("unreadable")
-                    out += make(row)
+                    yield from make(row)
                 except Exception as e:  # one bad page is no reason to lose the rest
                     bad = fail(row, str(e)[:200])
-                    out += bad if isinstance(bad, list) else [bad]
-            yield pd.DataFrame(out, columns=names)
+                    yield from bad if isinstance(bad, list) else [bad]
 
-    return df.mapInPandas(run, schema)
+    return df.mapInPandas(lambda batches: frames(rows(batches), names), schema)
 
 
 def segment_images(images: DataFrame) -> DataFrame:
@@ -64,19 +79,28 @@ def prepare_images(images: DataFrame, size: int = X.BACKGROUND) -> DataFrame:
     return _each(images.select("path", "page_id", "height", "width", "data"), _TONED, make, lambda row, e: (row.path, row.page_id, None, None, None, None, e))
 
 
-def crop_lines(images: DataFrame, lines: DataFrame) -> DataFrame:
+def crop_lines(images: DataFrame, lines: DataFrame, load: Callable[[object], np.ndarray] | None = None) -> DataFrame:
     """Crops of lines (page_id, block_id, line_id, x1..y2, rule_pitch) from their page, with a margin of a tenth of a pitch; white where the page ends.
 
     A page is decoded once for all its lines. A line too small to be cropped
     is a row with the reason; a page that is missing or unreadable gives each
-    of its lines an error.
+    of its lines an error. Images are (page_id, height, width, data), far larger
+    than Spark's estimate of them, so they are merged and never broadcast. With
+    `load` they are (page_id, ...) what a page is loaded from: only that is
+    joined, and the pixels stay in the task that crops them.
     """
     boxes = F.array_sort(F.collect_list(F.struct("block_id", "line_id", "x1", "y1", "x2", "y2", "rule_pitch")))
     per_page = lines.filter(F.col("page_id").isNotNull()).groupBy("page_id").agg(boxes.alias("boxes"))
-    both = per_page.join(images.select("page_id", "height", "width", "data"), "page_id", "left")
+    if load is None:
+        both = per_page.join(images.select("page_id", "height", "width", "data").hint("merge"), "page_id", "left")
+    else:
+        # a page costs far more than its row weighs, so the rows are spread over all cores
+        both = per_page.join(images.withColumn("there", F.lit(True)), "page_id", "left").repartition(images.sparkSession.sparkContext.defaultParallelism)
 
     def make(row):
-        gray = _gray(row)
+        if load is not None and not row.there:
+            raise ValueError("unreadable")
+        gray = _gray(row) if load is None else load(row)
         out = []
         for b in row.boxes:
             w, h, pitch = b["x2"] - b["x1"], b["y2"] - b["y1"], b["rule_pitch"]

@@ -173,11 +173,10 @@ def x15_null_readings(spark, d):
 )
 def k02_crop_manifest(spark, d):
     """Crops of three lines of each page, one of them too low, and their manifest."""
-    images = drawn(spark, d, ruled)
     line = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("line_id")
     lines = keyed(spark, d).select("page_id", "h", F.lit(0).alias("block_id"), line)
     lines = lines.select("page_id", "block_id", "line_id", F.lit(20).alias("x1"), (F.lit(20) + 50 * F.col("line_id")).alias("y1"), (F.lit(100) + F.col("h") % 9).alias("x2"), (F.lit(20) + 50 * F.col("line_id") + F.when(F.col("line_id") == 2, 4).otherwise(30)).alias("y2"), F.lit(58.4).alias("rule_pitch"))
-    return sinks.crop_manifest(P.crop_lines(images, lines))
+    return sinks.crop_manifest(P.crop_lines(keyed(spark, d), lines, lambda row: ruled(int(row.h))))
 
 
 def png(g: np.ndarray) -> bytes:
