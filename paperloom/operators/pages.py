@@ -57,14 +57,14 @@ def _each(df: DataFrame, schema: str, make: Callable[[object], list[tuple]], fai
     return df.mapInPandas(lambda batches: frames(rows(batches), names), schema)
 
 
-def segment_images(images: DataFrame) -> DataFrame:
-    """Page records of images (path, page_id, height, width, data)."""
+def segment_images(images: DataFrame, load: Callable[[object], np.ndarray] | None = None) -> DataFrame:
+    """Page records of images (path, page_id, height, width, data), or of (path, page_id, ...) what `load` makes a page of in its task."""
 
     def make(row):
-        r = X.segment_page(_gray(row))
+        r = X.segment_page((load or _gray)(row))
         return [(row.path, row.page_id, r["rule_pitch"], r["rules_removed"], r["ink_pixels"], r["ink_covered"], [list(b) for b in r["regions"]], None)]
 
-    return _each(images.select("path", "page_id", "height", "width", "data"), _PAGE, make, lambda row, e: (row.path, row.page_id, None, None, None, None, None, e))
+    return _each(images if load else images.select("path", "page_id", "height", "width", "data"), _PAGE, make, lambda row, e: (row.path, row.page_id, None, None, None, None, None, e))
 
 
 def prepare_images(images: DataFrame, size: int = X.BACKGROUND) -> DataFrame:

@@ -28,16 +28,23 @@ def keyed(spark, d):
     return pages(spark, d).select("page_id", F.conv(F.substring(F.sha2("page_id", 256), 1, 4), 16, 10).cast("int").alias("h"))
 
 
+def to_draw(spark, d):
+    """(path, page_id, h): pages for operators that draw a page where they read it."""
+    # a page costs far more than its key weighs, so the keys are spread over all cores
+    return keyed(spark, d).repartition(spark.sparkContext.defaultParallelism).select(F.col("page_id").alias("path"), "page_id", "h")
+
+
 def drawn(spark, d, draw: Callable[[int], np.ndarray]):
     """(path, page_id, h, height, width, data): an image per page."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for pdf in batches:
-            made = [draw(int(h)) for h in pdf["h"]]
-            yield pd.DataFrame({"path": pdf["page_id"], "page_id": pdf["page_id"], "h": pdf["h"], "height": [g.shape[0] for g in made], "width": [g.shape[1] for g in made], "data": [g.tobytes() for g in made]})
+            for r in pdf.itertuples(index=False):
+                g = draw(int(r.h))
+                yield r.path, r.page_id, r.h, *g.shape, g.tobytes()
 
-    # a page costs far more than its key weighs, so the keys are spread over all cores
-    return keyed(spark, d).repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "path string, page_id string, h int, height int, width int, data binary")
+    names = ["path", "page_id", "h", "height", "width", "data"]
+    return to_draw(spark, d).mapInPandas(lambda batches: P.frames(rows(batches), names), "path string, page_id string, h int, height int, width int, data binary")
 
 
 def measured(df, schema: str, read: Callable[[np.ndarray, int], tuple]):
@@ -67,7 +74,7 @@ def ruled(h: int) -> np.ndarray:
 @R.add(f"WITH {_H} SELECT page_id, (46 + 5 * (h % 5))::DOUBLE AS rule_pitch, 6 + h % 3 AS rules_removed, 2 AS n_regions, 1.0::DOUBLE AS ink_covered FROM h")
 def x09_ruled_pages(spark, d):
     """Rules parted from handwriting, regions of what is left."""
-    got = P.segment_images(drawn(spark, d, ruled))
+    got = P.segment_images(to_draw(spark, d), lambda row: ruled(int(row.h)))
     return got.select("page_id", "rule_pitch", "rules_removed", F.size("regions").alias("n_regions"), "ink_covered")
 
 

@@ -1,6 +1,7 @@
 """Pixel operators over tables: what memory holds of them, and what their plans move."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import pages as P
@@ -33,3 +34,23 @@ def test_images_are_not_broadcast(spark, sf):
     assert got[0] == got[1] and [x[5:] for x in got[0]] == [(None, None), ("too low", None), (None, "unreadable")]
     assert np.frombuffer(got[0][0][4], np.uint8).min() == 120
     assert _plan(D.k02_crop_manifest(spark, sf)).count("MapInPandas") == 1  # no image leaves the task that draws it
+
+
+@pytest.mark.parametrize("query", ["x09_ruled_pages"])
+def test_frames_hold_few_images(spark, monkeypatch, query):
+    """A task hands on some megabytes of pixels at once, however many pages its batch names."""
+    plain = type(spark.range(1)).mapInPandas
+
+    def watched(df, make, schema):
+        def run(batches):
+            for pdf in make(batches):
+                held = sum(len(v) for c in pdf.columns for v in pdf[c] if isinstance(v, bytes))
+                if held > 12 << 20:
+                    raise MemoryError(f"{held} bytes of pixels at once")
+                yield pdf
+
+        return plain(df, run, schema)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", watched)
+    monkeypatch.setattr(D, "keyed", lambda spark, d: spark.range(1000).select(F.col("id").cast("string").alias("page_id"), F.col("id").cast("int").alias("h")))
+    assert len(D.QUERIES[query](spark, "").collect()) == 1000
