@@ -47,16 +47,16 @@ def drawn(spark, d, draw: Callable[[int], np.ndarray]):
     return to_draw(spark, d).mapInPandas(lambda batches: P.frames(rows(batches), names), "path string, page_id string, h int, height int, width int, data binary")
 
 
-def measured(df, schema: str, read: Callable[[np.ndarray, int], tuple]):
-    """(page_id, ...) what read() finds in each image."""
+def measured(df, schema: str, read: Callable[[np.ndarray, int], tuple], draw: Callable[[int], np.ndarray] | None = None):
+    """(page_id, ...) what read() finds in each image of (page_id, h, height, width, data), or of (page_id, h) in what draw() makes of it in its task."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(r.page_id, *read(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width), r.h)) for r in pdf.itertuples(index=False)]
+            out = [(r.page_id, *read(draw(int(r.h)) if draw else np.frombuffer(r.data, np.uint8).reshape(r.height, r.width), r.h)) for r in pdf.itertuples(index=False)]
             yield pd.DataFrame(out, columns=["page_id", *names])
 
-    return df.select("page_id", "h", "height", "width", "data").mapInPandas(run, f"page_id string, {schema}")
+    return df.select("page_id", "h", *([] if draw else ["height", "width", "data"])).mapInPandas(run, f"page_id string, {schema}")
 
 
 def ruled(h: int) -> np.ndarray:
@@ -143,7 +143,7 @@ def x12_page_frames(spark, d):
         clean, _ = X.suppress_rules(crop, 58.4)
         return list(X.paper_box(g, 0)), list(X.ink_extent(X.ink_mask(sheet))), *X.fixed_crop(g, (5, 5)).shape, len(X.table_lines(table)), int((clean == 255).sum())
 
-    return measured(drawn(spark, d, draw), "paper array<int>, ink array<int>, crop_height int, crop_width int, n_lines int, white int", read)
+    return measured(to_draw(spark, d), "paper array<int>, ink array<int>, crop_height int, crop_width int, n_lines int, white int", read, draw)
 
 
 def formula(h: int) -> np.ndarray:
