@@ -67,16 +67,16 @@ def segment_images(images: DataFrame, load: Callable[[object], np.ndarray] | Non
     return _each(images if load else images.select("path", "page_id", "height", "width", "data"), _PAGE, make, lambda row, e: (row.path, row.page_id, None, None, None, None, None, e))
 
 
-def prepare_images(images: DataFrame, size: int = X.BACKGROUND) -> DataFrame:
-    """Deskewed, flattened and stretched pages, one pass per page."""
+def prepare_images(images: DataFrame, size: int = X.BACKGROUND, load: Callable[[object], np.ndarray] | None = None) -> DataFrame:
+    """Deskewed, flattened and stretched pages, one pass per page; `load` as in segment_images."""
 
     def make(row):
-        g = _gray(row)
+        g = (load or _gray)(row)
         angle = X.skew_angle(g)
         g = X.tone(X.rotate(g, angle) if angle else g, size)
         return [(row.path, row.page_id, g.shape[0], g.shape[1], angle, g.tobytes(), None)]
 
-    return _each(images.select("path", "page_id", "height", "width", "data"), _TONED, make, lambda row, e: (row.path, row.page_id, None, None, None, None, e))
+    return _each(images if load else images.select("path", "page_id", "height", "width", "data"), _TONED, make, lambda row, e: (row.path, row.page_id, None, None, None, None, e))
 
 
 def crop_lines(images: DataFrame, lines: DataFrame, load: Callable[[object], np.ndarray] | None = None) -> DataFrame:

@@ -92,7 +92,7 @@ def tilted(h: int) -> np.ndarray:
 @R.add(f"WITH {_H} SELECT page_id, h % 5 - 2 AS angle, 270 AS height, 320 AS width, true AS level, true AS toned FROM h")
 def x21_tilted_pages(spark, d):
     """Pages made level and toned: the tilt where it is found to a tenth of a degree, that none is left, and that paper is white."""
-    got = P.prepare_images(drawn(spark, d, tilted), 15)
+    got = P.prepare_images(to_draw(spark, d), 15, lambda row: tilted(int(row.h)))
     near = F.when(F.abs(F.col("angle") - F.round("angle")) < 0.1, F.round("angle").cast("int")).otherwise(99)
 
     def read(g: np.ndarray, h: int) -> tuple:

@@ -36,7 +36,7 @@ def test_images_are_not_broadcast(spark, sf):
     assert _plan(D.k02_crop_manifest(spark, sf)).count("MapInPandas") == 1  # no image leaves the task that draws it
 
 
-@pytest.mark.parametrize("query", ["x09_ruled_pages", "x12_page_frames"])
+@pytest.mark.parametrize("query", ["x09_ruled_pages", "x12_page_frames", "x21_tilted_pages"])
 def test_frames_hold_few_images(spark, monkeypatch, query):
     """A task hands on some megabytes of pixels at once, however many pages its batch names."""
     plain = type(spark.range(1)).mapInPandas
